@@ -21,11 +21,13 @@ from tallymart.operators.ranking import incentives
 from tallymart.operators.totals import month_totals
 from tallymart.plans import ledger, marts
 from tallymart.schemas import CUSTOMER_MART, SALES_MART
-from tallymart.sinks.files import run_path, write_partitioned, write_run
+from tallymart.sinks.files import run_path, write_parquet, write_partitioned, write_run
 from tallymart.sinks.jdbc import JdbcWriter
 from tallymart.sources.csv_files import (
+    NO_HEADER,
     accepted,
     check_headers,
+    empty_files,
     has_bad_cells,
     list_files,
     probe_headers,
@@ -39,6 +41,9 @@ log = logging.getLogger(__name__)
 # Fixed value: the folder name Spark gives the partition of a null.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
+# The verdict on a sales line.
+ACCEPTED, REJECTED = "accepted", "rejected"
+
 MONTHLY_CUSTOMER_MART = T.StructType([*CUSTOMER_MART.fields, T.StructField("sales_month", T.StringType())])
 
 
@@ -64,6 +69,13 @@ class Layout:
         return f"{self.root}/{name}"
 
 
+def set_empty_files_aside(spark: SparkSession, landing: str, layout: Layout) -> bool:
+    """List the zero-byte files of the landing folder, which never reach a run."""
+    empty = empty_files(spark, landing).withColumn("reason", F.lit(NO_HEADER))
+    write_parquet(empty, layout.empty_files)
+    return not spark.read.schema(empty.schema).parquet(layout.empty_files).isEmpty()
+
+
 def check_files(spark: SparkSession, listing: DataFrame, layout: Layout, run_id: int) -> DataFrame:
     """Probe the files of a run, set the bad ones aside, and return the written manifest."""
     csv_paths = [f["path"] for f in with_file_type(listing).where("is_csv").select("path").toLocalIterator()]
@@ -79,9 +91,10 @@ def check_files(spark: SparkSession, listing: DataFrame, layout: Layout, run_id:
 
 def load_sales(spark: SparkSession, manifest: DataFrame, layout: Layout, run_id: int) -> DataFrame:
     """Parse the accepted files once into the run's sales table; returns the rows that parsed."""
-    typed = read_sales(spark, manifest).withColumn("is_bad", has_bad_cells())
-    target = write_run(typed, layout.sales, run_id, ["is_bad"])
-    return spark.read.schema(typed.schema).parquet(target).where(~F.col("is_bad"))
+    verdict = F.when(has_bad_cells(), REJECTED).otherwise(ACCEPTED)
+    typed = read_sales(spark, manifest).withColumn("verdict", verdict)
+    target = write_run(typed, layout.sales, run_id, ["verdict"])
+    return spark.read.schema(typed.schema).parquet(target).where(F.col("verdict") == ACCEPTED)
 
 
 def months_of_run(spark: SparkSession, mart_run: str) -> list[str]:

@@ -28,20 +28,35 @@ class NoInputError(RuntimeError):
 
 
 def list_files(spark: SparkSession, directory: str) -> DataFrame:
-    """Every file below a directory. The content column is pruned, so nothing is read."""
-    return as_listing(
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-    )
+    """Every file with content below a directory. The content column is pruned, so nothing is read."""
+    return as_listing(all_files(spark, directory))
+
+
+def all_files(spark: SparkSession, directory: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
 
 
 def as_listing(files: DataFrame) -> DataFrame:
     """Name, place and size of the files of a ``binaryFile`` source; ``uri`` is the escaped path."""
     return files.select(
-        "path",
-        F.col("_metadata.file_path").alias("uri"),
-        base_name("path").alias("file_name"),
-        "length",
-        "modificationTime",
+        "path", F.col("_metadata.file_path").alias("uri"), base_name("path").alias("file_name"), "length"
+    )
+
+
+def empty_files(spark: SparkSession, directory: str) -> DataFrame:
+    """Zero-byte files below a directory. No scan returns them, so they are the names in the
+    driver's file list that the listing lacks.
+    """
+    names = spark.createDataFrame([(uri,) for uri in all_files(spark, directory).inputFiles()], "uri string")
+    path = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    without_slashes = F.regexp_replace("uri", "^([^:/]+):/*", "$1:").alias("place")
+    listed = list_files(spark, directory).select(without_slashes)
+    return (
+        names.select("uri", without_slashes)
+        .join(listed, "place", "left_anti")
+        .select(
+            path.alias("path"), "uri", base_name(path).alias("file_name"), F.lit(0).cast("bigint").alias("length")
+        )
     )
 
 

@@ -12,9 +12,14 @@ import logging
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymart.plans import ledger
-from tallymart.plans.ingest import Dimensions, Layout, process_run
+from tallymart.plans.ingest import Dimensions, Layout, process_run, set_empty_files_aside
 from tallymart.sinks.jdbc import JdbcWriter
-from tallymart.sources.csv_files import NoInputError, as_listing, list_files, require_files
+from tallymart.sources.csv_files import (
+    NoInputError,
+    as_listing,
+    list_files,
+    require_files,
+)
 
 log = logging.getLogger(__name__)
 
@@ -41,8 +46,7 @@ def arrivals(
 
 def check_previous_run(spark: SparkSession, landing: str, layout: Layout, on_failed_run: str) -> None:
     """Look for listed files that an earlier run left open; they are loaded again by its retry."""
-    listing = require_files(list_files(spark, landing), f"files in {landing}")
-    failed = ledger.failed_files(ledger.read_ledger(spark, layout.ledger), listing)
+    failed = ledger.failed_files(ledger.read_ledger(spark, layout.ledger), list_files(spark, landing))
     if failed.isEmpty():
         log.info("no failed run")
     elif on_failed_run == "fail":
@@ -68,6 +72,9 @@ def ingest_arrivals(
     Raises if the landing folder is empty, or if there were new files and none was usable.
     """
     layout = Layout(root)
+    any_empty = set_empty_files_aside(spark, landing, layout)
+    if not any_empty:
+        require_files(list_files(spark, landing), f"files in {landing}")
     check_previous_run(spark, landing, layout, on_failed_run)
     loaded: list[bool] = []
 

@@ -1,0 +1,242 @@
+from __future__ import annotations
+
+import shutil
+from datetime import datetime
+from decimal import Decimal
+
+import pytest
+from pyspark.sql import functions as F
+
+from fixtures import rows_of, sale, sales_frame
+from tallymart.plans import ledger, marts
+from tallymart.plans.ingest import Layout
+from tallymart.schemas import LEDGER, MANDATORY_COLUMNS
+from tallymart.session import scratch_dir
+from tallymart.sources import synth
+from tallymart.sources.csv_files import NoInputError
+from tallymart.sources.tables import latest_run
+from tallymart.streaming.arrivals import ingest_arrivals
+
+D = Decimal
+
+
+def drop_csv(df, folder, name):
+    """Put a small frame into a folder as one CSV file, as an upload does."""
+    folder.mkdir(parents=True, exist_ok=True)
+    df.toPandas().to_csv(folder / name, index=False)
+
+
+def file_of(spark, *rows):
+    return sales_frame(spark, *rows).select(*MANDATORY_COLUMNS)
+
+
+@pytest.fixture()
+def job(spark, tmp_path, dimensions):
+    landing, layout = tmp_path / "landing", Layout(str(tmp_path / "marts"))
+
+    def run(**options):
+        ingest_arrivals(spark, str(landing), layout.root, dimensions, **options)
+
+    return landing, layout, run
+
+
+def test_two_runs_over_one_month_equal_one_run_over_both(spark, job, dimensions):
+    landing, layout, run = job
+    first = synth.usual_sales(spark, 300, seed=1)
+    second = synth.sales_with_extra_column(spark, "2023-04-05", 200, seed=2)
+    drop_csv(first, landing, "first.csv")
+    drop_csv(synth.sales_with_missing_column(spark, "2023-04-05"), landing, "short.csv")
+    (landing / "notes.txt").write_text("hello")
+    run()
+    drop_csv(second.select(*reversed(second.columns)), landing, "second.csv")
+    run()
+    run()
+    sales = first.unionByName(second.drop("payment_mode"))
+    expected = marts.customer_monthly(sales, dimensions.customer)
+    actual = spark.read.parquet(layout.customer_monthly)
+    assert rows_of(actual, *sorted(actual.columns)) == rows_of(expected, *sorted(actual.columns))
+    expected = marts.incentive_monthly(sales, dimensions.customer, dimensions.store, dimensions.sales_team)
+    actual = spark.read.parquet(layout.seller_monthly)
+    assert rows_of(actual, *sorted(actual.columns)) == rows_of(expected, *sorted(actual.columns))
+    assert spark.read.parquet(layout.sales_mart).count() == 500
+    assert spark.read.parquet(layout.customer_mart).agg(F.sum("total_cost")).first()[0] == sales.agg(F.sum("total_cost")).first()[0]
+    quarantine = spark.read.parquet(layout.quarantine)
+    assert rows_of(quarantine, "file_name", "reason") == [("notes.txt", "not_csv"), ("short.csv", "missing_columns")]
+    states = ledger.current_status(ledger.read_ledger(spark, layout.ledger))
+    assert rows_of(states, "file_name", "run_id", "status") == [("first.csv", 0, "I"), ("second.csv", 1, "I")]
+    payment = spark.read.parquet(layout.sales).where("run_id = 1").select("additional_columns").distinct()
+    assert rows_of(payment) == [("UPI",), ("cash",)]
+
+
+def test_late_file_changes_the_winner_and_leaves_other_months(spark, job):
+    landing, layout, run = job
+    drop_csv(file_of(spark, sale(seller=1, cost="10.00"), sale(seller=2, cost="20.00"),
+                     sale(seller=3, day="2023-05-01", cost="7.00")), landing, "a.csv")
+    run()
+    drop_csv(file_of(spark, sale(seller=1, cost="30.00")), landing, "b.csv")
+    run()
+    paid = spark.read.parquet(layout.seller_monthly)
+    assert rows_of(paid, "sales_month", "sales_person_id", "total_sales", "incentive") == [
+        ("2023-03", 1, D("40.00"), D("0.40")),
+        ("2023-03", 2, D("20.00"), D("0.00")),
+        ("2023-05", 3, D("7.00"), D("0.07")),
+    ]
+
+
+def test_bad_rows_unknown_keys_and_null_dates(spark, job):
+    landing, layout, run = job
+    landing.mkdir()
+    (landing / "a.csv").write_text(
+        ",".join(MANDATORY_COLUMNS) + "\n"
+        "1,121,sugar,2023-03-03,1,50,1,50\n"
+        "1,121,sugar,,1,50,1,60\n"
+        "99,121,sugar,2023-03-03,1,50,1,70\n"
+        "1,121,sugar,2023-03-03,[1],50,1,80\n"
+    )
+    run()
+    spent = spark.read.parquet(layout.customer_monthly)
+    assert rows_of(spent, "customer_id", "total_sales") == [(1, D("50.00")), (1, D("60.00"))]
+    bad = spark.read.parquet(layout.sales).where("verdict = 'rejected'")
+    assert rows_of(bad, "raw_line", "bad_cells") == [("1,121,sugar,2023-03-03,[1],50,1,80", ["sales_person_id"])]
+    lost = spark.read.parquet(layout.unmatched)
+    assert rows_of(lost, "key_column", "key_value", "sales_rows", "lost_amount") == [("customer_id", "99", 1, D("70.00"))]
+
+
+def test_run_whose_sales_are_all_unmatched(spark, job):
+    landing, layout, run = job
+    drop_csv(file_of(spark, sale(customer=99)), landing, "a.csv")
+    run()
+    drop_csv(file_of(spark, sale(customer=1)), landing, "b.csv")
+    run()
+    assert rows_of(spark.read.parquet(layout.customer_monthly), "customer_id") == [(1,)]
+
+
+def test_failed_run_is_repeated_and_nothing_is_counted_twice(spark, job, monkeypatch):
+    landing, layout, run = job
+    drop_csv(file_of(spark, sale(cost="5.00")), landing, "a.csv")
+    from tallymart.plans import ingest
+
+    rebuild = ingest.rebuild_months
+
+    def die(*args, **kwargs):
+        rebuild(*args, **kwargs)
+        raise RuntimeError("executor lost")
+
+    monkeypatch.setattr(ingest, "rebuild_months", die)
+    with pytest.raises(Exception, match="executor lost"):
+        run()
+    monkeypatch.setattr(ingest, "rebuild_months", rebuild)
+    with pytest.raises(ledger.FailedRunError):
+        run(on_failed_run="fail")
+    drop_csv(file_of(spark, sale(cost="7.00")), landing, "b.csv")
+    run()
+    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("12.00"),)]
+    assert spark.read.parquet(layout.sales_mart).count() == 2
+    states = ledger.read_ledger(spark, layout.ledger)
+    assert rows_of(states, "file_name", "run_id", "status") == [
+        ("a.csv", 0, "A"), ("a.csv", 0, "I"), ("b.csv", 1, "A"), ("b.csv", 1, "I"),
+    ]
+
+
+def test_empty_landing_and_no_good_file_raise(spark, job):
+    landing, layout, run = job
+    landing.mkdir()
+    with pytest.raises(NoInputError):
+        run()
+    (landing / "zero.csv").write_text("")
+    with pytest.raises(NoInputError):
+        run()
+    assert rows_of(spark.read.parquet(layout.empty_files), "file_name", "reason") == [("zero.csv", "no_header")]
+    (landing / "bad.csv").write_text("customer_id\n1\n")
+    with pytest.raises(NoInputError):
+        run()
+    assert rows_of(spark.read.parquet(layout.quarantine), "file_name", "reason") == [("bad.csv", "missing_columns")]
+
+
+def test_many_small_runs_when_files_per_run_are_bounded(spark, job, dimensions):
+    landing, layout, run = job
+    for i in range(3):
+        drop_csv(file_of(spark, sale(cost="5.00")), landing, f"{i}.csv")
+    run(max_files=2)
+    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("15.00"),)]
+    assert rows_of(ledger.read_ledger(spark, layout.ledger).select("run_id").distinct()) == [(0,), (1,)]
+
+
+def test_processed_files_are_archived(spark, job, tmp_path):
+    landing, layout, run = job
+    archive = tmp_path / "archive"
+    archive.mkdir()
+    for name in ("a.csv", "b.csv", "c.csv"):
+        drop_csv(file_of(spark, sale(cost="5.00")), landing, name)
+        run(archive=str(archive))
+    archived = {p.name for p in archive.rglob("*.csv")}
+    assert archived and "c.csv" not in archived
+    assert {p.name for p in landing.rglob("*.csv")} | archived == {"a.csv", "b.csv", "c.csv"}
+    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("15.00"),)]
+
+
+def test_published_months_go_to_the_database_stamped(spark, job):
+    landing, layout, run = job
+    sent = []
+
+    class Writer:
+        def append(self, df, table, run_id):
+            sent.append((table, run_id, df.count()))
+
+    drop_csv(file_of(spark, sale(), sale(day="2023-04-01")), landing, "a.csv")
+    run(jdbc=Writer())
+    drop_csv(file_of(spark, sale(customer=2)), landing, "b.csv")
+    run(jdbc=Writer())
+    assert sent == [
+        ("customers_data_mart", 0, 2), ("sales_team_data_mart", 0, 2),
+        ("customers_data_mart", 1, 2), ("sales_team_data_mart", 1, 1),
+    ]
+
+
+def test_current_status_follows_the_newest_row(spark):
+    t = lambda h: datetime(2024, 1, 1, h)
+    rows = [
+        (1, "a", "/a", "A", t(1)), (1, "a", "/a", "I", t(1)),
+        (1, "b", "/b", "A", t(1)),
+        (1, "c", "/c", "I", t(1)), (2, "c", "/c", "A", t(2)),
+    ]
+    states = spark.createDataFrame(rows, LEDGER)
+    assert rows_of(ledger.current_status(states), "file_name", "status") == [("a", "I"), ("b", "A"), ("c", "A")]
+    listing = spark.createDataFrame([("a",), ("c",), ("d",)], "file_name string")
+    assert rows_of(ledger.failed_files(states, listing), "file_name") == [("c",)]
+
+
+def test_missing_ledger_reads_as_empty(spark, tmp_path):
+    assert ledger.read_ledger(spark, str(tmp_path / "none")).isEmpty()
+
+
+def test_latest_run_of_each_month(spark):
+    df = spark.createDataFrame([("m1", 1, 5), ("m1", 2, 6), ("m2", 1, 7)], "m string, run_id long, v long")
+    assert rows_of(latest_run(df, ["m"]), "v") == [(6,), (7,)]
+
+
+def test_scratch_is_below_the_checkpoint_folder(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    first, second = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert first.startswith(base) and first != second
+
+
+def test_cluster_without_shared_folder_is_an_error():
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": "yarn"}.get(key, default)
+
+    class Session:
+        conf = Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_dir(Session(), "x")
+
+
+def test_copying_a_processed_file_to_a_new_name_is_a_new_file(spark, job):
+    landing, layout, run = job
+    drop_csv(file_of(spark, sale(cost="5.00")), landing, "a.csv")
+    run()
+    shutil.copy(landing / "a.csv", landing / "b.csv")
+    run()
+    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("10.00"),)]

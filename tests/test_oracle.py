@@ -1,0 +1,33 @@
+"""Every named query against an independent engine on the same tables."""
+
+from __future__ import annotations
+
+import os
+
+import pytest
+
+import __spark_entry__ as entry_point
+from oracle_check import differences
+
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+def test_every_query_has_sql():
+    assert set(entry_point.queries()) == set(entry_point.oracle_sql())
+
+
+def test_entry(spark):
+    df = entry_point.entry(spark)
+    assert df.columns == [
+        "store_id", "sales_person_id", "full_name", "sales_month", "total_sales", "incentive",
+    ]
+    assert df.count() == 826
+
+
+@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+def test_query_equals_sql(spark, name):
+    count, extra, lacking = differences(
+        spark, SF_DIR, entry_point.queries()[name], entry_point.oracle_sql()[name]
+    )
+    assert count > 0
+    assert not extra and not lacking, (list(extra)[:3], list(lacking)[:3])
