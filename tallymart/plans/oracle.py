@@ -98,11 +98,14 @@ current AS (
   SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY changed_at DESC, status DESC) = 1)
 """
 
-ORACLE: dict[str, str] = {
-    "incentive_monthly": f"""{WITH}
+INCENTIVE_MONTHLY = f"""{WITH}
 SELECT store_id, sales_person_id, full_name, sales_month, CAST(total AS DOUBLE) AS total_sales, {INCENTIVE}
 FROM ranked
-""",
+"""
+
+ORACLE: dict[str, str] = {
+    "incentive_monthly": INCENTIVE_MONTHLY,
+    "incentive_from_rows": INCENTIVE_MONTHLY,
     "seller_monthly": f"""{WITH}
 SELECT store_id, sales_person_id, full_name, sales_month, CAST(total AS DOUBLE) AS total_sales
 FROM seller_totals
@@ -121,6 +124,8 @@ FROM sales
 """,
     "customer_monthly": CUSTOMER_MONTHLY,
     "customer_monthly_window": CUSTOMER_MONTHLY,
+    "customer_monthly_of_known_sales": CUSTOMER_MONTHLY,
+    "customer_monthly_from_rows": CUSTOMER_MONTHLY,
     "customer_daily": f"""{WITH}
 SELECT customer_id, sales_month, CAST(sales_date AS VARCHAR) AS sales_date,
        CAST(sum(total_cost) AS DOUBLE) AS total_sales

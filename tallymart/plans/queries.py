@@ -17,7 +17,7 @@ from tallymart.plans import ledger, marts
 from tallymart.plans.ingest import Dimensions, Layout
 from tallymart.schemas import SALES_MART, SELLER_REPORT
 from tallymart.session import scratch_dir
-from tallymart.sinks.files import write_csv, write_partitioned, write_run
+from tallymart.sinks.files import write_csv, write_parquet, write_partitioned, write_run
 from tallymart.sources import csv_files, star
 from tallymart.sources.tables import latest_run, read_csv, read_parquet
 from tallymart.streaming.arrivals import ingest_arrivals
@@ -102,6 +102,29 @@ def customer_monthly_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_monthly_of_known_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mart over the sales that have a known store and seller as well."""
+    return as_doubles(
+        marts.customer_monthly(
+            star.sales(spark, sf_dir),
+            star.customers(spark, sf_dir),
+            star.stores(spark, sf_dir),
+            star.sellers(spark, sf_dir),
+        )
+    )
+
+
+def customer_monthly_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same mart from the row-level customer mart."""
+    return as_doubles(totals.customer_month_totals(projections.customer_mart(enriched(spark, sf_dir))))
+
+
+def incentive_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seller totals and incentives from the row-level sales mart."""
+    per_seller = totals.seller_month_totals(projections.sales_mart(enriched(spark, sf_dir)))
+    return as_doubles(ranking.incentives(per_seller))
+
+
 def customer_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     daily = totals.customer_day_totals(star.customer_lines(spark, sf_dir))
     return as_doubles(daily.withColumn("sales_date", F.col("sales_date").cast("string")))
@@ -206,10 +229,16 @@ def show_sales(sales: DataFrame) -> DataFrame:
     return as_doubles(sales.withColumn("sales_date", F.col("sales_date").cast("string")))
 
 
-def load_landing(spark: SparkSession, landing: str) -> DataFrame:
+def written_manifest(spark: SparkSession, landing: str) -> DataFrame:
+    """The verdict on every file of a landing folder, kept as a table so that headers are probed once."""
     listing = csv_files.require_files(csv_files.list_files(spark, landing), "files")
-    manifest = csv_files.check_headers(listing, csv_files.probe_headers(spark, landing))
-    return csv_files.read_sales(spark, manifest)
+    path = scratch_dir(spark, "manifest")
+    write_parquet(csv_files.check_headers(listing, csv_files.probe_headers(spark, landing)), path)
+    return read_parquet(spark, path)
+
+
+def load_landing(spark: SparkSession, landing: str) -> DataFrame:
+    return csv_files.read_sales(spark, written_manifest(spark, landing))
 
 
 def normalise_extra_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,8 +273,7 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = write_layouts(spark, sf_dir, landing)
     write_csv(lines.select("customer_id", "sales_date", "quantity"), f"{landing}/short")
     star.products(spark, sf_dir).select("name").write.text(f"{landing}/notes")
-    listing = csv_files.list_files(spark, landing)
-    manifest = csv_files.check_headers(listing, csv_files.probe_headers(spark, landing))
+    manifest = written_manifest(spark, landing)
     per_file = (
         spark.read.option("recursiveFileLookup", "true")
         .text(landing)
@@ -336,6 +364,9 @@ QUERIES: dict[str, Query] = {
     "sales_with_seller_total": sales_with_seller_total,
     "customer_monthly": customer_monthly,
     "customer_monthly_window": customer_monthly_window,
+    "customer_monthly_of_known_sales": customer_monthly_of_known_sales,
+    "customer_monthly_from_rows": customer_monthly_from_rows,
+    "incentive_from_rows": incentive_from_rows,
     "customer_daily": customer_daily,
     "enriched_sales": enriched_sales,
     "customer_mart_rows": customer_mart_rows,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -21,6 +22,23 @@ SETTINGS = {
 }
 
 
+PARTITION_BYTES = 128 * 1024 * 1024
+MOST_SHUFFLE_PARTITIONS = 100_000
+
+
+def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
+    """Partition counts for an input size, so that a shuffle partition fits an executor core's memory.
+
+    The count is the upper end: AQE merges what turns out small.
+    """
+    partitions = min(max(math.ceil(input_bytes / PARTITION_BYTES), cores), MOST_SHUFFLE_PARTITIONS)
+    return {
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES * (4 if partitions > 20 * cores else 1)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
+    }
+
+
 def build_session(app_name: str = "tallymart", master: str | None = None, **settings: str) -> SparkSession:
     """A session with the settings above; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)

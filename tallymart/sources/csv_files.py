@@ -166,6 +166,7 @@ def read_layout(spark: SparkSession, paths: Sequence[str], columns: Sequence[str
 def read_sales(spark: SparkSession, manifest: DataFrame) -> DataFrame:
     """All accepted files as one typed frame with ``bad_cells`` and ``raw_line``.
 
+    The manifest is read once per layout, so it should be a written table.
     The union has one branch per distinct header line, whatever the number of files. The
     driver holds the file paths, as it does for any file scan, and nothing of their content.
     """

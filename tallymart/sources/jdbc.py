@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +37,14 @@ class JdbcReader:
             numPartitions=split.partitions,
             properties=self.properties,
         )
+
+
+# Names of the dimension tables.
+DIMENSION_TABLES = ["customer", "store", "sales_team", "product"]
+
+
+def dimension_tables(
+    spark: SparkSession, reader: JdbcReader, splits: Mapping[str, Split] | None = None
+) -> dict[str, DataFrame]:
+    """The dimension tables by name, each read in parallel if it has a split."""
+    return {name: reader.table(spark, name, (splits or {}).get(name)) for name in DIMENSION_TABLES}

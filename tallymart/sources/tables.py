@@ -32,6 +32,9 @@ def from_rows(spark: SparkSession, rows: Iterable[tuple], schema: T.StructType)
 
 
 def latest_run(df: DataFrame, keys: Sequence[str] = (), run_column: str = "run_id") -> DataFrame:
-    """Rows of the newest run, or of the newest run of each key, of a run-stamped table."""
+    """Rows of the newest run, or of the newest run of each key, of a run-stamped table.
+
+    Without keys the newest run is a single row and is broadcast.
+    """
     newest = df.groupBy(*keys).agg(F.max(run_column).alias(run_column))
-    return same_keys(df, newest, [*keys, run_column], "left_semi")
+    return same_keys(df, newest if keys else F.broadcast(newest), [*keys, run_column], "left_semi")

@@ -240,3 +240,11 @@ def test_copying_a_processed_file_to_a_new_name_is_a_new_file(spark, job):
     shutil.copy(landing / "a.csv", landing / "b.csv")
     run()
     assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("10.00"),)]
+
+
+def test_partition_counts_follow_the_input():
+    from tallymart.session import settings_for
+
+    assert settings_for(1, 8)["spark.sql.shuffle.partitions"] == "8"
+    assert settings_for(10**12, 800)["spark.sql.shuffle.partitions"] == "7451"
+    assert settings_for(10**14, 8000)["spark.sql.shuffle.partitions"] == "100000"

@@ -11,7 +11,7 @@ from tallymart.schemas import SELLER_REPORT
 from tallymart.sinks import files
 from tallymart.sinks.jdbc import JdbcWriter
 from tallymart.sources import tables
-from tallymart.sources.jdbc import JdbcReader, Split
+from tallymart.sources.jdbc import DIMENSION_TABLES, JdbcReader, Split, dimension_tables
 
 D = Decimal
 
@@ -102,6 +102,15 @@ def test_jdbc_reader_asks_for_parallel_partitions():
     assert (reader.calls[1]["lowerBound"], reader.calls[1]["upperBound"]) == (1, 1000)
 
 
+def test_dimension_tables_are_read_by_name():
+    reader = Recorder()
+    found = dimension_tables(
+        SimpleNamespace(read=reader), JdbcReader("jdbc:x", {}), {"customer": Split("customer_id", 1, 100, 4)}
+    )
+    assert list(found) == DIMENSION_TABLES == [call["table"] for call in reader.calls]
+    assert [call.get("numPartitions") for call in reader.calls] == [4, None, None, None]
+
+
 def test_jdbc_writer_appends_stamped_rows_and_raises():
     writer = Recorder()
     stamped = []
