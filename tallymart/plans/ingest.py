@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymart.functions import month_of
+from tallymart.functions import month_of, new_run_id
 from tallymart.operators.joins import enrich, unmatched_report
 from tallymart.operators.projections import customer_mart, sales_mart
 from tallymart.operators.ranking import incentives
@@ -54,19 +54,23 @@ class Dimensions:
     sales_team: DataFrame
 
 
-@dataclass(frozen=True)
 class Layout:
-    """Where a job keeps its tables."""
-
-    root: str
-
-    def __post_init__(self):
-        object.__setattr__(self, "root", self.root.rstrip("/"))
-
-    def __getattr__(self, name: str) -> str:
-        if name.startswith("_"):
-            raise AttributeError(name)
-        return f"{self.root}/{name}"
+    """Where a job keeps its tables and the state of its stream."""
+
+    def __init__(self, root: str):
+        self.root = root.rstrip("/")
+        self.arrivals = f"{self.root}/arrivals"
+        self.arrived = f"{self.root}/arrived"
+        self.manifest = f"{self.root}/manifest"
+        self.quarantine = f"{self.root}/quarantine"
+        self.empty_files = f"{self.root}/empty_files"
+        self.ledger = f"{self.root}/ledger"
+        self.sales = f"{self.root}/sales"
+        self.unmatched = f"{self.root}/unmatched"
+        self.customer_mart = f"{self.root}/customer_mart"
+        self.sales_mart = f"{self.root}/sales_mart"
+        self.customer_monthly = f"{self.root}/customer_monthly"
+        self.seller_monthly = f"{self.root}/seller_monthly"
 
 
 def set_empty_files_aside(spark: SparkSession, landing: str, layout: Layout) -> bool:
@@ -162,6 +166,25 @@ def rebuild_months(
         jdbc.append(written.where(in_months(months)), "sales_team_data_mart", run_id)
 
 
+def publish_sales(
+    spark: SparkSession,
+    sales: DataFrame,
+    dimensions: Dimensions,
+    layout: Layout,
+    run_id: int | None = None,
+    jdbc: JdbcWriter | None = None,
+    by_store: bool = True,
+) -> int:
+    """All marts of one run from typed sales; without a run id, the run is named after the time.
+
+    The sales mart has a folder per month and, with ``by_store``, one per store in it.
+    """
+    run_id = new_run_id() if run_id is None else run_id
+    write_row_marts(sales, dimensions, layout, run_id, by_store)
+    rebuild_months(spark, dimensions, layout, run_id, jdbc)
+    return run_id
+
+
 def process_run(
     spark: SparkSession,
     listing: DataFrame,
@@ -171,10 +194,7 @@ def process_run(
     jdbc: JdbcWriter | None = None,
     by_store: bool = True,
 ) -> bool:
-    """One run over newly arrived files. Returns whether any file was good enough to load.
-
-    The sales mart has a folder per month and, with ``by_store``, one per store in it.
-    """
+    """One run over newly arrived files. Returns whether any file was good enough to load."""
     manifest = check_files(spark, listing, layout, run_id)
     good = accepted(manifest)
     if good.isEmpty():
@@ -182,7 +202,6 @@ def process_run(
         return False
     ledger.record(good, layout.ledger, run_id, ledger.OPEN)
     sales = load_sales(spark, manifest, layout, run_id)
-    write_row_marts(sales, dimensions, layout, run_id, by_store)
-    rebuild_months(spark, dimensions, layout, run_id, jdbc)
+    publish_sales(spark, sales, dimensions, layout, run_id, jdbc, by_store)
     ledger.record(good, layout.ledger, run_id, ledger.CLOSED)
     return True

@@ -20,7 +20,7 @@ def read_parquet(spark: SparkSession, path: str, schema: T.StructType | None = N
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """A CSV table with a header, under a declared schema: no inference pass."""
-    return spark.read.schema(schema).option("header", "true").csv(path)
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(path)
 
 
 def read_payments(spark: SparkSession, path: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallymart.plans import ledger
 from tallymart.plans.ingest import Dimensions, Layout, process_run, set_empty_files_aside
+from tallymart.sinks.files import write_run
 from tallymart.sinks.jdbc import JdbcWriter
 from tallymart.sources.csv_files import (
     NoInputError,
@@ -78,10 +79,10 @@ def ingest_arrivals(
     check_previous_run(spark, landing, layout, on_failed_run)
     loaded: list[bool] = []
 
-    def run(files: DataFrame, batch_id: int) -> None:
-        loaded.append(
-            process_run(files.sparkSession, files, batch_id, layout, dimensions, jdbc, by_store)
-        )
+    def run(files: DataFrame, run_id: int) -> None:
+        # The list is written so that the run's work belongs to the caller's session and settings.
+        listing = spark.read.parquet(write_run(files, layout.arrived, run_id))
+        loaded.append(process_run(spark, listing, run_id, layout, dimensions, jdbc, by_store))
 
     query = (
         arrivals(spark, landing, max_files, archive)

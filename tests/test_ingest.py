@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fixtures import rows_of, sale, sales_frame
 from tallymart.plans import ledger, marts
-from tallymart.plans.ingest import Layout
+from tallymart.plans.ingest import Layout, publish_sales
 from tallymart.schemas import LEDGER, MANDATORY_COLUMNS
 from tallymart.session import scratch_dir
 from tallymart.sources import synth
@@ -59,7 +59,8 @@ def test_two_runs_over_one_month_equal_one_run_over_both(spark, job, dimensions)
     actual = spark.read.parquet(layout.seller_monthly)
     assert rows_of(actual, *sorted(actual.columns)) == rows_of(expected, *sorted(actual.columns))
     assert spark.read.parquet(layout.sales_mart).count() == 500
-    assert spark.read.parquet(layout.customer_mart).agg(F.sum("total_cost")).first()[0] == sales.agg(F.sum("total_cost")).first()[0]
+    grand = sales.agg(F.sum("total_cost")).first()[0]
+    assert spark.read.parquet(layout.customer_mart).agg(F.sum("total_cost")).first()[0] == grand
     quarantine = spark.read.parquet(layout.quarantine)
     assert rows_of(quarantine, "file_name", "reason") == [("notes.txt", "not_csv"), ("short.csv", "missing_columns")]
     states = ledger.current_status(ledger.read_ledger(spark, layout.ledger))
@@ -99,7 +100,9 @@ def test_bad_rows_unknown_keys_and_null_dates(spark, job):
     bad = spark.read.parquet(layout.sales).where("verdict = 'rejected'")
     assert rows_of(bad, "raw_line", "bad_cells") == [("1,121,sugar,2023-03-03,[1],50,1,80", ["sales_person_id"])]
     lost = spark.read.parquet(layout.unmatched)
-    assert rows_of(lost, "key_column", "key_value", "sales_rows", "lost_amount") == [("customer_id", "99", 1, D("70.00"))]
+    assert rows_of(lost, "key_column", "key_value", "sales_rows", "lost_amount") == [
+        ("customer_id", "99", 1, D("70.00"))
+    ]
 
 
 def test_run_whose_sales_are_all_unmatched(spark, job):
@@ -248,3 +251,12 @@ def test_partition_counts_follow_the_input():
     assert settings_for(1, 8)["spark.sql.shuffle.partitions"] == "8"
     assert settings_for(10**12, 800)["spark.sql.shuffle.partitions"] == "7451"
     assert settings_for(10**14, 8000)["spark.sql.shuffle.partitions"] == "100000"
+
+
+def test_sales_from_any_frame_are_published_under_a_time_stamped_run(spark, tmp_path, dimensions):
+    layout = Layout(str(tmp_path / "marts"))
+    first = publish_sales(spark, sales_frame(spark, sale(cost="5.00")), dimensions, layout)
+    second = publish_sales(spark, sales_frame(spark, sale(cost="7.00")), dimensions, layout, run_id=first + 1000)
+    assert first % 1000 == 0 and second == first + 1000
+    assert (tmp_path / "marts" / "sales_mart" / f"run_id={first}" / "sales_month=2023-03" / "store_id=121").is_dir()
+    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("12.00"),)]

@@ -122,7 +122,9 @@ def test_incentive_pays_every_tied_winner_of_its_own_total(spark, dimensions):
 
 def test_incentives_with_a_null_month(spark):
     rows = [(1, 1, None, D("5.00")), (1, 2, None, D("7.00"))]
-    df = spark.createDataFrame(rows, "store_id long, sales_person_id long, sales_month string, total_sales decimal(18,2)")
+    df = spark.createDataFrame(
+        rows, "store_id long, sales_person_id long, sales_month string, total_sales decimal(18,2)"
+    )
     assert rows_of(ranking.incentives(df), "sales_person_id", "incentive") == [(1, D("0.00")), (2, D("0.07"))]
 
 
@@ -159,14 +161,16 @@ def test_customer_day_totals(spark):
 
 
 def test_total_by_is_sorted_and_rounded(spark):
-    df = spark.createDataFrame([("b", D("0.125")), ("a", D("9.004")), ("c", D("1.000"))], "k string, v decimal(10,3)")
+    rows = [("b", D("0.125")), ("a", D("9.004")), ("c", D("1.000"))]
+    df = spark.createDataFrame(rows, "k string, v decimal(10,3)")
     assert [tuple(r) for r in totals.total_by(df, "k", "v", "t").collect()] == [
         ("b", D("0.13")), ("c", D("1.00")), ("a", D("9.00")),
     ]
 
 
 def test_profile_counts_each_column(spark):
-    df = projections.rename_columns(spark.createDataFrame([("x", 1), ("y", 1), (None, 1)], "`Pay Mode` string, Amount int"))
+    raw = spark.createDataFrame([("x", 1), ("y", 1), (None, 1)], "`Pay Mode` string, Amount int")
+    df = projections.rename_columns(raw)
     assert df.columns == ["pay_mode", "amount"]
     assert tuple(totals.profile(df, df.columns).first()) == (3, 2, 1)
     assert tuple(totals.profile(df, df.columns, approximate=True).first()) == (3, 2, 1)
@@ -187,12 +191,13 @@ def test_marts_share_one_grand_total(spark, dimensions):
     assert spent.agg(F.sum("total_sales")).first()[0] == grand
     assert paid.agg(F.sum("total_sales")).first()[0] == grand
     winners = ranking.top_of_group(paid, ranking.STORE_MONTH, "total_sales")
-    assert winners.select(*ranking.STORE_MONTH).distinct().count() == paid.select(*ranking.STORE_MONTH).distinct().count()
+    groups = [df.select(*ranking.STORE_MONTH).distinct().count() for df in (winners, paid)]
+    assert groups[0] == groups[1]
     assert winners.agg(F.sum("incentive")).first()[0] == paid.agg(F.sum("incentive")).first()[0]
     assert winners.where("incentive <> round(total_sales * 0.01, 2)").isEmpty()
 
 
 def test_unknown_dimension_rows_do_not_multiply(spark):
     sales = sales_frame(spark, sale(), sale())
-    out = joins.enrich(sales, customer_frame(spark, range(1, 26)), store_frame(spark, (121, 122, 123, 124)), seller_frame(spark, range(1, 11)))
-    assert out.count() == 2
+    customer, store = customer_frame(spark, range(1, 26)), store_frame(spark, (121, 122, 123, 124))
+    assert joins.enrich(sales, customer, store, seller_frame(spark, range(1, 11))).count() == 2
