@@ -55,10 +55,10 @@ def with_seller(sales: DataFrame, sales_team: DataFrame) -> DataFrame:
 def enrich(sales: DataFrame, customer: DataFrame, store: DataFrame, sales_team: DataFrame) -> DataFrame:
     """One row per sale with its customer, store and seller; sales with an unknown key drop out.
 
-    ``unmatched_sales`` reports the ones that do.
+    ``unmatched_report`` counts the ones that do.
     """
     lines = sales.select("customer_id", "store_id", "sales_person_id", "sales_date", "total_cost")
-    return with_customer(with_seller(with_store(lines, store), sales_team), customer)
+    return with_customer(with_store(with_seller(lines, sales_team), store), customer)
 
 
 def with_product(sales: DataFrame, product: DataFrame) -> DataFrame:
@@ -85,24 +85,27 @@ def unmatched_sales(sales: DataFrame, key: str, dimension: DataFrame, dimension_
 def unmatched_report(sales: DataFrame, dimensions: Mapping[str, tuple[DataFrame, str]]) -> DataFrame:
     """Lost sales per dimension key: key column, key value, rows, amount.
 
-    Sales are counted per key before the anti join, so a hot key travels as one row per task.
+    One pass counts the sales per value of each key, so that a hot key travels as one row
+    per task; only the counts meet the dimensions, in one anti join for all of them.
     """
-    parts = []
-    for key, (dimension, dimension_key) in dimensions.items():
-        per_key = sales.groupBy(key).agg(
-            F.count(F.lit(1)).alias("sales_rows"),
-            F.sum("total_cost").alias("lost_amount"),
-        )
-        lost = unmatched_sales(per_key, key, dimension, dimension_key)
-        parts.append(
-            lost.select(
-                F.lit(key).alias("key_column"),
-                F.col(key).cast("string").alias("key_value"),
-                "sales_rows",
-                "lost_amount",
-            )
-        )
-    return reduce(DataFrame.unionByName, parts)
+    keys = list(dimensions)
+    counted = sales.groupingSets([[k] for k in keys], *keys).agg(
+        *[F.grouping(k).alias(f"__no_{k}") for k in keys],
+        F.count(F.lit(1)).alias("sales_rows"),
+        F.sum("total_cost").alias("lost_amount"),
+    )
+    counted_by = [F.when(F.col(f"__no_{k}") == 0, F.lit(k)) for k in keys]
+    per_key = counted.select(
+        F.coalesce(*counted_by).alias("key_column"),
+        F.coalesce(*[F.col(k).cast("string") for k in keys]).alias("key_value"),
+        "sales_rows",
+        "lost_amount",
+    )
+    known = [
+        dimension.select(F.lit(k).alias("key_column"), F.col(key).cast("string").alias("key_value"))
+        for k, (dimension, key) in dimensions.items()
+    ]
+    return per_key.join(reduce(DataFrame.unionByName, known), ["key_column", "key_value"], "left_anti")
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

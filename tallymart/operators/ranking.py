@@ -47,7 +47,7 @@ def rank_within(
     """
     position = F.signum(F.col(value).cast("double")) * F.log1p(F.abs(F.col(value).cast("double")))
     counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    spans = df.groupBy(*keys).agg(F.min(position).alias("__lo"), F.max(position).alias("__hi"))
+    spans = counted.groupBy(*keys).agg(F.min(position).alias("__lo"), F.max(position).alias("__hi"))
     share = (F.col("__hi") - position) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     band = F.when(F.col(value).isNull(), F.lit(bands)).otherwise(
         F.coalesce(F.least(F.floor(share * bands), F.lit(bands - 1)), F.lit(0))

@@ -320,8 +320,9 @@ def failed_run_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing = (
         star.table(spark, sf_dir, "lineitem")
         .where("l_linestatus = 'O'")
-        .select(F.concat(F.lit("sales_"), F.col("l_orderkey").cast("string"), F.lit(".csv")).alias("file_name"))
+        .select("l_orderkey")
         .distinct()
+        .select(F.concat(F.lit("sales_"), F.col("l_orderkey").cast("string"), F.lit(".csv")).alias("file_name"))
     )
     return ledger.failed_files(order_ledger(spark, sf_dir), listing)
 

@@ -6,6 +6,7 @@ text scan of the new files, and the load is one CSV scan for each distinct heade
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -71,6 +72,11 @@ def with_file_type(listing: DataFrame) -> DataFrame:
     return listing.withColumn("is_csv", F.col("file_name").endswith(".csv"))
 
 
+def literal(path: str) -> str:
+    """A path to be read as it is, not as a pattern."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
 def probe_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """The header line of each CSV file: the first non-blank line of its first block.
 
@@ -79,7 +85,7 @@ def probe_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     lines = (
         spark.read.option("pathGlobFilter", "*.csv")
         .option("recursiveFileLookup", "true")
-        .text(paths if isinstance(paths, str) else list(paths))
+        .text(paths if isinstance(paths, str) else [literal(p) for p in paths])
         .select(
             F.col("_metadata.file_path").alias("uri"),
             F.col("_metadata.file_block_start").alias("block_start"),
@@ -160,7 +166,7 @@ def typed_sales(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
 def read_layout(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Files that share one header line, as text columns named by their position in it."""
     schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(columns))])
-    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(list(paths))
+    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(list(map(literal, paths)))
 
 
 def read_sales(spark: SparkSession, manifest: DataFrame) -> DataFrame:

@@ -52,7 +52,7 @@ def sales(spark: SparkSession, sf_dir: str, product: bool = False, extras: bool
     stores = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("sales_person_id"), F.col("s_nationkey").cast("bigint").alias("store_id")
     )
-    joined = lines.join(stores, "sales_person_id").join(orders, "o_orderkey")
+    joined = lines.join(orders, "o_orderkey")
     if product:
         parts = products(spark, sf_dir).select(
             F.col("id").alias("p_partkey"),
@@ -60,7 +60,8 @@ def sales(spark: SparkSession, sf_dir: str, product: bool = False, extras: bool
             F.col("current_price").cast("decimal(18,2)").alias("price"),
         )
         joined = joined.join(parts, "p_partkey")
-    return joined.select(
+    # The store comes last: what joins sellers next finds the rows partitioned by seller already.
+    return joined.join(stores, "sales_person_id").select(
         "customer_id",
         "store_id",
         *(["product_name"] if product else []),

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
-from decimal import Decimal
+import csv
+import random
+from datetime import date
+from decimal import Decimal, InvalidOperation
 
 import pytest
 
@@ -129,3 +132,72 @@ def test_no_usable_file_gives_an_empty_typed_frame(spark, tmp_path):
     sales = load(spark, tmp_path)
     assert cf.good_rows(sales).schema.fieldNames() == SALES.fieldNames()
     assert sales.isEmpty()
+
+
+def test_file_names_are_not_patterns(spark, tmp_path):
+    put(tmp_path, "sales[1]{a,b}.csv", f"{HEADER}\n{LINE}\n")
+    listing = cf.list_files(spark, str(tmp_path))
+    paths = [r.path for r in listing.collect()]
+    manifest = cf.check_headers(listing, cf.probe_headers(spark, paths))
+    assert cf.read_sales(spark, manifest).count() == 1
+
+
+def parsed(column, text):
+    """What a cell should become: its value, None for an empty cell, ValueError for bad text."""
+    if text == "":
+        return None
+    if column == "product_name":
+        return text
+    try:
+        if column == "sales_date":
+            return date.fromisoformat(text)
+        if column in ("price", "total_cost"):
+            return Decimal(text).quantize(Decimal("0.01"))
+        return int(text)
+    except InvalidOperation as error:
+        raise ValueError(text) from error
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_random_files_against_plain_python(spark, tmp_path, seed):
+    rnd = random.Random(seed)
+    cells = {
+        "customer_id": ["1", "20", "", "x", "[1, 2]"],
+        "store_id": ["121", "", "12.5"],
+        "product_name": ["sugar", 'say "hi"', "a, b", ""],
+        "sales_date": ["2023-03-03", "2024-02-29", "", "2023-02-30", "03/03/2023"],
+        "sales_person_id": ["1", "9", "?"],
+        "price": ["1.5", "212", "", "free"],
+        "quantity": ["3", "", "three"],
+        "total_cost": ["4.50", "636", "", "1,000"],
+    }
+    extras = ["payment_mode", "note, long", "city"]
+    good, bad, reasons = [], 0, {}
+    for i in range(12):
+        columns = list(cells)
+        rnd.shuffle(columns)
+        dropped = columns.pop() if i % 6 == 5 else None
+        for extra in rnd.sample(extras, rnd.randrange(3)):
+            columns.insert(rnd.randrange(len(columns) + 1), extra)
+        name = f"f{i}.csv"
+        reasons[name] = cf.MISSING_COLUMNS if dropped else None
+        with open(tmp_path / name, "w", newline="", encoding="utf-8") as file:
+            out = csv.writer(file)
+            out.writerow(columns)
+            for _ in range(rnd.randrange(6)):
+                row = {c: rnd.choice(cells[c] if c in cells else ["cash", "u, v", ""]) for c in columns}
+                out.writerow([row[c] for c in columns])
+                if dropped:
+                    continue
+                try:
+                    values = [parsed(c, row[c]) for c in MANDATORY_COLUMNS]
+                except ValueError:
+                    bad += 1
+                    continue
+                extra_cells = [row[c] for c in columns if c not in cells]
+                packed = ", ".join(c for c in extra_cells if c) if extra_cells else None
+                good.append((*values, packed))
+    assert {n: r.reason for n, r in verdicts(spark, tmp_path).items()} == reasons
+    sales = load(spark, tmp_path)
+    assert rows_of(cf.good_rows(sales)) == sorted(good, key=repr)
+    assert cf.bad_rows(sales).count() == bad
