@@ -67,14 +67,16 @@ def ingest_arrivals(
     on_failed_run: str = "retry",
     jdbc: JdbcWriter | None = None,
     by_store: bool = True,
+    report_empty: bool = True,
 ) -> None:
     """Process everything that has arrived since the last call, then stop.
 
     Raises if the landing folder is empty, or if there were new files and none was usable.
+    ``report_empty`` lists zero-byte files, for which the driver goes through all file names
+    of the landing folder; switch it off for a folder of millions that is not archived.
     """
     layout = Layout(root)
-    any_empty = set_empty_files_aside(spark, landing, layout)
-    if not any_empty:
+    if not (report_empty and set_empty_files_aside(spark, landing, layout)):
         require_files(list_files(spark, landing), f"files in {landing}")
     check_previous_run(spark, landing, layout, on_failed_run)
     loaded: list[bool] = []
