@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import atexit
+import functools
+import shutil
+import tempfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tallymart.session import scratch_dir
 
@@ -24,6 +29,26 @@ ALNUM = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65
 SLICE_BYTES = 8 << 20
 
 
+_shipped: set[str] = set()
+
+
+def on_executors(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """Sends this package to the executors, once for each application, before ``function(spark, ...)`` runs."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, *args) -> DataFrame:
+        context = spark.sparkContext
+        if context.applicationId not in _shipped:
+            package = Path(__file__).resolve().parents[1]
+            folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the archive from here until it ends
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+            _shipped.add(context.applicationId)
+        return function(spark, *args)
+
+    return run
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared scratch folder and read again: later steps start from files, not from lineage."""
     spark = df.sparkSession

@@ -37,5 +37,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = written(_by_least(_by_least(now, True), False), "edges")
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
-            return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
+            least = now.select("v", F.col("v").alias("component")).distinct()
+            return now.union(least).toDF("node", "component")
         mark = seen

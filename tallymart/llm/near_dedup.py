@@ -10,13 +10,14 @@ of one word has that word as its set, a document without words is linked with no
    register borrows from others in a fixed order of probes.
 3. Bands of ``ROWS`` registers make buckets. Every member of a bucket is compared with one member (the hub); hubs are
    chosen by one global order, so a group meets the same hub in all its bands.
-4. Buckets whose members are still in several components afterwards compare the rest, in blocks and only across
-   components. So no pair that shares a bucket stays untested unless it is connected already.
+4. Where the members of a bucket are still in several components, all its pairs across components are compared, in cells
+   of two blocks of members that hold the whole sets. So no pair that shares a bucket stays untested unless it is
+   connected already, and a cell gives back fewer links than it has members.
 5. A pair is verified on its whole sets if the Jaccard estimate from the registers, corrected for chance agreement,
    is within ``MARGIN`` of the limit.
 
 A pair at the limit of 0.8 shares no band with probability (1 - 0.8**5)**32 = 3e-6, and the estimate strays by more
-than the margin, over four standard deviations, with about the same.
+than the margin, almost four standard deviations, with 1e-4; most documents of a group have many such pairs.
 """
 
 from __future__ import annotations
@@ -36,8 +37,8 @@ BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
 MANTISSA_BITS = 10
 PROBES = 24
-MARGIN = 0.14
-BLOCK = 1024
+MARGIN = 0.12
+BLOCK, GROUP = 512, 1 << 16
 
 _U = np.uint64
 _TEXT_SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, registers binary, bands array<long>"
@@ -203,30 +204,53 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limit: flo
 
 
 def _rest(limit: float):
-    """Pairs of one block cell of a bucket that are in different components, near enough and not compared with the hub."""
+    """Links of one cell (two blocks of a group) that connect what isn't connected yet.
 
-    def cell(key: tuple[pa.Scalar, ...], batches: pa.Table) -> pa.Table:
+    Pairs are verified on their whole sets, most promising first; a pair that earlier ones have connected is left out,
+    so a cell gives fewer links than it has members.
+    """
+    share = round(100 * limit)
+
+    def cell(key: tuple[pa.Scalar, ...], rows: pa.Table) -> pa.Table:
         left, right = key[-2].as_py(), key[-1].as_py()
-        ids, comp, hub, n = (batches.column(c).to_numpy() for c in ("rep", "component", "hub", "n_shingles"))
-        block, regs = batches.column("block").to_numpy(), _matrix(batches.column("registers").combine_chunks())
+        ids, comp, n, block = (rows.column(c).to_numpy() for c in ("rep", "component", "n_shingles", "block"))
+        regs = _matrix(rows.column("registers").combine_chunks())
+        sets = [np.frombuffer(x, np.uint64) for x in rows.column("shingles").to_pylist()]
         x, y = np.flatnonzero(block == left), np.flatnonzero(block == right)
-        out = []
+        found = []
         for i in x.tolist():
-            j = y[(ids[y] != ids[i]) & (comp[y] != comp[i]) & (ids[y] != hub[y])]
-            if left == right:
-                j = j[ids[j] > ids[i]]
-            if ids[i] == hub[i] or not len(j):
-                continue
-            near = estimate(regs[j], regs[i][None, :], n[j], np.full(len(j), n[i])) >= limit - MARGIN
-            out.append(np.stack((np.minimum(ids[i], ids[j[near]]), np.maximum(ids[i], ids[j[near]])), axis=1))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            j = y[comp[y] != comp[i]]
+            j = j[j > i] if left == right else j
+            j = j[np.minimum(n[j], n[i]) * 100 >= share * np.maximum(n[j], n[i])]
+            if len(j):
+                guess = estimate(regs[j], regs[i][None, :], n[j], np.full(len(j), n[i]))
+                near = guess >= limit - MARGIN
+                found.append((guess[near], np.full(near.sum(), i), j[near]))
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                parent[c] = c = parent.get(parent[c], parent[c])
+            return c
+
+        links = []
+        if found:
+            guess, i, j = (np.concatenate(f) for f in zip(*found, strict=True))
+            order = np.argsort(-guess, kind="stable")
+            for a, b in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                u, v = root(int(comp[a])), root(int(comp[b]))
+                if u != v:
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if 100 * both >= share * (len(sets[a]) + len(sets[b]) - both):
+                        parent[max(u, v)] = min(u, v)
+                        links.append((int(min(ids[a], ids[b])), int(max(ids[a], ids[b]))))
+        return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
 
     return cell
 
 
 def links(docs: DataFrame, limit: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows, (sig1, sig2, rep) of every class, and the verified links (a, b) between representatives.
+    """Sketches of all rows, (sig1, sig2, rep) of every class, and verified links (a, b) that connect the representatives.
 
     ``docs`` has doc_id and text. Rows of one doc_id count as one document. A null id is linked with nothing.
     """
@@ -246,25 +270,35 @@ def links(docs: DataFrame, limit: float = 0.8) -> tuple[DataFrame, DataFrame, Da
     first = _verified(stars, reps, docs, limit)
 
     # Buckets of three or more that the first round has not made one component.
-    label = components(first.toDF("u", "v"))
-    labelled = (
-        shared.where("size > 2")
-        .join(label.withColumnRenamed("node", "rep"), "rep", "left")
-        .withColumn("component", F.coalesce("component", "rep"))
+    label = components(first.toDF("u", "v")).withColumnRenamed("node", "rep")
+    labelled = shared.where("size > 2").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    sides = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
+    left = common.written(labelled.join(sides.where("lo <> hi").select("band", "key"), ["band", "key"], "left_semi"), "open")
+    # A document shares most of its open buckets with the same others: they are compared once, as one group, unless
+    # the group has grown far beyond its buckets.
+    group = components(left.select(F.col("rep").alias("u"), F.col("hub").alias("v"))).toDF("rep", "group")
+    size = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
+    small = group.join(size.where(F.col("n") <= GROUP), "group").select("rep", "group", "n")
+    wide = left.join(small.select("rep"), "rep", "left_anti")
+    member = small.select(F.xxhash64(F.lit(1), "group").alias("group"), "rep", "n").union(
+        wide.select(F.xxhash64(F.lit(2), "band", "key").alias("group"), "rep", F.col("size").alias("n"))
     )
-    open_ = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-    rest = (
-        labelled.join(open_.select("band", "key"), ["band", "key"], "left_semi")
-        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    member = common.written(
+        member.withColumn("blocks", blocks)
         .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .join(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "registers"), "rep")
+        .join(left.select("rep", "component").distinct(), "rep"),
+        "members",
+    )
+    sets = docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
+    cells = (
+        member.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "registers"), "rep")
+        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("left", F.least("block", "other"))
         .withColumn("right", F.greatest("block", "other"))
     )
-    more = rest.groupBy("band", "key", "left", "right").applyInArrow(_rest(limit), "a long, b long").distinct()
-    more = common.written(more.join(stars, ["a", "b"], "left_anti"), "rest-pairs")
-    second = _verified(more, reps, docs, limit)
+    second = common.written(cells.groupBy("group", "left", "right").applyInArrow(_rest(limit), "a long, b long"), "more-links")
     return sketches, classes, first.union(second).distinct()
 
 
