@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from tallymart.llm import common
 
@@ -134,7 +135,7 @@ def mixed(docs: DataFrame, size: Column, source: str = "source") -> DataFrame:
         .withColumn("part", F.pmod("mark", F.col("parts")))
         .select("row", "size", "source_size", "target", "rate", "mark", "sid", "part")
     )
-    kinds = rated.schema.add("copies", "integer")
+    kinds = StructType([*rated.schema.fields, StructField("copies", IntegerType())])
     return rated.groupBy("sid", "part").applyInArrow(_copies, kinds).select("row", "size", "source_size", "target", "copies")
 
 
