@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from collections.abc import Sequence
 from decimal import Decimal
@@ -10,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallymart.schemas import MONEY
+from tallymart.schemas import MONEY, TOTAL
 
 # Fixed value: the top seller's share of their own monthly total.
 INCENTIVE_RATE = Decimal("0.01")
@@ -57,7 +58,7 @@ def sum_or_zero(value: Column | str) -> Column:
 def incentive_amount(total: Column | str, wins: Column) -> Column:
     """The winner's share of the total rounded half up to cents, 0 for everyone else."""
     total = F.col(total) if isinstance(total, str) else total
-    return F.when(wins, F.round(total * F.lit(INCENTIVE_RATE), 2)).otherwise(F.lit(Decimal("0.00")))
+    return F.when(wins, F.round(total * F.lit(INCENTIVE_RATE), 2)).otherwise(F.lit(Decimal("0.00"))).cast(TOTAL)
 
 
 def base_name(path: Column | str) -> Column:
@@ -65,10 +66,27 @@ def base_name(path: Column | str) -> Column:
 
 
 def try_typed(raw: Column, data_type: T.DataType) -> Column:
-    """Cast text to the declared type, null when it does not parse."""
-    return raw if isinstance(data_type, T.StringType) else F.trim(raw).try_cast(data_type)
+    """Cast text to the declared type, null when it does not parse or would lose something.
+
+    Money with more decimals than the type holds and dates that aren't whole ``yyyy-MM-dd`` are null, not rounded or completed.
+    """
+    if isinstance(data_type, T.StringType):
+        return raw
+    text = F.trim(raw)
+    if isinstance(data_type, T.DecimalType):
+        fits = text.rlike(rf"^[+-]?([0-9]+(\.[0-9]{{0,{data_type.scale}}}0*)?|\.[0-9]{{1,{data_type.scale}}}0*)$")
+    elif isinstance(data_type, T.DateType):
+        fits = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    else:
+        fits = F.lit(True)
+    return F.when(fits, text.try_cast(data_type))
 
 
 def new_run_id() -> int:
-    """Epoch milliseconds at whole seconds, taken once per run."""
-    return int(time.time()) * 1000
+    """Epoch microseconds and ten random bits: later runs have larger ids, and two in one instant differ."""
+    return time.time_ns() // 1000 * 1024 + random.getrandbits(10)
+
+
+def run_started(run_id: Column | str) -> Column:
+    """When a run got its id."""
+    return F.timestamp_micros((F.col(run_id) if isinstance(run_id, str) else run_id).cast("bigint") / 1024)

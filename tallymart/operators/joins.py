@@ -15,6 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+# The file that a sales line came from: kept beside the columns of the marts, so that its rows can be replaced.
+SOURCE_FILE = "source_file"
+
+
 def customer_side(customer: DataFrame) -> DataFrame:
     return customer.select("customer_id", "first_name", "last_name", "address", "pincode", "phone_number")
 
@@ -57,7 +61,8 @@ def enrich(sales: DataFrame, customer: DataFrame, store: DataFrame, sales_team:
 
     ``unmatched_report`` counts the ones that do.
     """
-    lines = sales.select("customer_id", "store_id", "sales_person_id", "sales_date", "total_cost")
+    kept = [SOURCE_FILE] if SOURCE_FILE in sales.columns else []
+    lines = sales.select("customer_id", "store_id", "sales_person_id", "sales_date", "total_cost", *kept)
     return with_customer(with_store(with_seller(lines, sales_team), store), customer)
 
 
@@ -109,7 +114,7 @@ def unmatched_report(sales: DataFrame, dimensions: Mapping[str, tuple[DataFrame,
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on keys that may be null (a missing sale date has the null month)."""
+    """Equi-join on keys that may be null. Where they can't be, a plain join needs no second exchange."""
     renamed = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])
     condition: Column = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]

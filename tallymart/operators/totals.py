@@ -62,6 +62,11 @@ def with_group_total(df: DataFrame, keys: Sequence[str], value: str, total: str)
     return same_keys(df, totals, keys)
 
 
+def distinct_group_totals(df: DataFrame, keys: Sequence[str], value: str, total: str) -> DataFrame:
+    """The distinct (keys, total) of ``with_group_total``: the totals themselves, in one pass."""
+    return df.groupBy(*keys).agg(F.sum(value).alias(total))
+
+
 def profile(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
     """Row count and distinct values of each column in one job."""
     distinct = F.approx_count_distinct if approximate else F.count_distinct

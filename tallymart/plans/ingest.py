@@ -1,8 +1,7 @@
 """From arrived files to published marts, one run at a time.
 
-Every step writes below ``root`` under the id of its run or, for the monthly marts, under
-the months the run touched. Repeating a run therefore replaces what it wrote, whichever
-step it had reached.
+Every step writes below ``root`` under the id of its run, and the run's completion is recorded last. Readers take
+complete runs only, and of each month the newest complete run that rebuilt it, so a run that died is never seen in part.
 """
 
 from __future__ import annotations
@@ -15,13 +14,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions import month_of, new_run_id
-from tallymart.operators.joins import enrich, unmatched_report
+from tallymart.operators.joins import SOURCE_FILE, enrich, unmatched_report
 from tallymart.operators.projections import customer_mart, sales_mart
 from tallymart.operators.ranking import incentives
 from tallymart.operators.totals import month_totals
-from tallymart.plans import ledger, marts
-from tallymart.schemas import CUSTOMER_MART, SALES_MART
-from tallymart.sinks.files import run_path, write_parquet, write_partitioned, write_run
+from tallymart.plans import ledger, marts, runs
+from tallymart.schemas import CUSTOMER_MART, SALES, SALES_MART
+from tallymart.sinks.files import run_path, write_parquet, write_run
 from tallymart.sinks.jdbc import JdbcWriter
 from tallymart.sources.csv_files import (
     NO_HEADER,
@@ -41,10 +40,28 @@ log = logging.getLogger(__name__)
 # Fixed value: the folder name Spark gives the partition of a null.
 NULL_PARTITION = "__HIVE_DEFAULT_PARTITION__"
 
+# The monthly marts, by the name of their month.
+_TEXT, _KEY, _TOTAL = T.StringType(), T.LongType(), T.DecimalType(28, 2)
+MONTHLY = {
+    "sales_date_month": T.StructType(
+        [T.StructField("customer_id", _KEY), T.StructField("full_name", _TEXT), T.StructField("address", _TEXT),
+         T.StructField("phone_number", _TEXT), T.StructField("total_sales", _TOTAL), T.StructField("sales_date_month", _TEXT)]
+    ),
+    "sales_month": T.StructType(
+        [T.StructField("store_id", _KEY), T.StructField("sales_person_id", _KEY), T.StructField("full_name", _TEXT),
+         T.StructField("total_sales", _TOTAL), T.StructField("incentive", _TOTAL), T.StructField("sales_month", _TEXT)]
+    ),
+}
+
 # The verdict on a sales line.
 ACCEPTED, REJECTED = "accepted", "rejected"
 
-MONTHLY_CUSTOMER_MART = T.StructType([*CUSTOMER_MART.fields, T.StructField("sales_month", T.StringType())])
+FILE = T.StructField(SOURCE_FILE, T.StringType())
+MONTH = T.StructField("sales_month", T.StringType())
+CUSTOMER_ROWS = T.StructType([*CUSTOMER_MART.fields, FILE, MONTH])
+SALES_ROWS = T.StructType([*SALES_MART.fields, FILE])
+SALES_LINES = T.StructType([*SALES.fields, FILE, T.StructField("verdict", T.StringType())])
+VERDICTS = T.StructType([T.StructField("uri", T.StringType()), T.StructField("reason", T.StringType())])
 
 
 @dataclass(frozen=True)
@@ -61,6 +78,10 @@ class Layout:
         self.root = root.rstrip("/")
         self.arrivals = f"{self.root}/arrivals"
         self.arrived = f"{self.root}/arrived"
+        self.completed = f"{self.root}/completed"
+        self.dimensions = f"{self.root}/dimensions"
+        self.enriched = f"{self.root}/enriched"
+        self.months = f"{self.root}/months"
         self.manifest = f"{self.root}/manifest"
         self.quarantine = f"{self.root}/quarantine"
         self.empty_files = f"{self.root}/empty_files"
@@ -112,10 +133,19 @@ def in_months(months: list[str], month: str = "sales_month") -> Column:
     return F.coalesce(F.col(month), F.lit(NULL_PARTITION)).isin(months)
 
 
+def landed(spark: SparkSession, dimensions: Dimensions, layout: Layout, run_id: int) -> Dimensions:
+    """The dimensions as written once for a run, so that all its marts see the same rows."""
+    names = ("customer", "store", "sales_team")
+    paths = [write_run(getattr(dimensions, n), f"{layout.dimensions}/{n}", run_id) for n in names]
+    return Dimensions(*[spark.read.parquet(p) for p in paths])
+
+
 def write_row_marts(
-    sales: DataFrame, dimensions: Dimensions, layout: Layout, run_id: int, by_store: bool = True
+    spark: SparkSession, sales: DataFrame, dimensions: Dimensions, layout: Layout, run_id: int, by_store: bool = True
 ) -> None:
-    enriched = enrich(sales, dimensions.customer, dimensions.store, dimensions.sales_team)
+    """Joins the sales once; both marts are cut from the written result."""
+    joined = enrich(sales, dimensions.customer, dimensions.store, dimensions.sales_team)
+    enriched = spark.read.schema(joined.schema).parquet(write_run(joined, layout.enriched, run_id))
     rows = customer_mart(enriched).withColumn("sales_month", month_of("sales_date"))
     write_run(rows, layout.customer_mart, run_id, ["sales_month"])
     folders = ["sales_month", "store_id"] if by_store else ["sales_month"]
@@ -131,9 +161,21 @@ def write_row_marts(
     write_run(lost, layout.unmatched, run_id)
 
 
-def read_mart(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A mart over all its runs; the declared schema fixes the types of its partition columns."""
-    return spark.read.schema(schema).parquet(path)
+def superseded(spark: SparkSession, layout: Layout, run_ids: list[int]) -> DataFrame:
+    """(uri, newest) of files that were accepted in several of the runs: only the newest version's rows count."""
+    verdicts = runs.read_runs(spark, layout.manifest, VERDICTS, run_ids).where("reason is null")
+    return (
+        verdicts.groupBy("uri")
+        .agg(F.max("run_id").alias("newest"), F.count_distinct("run_id").alias("n"))
+        .where("n > 1")
+        .select("uri", "newest")
+    )
+
+
+def current_rows(rows: DataFrame, replaced: DataFrame) -> DataFrame:
+    """Rows without those of files that arrived again in a later run."""
+    old = (F.col(SOURCE_FILE) == F.col("uri")) & (F.col("run_id") < F.col("newest"))
+    return rows.join(replaced, old, "left_anti").drop("run_id", SOURCE_FILE)
 
 
 def rebuild_months(
@@ -142,28 +184,99 @@ def rebuild_months(
     layout: Layout,
     run_id: int,
     jdbc: JdbcWriter | None = None,
+    tables: tuple[str, str] = ("customers_data_mart", "sales_team_data_mart"),
 ) -> None:
-    """Recompute the months this run touched from all runs, and replace just those months.
+    """Recompute the months this run touched from all runs, as this run's version of them.
 
-    A late file can change who won a month, so a month's partition is always rewritten whole.
+    A late file can change who won a month, so a month is always rebuilt whole. A month is touched by new rows, and
+    by rows that a new version of their file has replaced. ``tables`` are the names of the database tables.
     """
+    every = [*runs.completed_runs(spark, layout.completed), run_id]
     months = months_of_run(spark, run_path(layout.customer_mart, run_id))
+    replaced = superseded(spark, layout, every)
+    if not replaced.isEmpty():
+        again = replaced.where(F.col("newest") == run_id)
+        old = runs.read_runs(spark, layout.sales, SALES_LINES, every[:-1]).join(again, F.col(SOURCE_FILE) == F.col("uri"))
+        lost = old.select(F.coalesce(month_of("sales_date"), F.lit(NULL_PARTITION))).distinct().collect()
+        months = sorted({*months, *[r[0] for r in lost]})
+    write_run(spark.createDataFrame([(m,) for m in months], "sales_month string"), layout.months, run_id)
     if not months:
         return
-    bought = read_mart(spark, layout.customer_mart, MONTHLY_CUSTOMER_MART).where(in_months(months))
-    spent = marts.customer_monthly(bought, dimensions.customer)
-    write_partitioned(spent, layout.customer_monthly, ["sales_date_month"])
+    bought = runs.read_runs(spark, layout.customer_mart, CUSTOMER_ROWS, every).where(in_months(months))
+    spent = marts.customer_monthly(current_rows(bought, replaced), dimensions.customer)
+    write_run(spent, layout.customer_monthly, run_id, ["sales_date_month"])
 
-    sold = read_mart(spark, layout.sales_mart, SALES_MART).where(in_months(months))
-    totals = month_totals(sold, ["store_id", "sales_person_id"])
+    sold = runs.read_runs(spark, layout.sales_mart, SALES_ROWS, every).where(in_months(months))
+    totals = month_totals(current_rows(sold, replaced), ["store_id", "sales_person_id"])
     paid = incentives(marts.name_sellers(totals, dimensions.store, dimensions.sales_team))
-    write_partitioned(paid, layout.seller_monthly, ["sales_month"])
+    write_run(paid, layout.seller_monthly, run_id, ["sales_month"])
 
     if jdbc is not None:
-        written = read_mart(spark, layout.customer_monthly, spent.schema)
-        jdbc.append(written.where(in_months(months, "sales_date_month")), "customers_data_mart", run_id)
-        written = read_mart(spark, layout.seller_monthly, paid.schema)
-        jdbc.append(written.where(in_months(months)), "sales_team_data_mart", run_id)
+        for path, frame, table in zip((layout.customer_monthly, layout.seller_monthly), (spent, paid), tables, strict=True):
+            jdbc.append(spark.read.schema(frame.schema).parquet(run_path(path, run_id)), table, run_id)
+
+
+def read_monthly(spark: SparkSession, layout: Layout, path: str, month: str) -> DataFrame:
+    """A monthly mart: of each month the newest complete run that rebuilt it.
+
+    Which run that is comes from a small table of months; the runs and months are literals of the filter, so only
+    their folders are opened.
+    """
+    ids = runs.completed_runs(spark, layout.completed)
+    rebuilt = runs.read_runs(spark, layout.months, T.StructType([MONTH]), ids)
+    newest: dict[int, list[str]] = {}
+    for row in rebuilt.groupBy("sales_month").agg(F.max("run_id").alias("run_id")).collect():
+        newest.setdefault(row["run_id"], []).append(row["sales_month"])
+    wanted = F.lit(False)
+    for run_id, months in newest.items():
+        wanted |= (F.col("run_id") == run_id) & in_months(months, month)
+    schema = MONTHLY[month]
+    return runs.read_runs(spark, path, schema, sorted(newest)).where(wanted).drop("run_id")
+
+
+def customer_monthly_mart(spark: SparkSession, layout: Layout) -> DataFrame:
+    return read_monthly(spark, layout, layout.customer_monthly, "sales_date_month")
+
+
+def seller_monthly_mart(spark: SparkSession, layout: Layout) -> DataFrame:
+    return read_monthly(spark, layout, layout.seller_monthly, "sales_month")
+
+
+def merge_runs(spark: SparkSession, layout: Layout, by_store: bool = True) -> int | None:
+    """Rewrite the rows and months of all complete runs as one run, so that folders and files stay few.
+
+    Returns its id, or None if there is nothing to merge. Old folders may be deleted once no reader uses them.
+    """
+    old = runs.completed_runs(spark, layout.completed)
+    if len(old) < 2:
+        return None
+    run_id, replaced = new_run_id(), superseded(spark, layout, old)
+
+    def current(path: str, schema: T.StructType) -> DataFrame:
+        rows = runs.read_runs(spark, path, schema, old)
+        stale = (F.col(SOURCE_FILE) == F.col("uri")) & (F.col("run_id") < F.col("newest"))
+        return rows.join(replaced, stale, "left_anti").drop("run_id")
+
+    verdict = runs.read_runs(spark, layout.manifest, runs_schema(spark, layout.manifest), old)
+    newest = verdict.groupBy("uri").agg(F.max("run_id").alias("newest"))
+    kept = verdict.join(newest.withColumnRenamed("uri", "u"), (F.col("uri") == F.col("u")) & (F.col("run_id") == F.col("newest")))
+    arrived = runs.read_runs(spark, layout.arrived, runs_schema(spark, layout.arrived), old).drop("run_id")
+    write_run(arrived, layout.arrived, run_id)
+    write_run(kept.drop("run_id", "u", "newest"), layout.manifest, run_id)
+    write_run(current(layout.sales, SALES_LINES), layout.sales, run_id, ["verdict"])
+    write_run(current(layout.customer_mart, CUSTOMER_ROWS), layout.customer_mart, run_id, ["sales_month"])
+    folders = ["sales_month", "store_id"] if by_store else ["sales_month"]
+    write_run(current(layout.sales_mart, SALES_ROWS), layout.sales_mart, run_id, folders)
+    months = runs.read_runs(spark, layout.months, T.StructType([MONTH]), old).select("sales_month").distinct()
+    write_run(months, layout.months, run_id)
+    write_run(customer_monthly_mart(spark, layout), layout.customer_monthly, run_id, ["sales_date_month"])
+    write_run(seller_monthly_mart(spark, layout), layout.seller_monthly, run_id, ["sales_month"])
+    runs.complete(spark, layout.completed, run_id, replaces=old)
+    return run_id
+
+
+def runs_schema(spark: SparkSession, path: str) -> T.StructType:
+    return T.StructType([f for f in spark.read.parquet(path).schema.fields if f.name != "run_id"])
 
 
 def publish_sales(
@@ -175,13 +288,19 @@ def publish_sales(
     jdbc: JdbcWriter | None = None,
     by_store: bool = True,
 ) -> int:
-    """All marts of one run from typed sales; without a run id, the run is named after the time.
+    """All marts of one run from typed sales, which is complete afterwards. An id that was completed before is refused.
 
     The sales mart has a folder per month and, with ``by_store``, one per store in it.
     """
-    run_id = new_run_id() if run_id is None else run_id
-    write_row_marts(sales, dimensions, layout, run_id, by_store)
-    rebuild_months(spark, dimensions, layout, run_id, jdbc)
+    if run_id is None:
+        run_id = new_run_id()
+    runs.refuse_repeat(spark, layout.completed, run_id)
+    if SOURCE_FILE not in sales.columns:
+        sales = sales.withColumn(SOURCE_FILE, F.lit(None).cast("string"))
+    tables = landed(spark, dimensions, layout, run_id)
+    write_row_marts(spark, sales, tables, layout, run_id, by_store)
+    rebuild_months(spark, tables, layout, run_id, jdbc)
+    runs.complete(spark, layout.completed, run_id)
     return run_id
 
 
@@ -199,6 +318,7 @@ def process_run(
     good = accepted(manifest)
     if good.isEmpty():
         log.error("run %s: no file with all mandatory columns", run_id)
+        runs.complete(spark, layout.completed, run_id)
         return False
     ledger.record(good, layout.ledger, run_id, ledger.OPEN)
     sales = load_sales(spark, manifest, layout, run_id)

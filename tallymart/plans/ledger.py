@@ -48,16 +48,21 @@ def read_ledger(spark: SparkSession, root: str) -> DataFrame:
 
 
 def current_status(ledger: DataFrame) -> DataFrame:
-    """The newest state of each file; at equal times a close follows its open."""
+    """The newest state of each file, which is its place: names repeat across folders. At equal times a close follows its open."""
     newest = F.max(F.struct("changed_at", "status", "run_id")).alias("s")
-    return ledger.groupBy("file_name").agg(newest).select("file_name", "s.run_id", "s.status", "s.changed_at")
+    return (
+        ledger.groupBy("file_location")
+        .agg(newest, F.max("file_name").alias("file_name"))
+        .select("file_location", "file_name", "s.run_id", "s.status", "s.changed_at")
+    )
 
 
 def files_with_status(ledger: DataFrame, status: str) -> DataFrame:
-    """Distinct names of the files whose current state is the given one."""
-    return current_status(ledger).where(F.col("status") == status).select("file_name")
+    """Places and names of the files whose current state is the given one."""
+    return current_status(ledger).where(F.col("status") == status).select("file_location", "file_name")
 
 
 def failed_files(ledger: DataFrame, listing: DataFrame) -> DataFrame:
-    """Listed files that an earlier run opened and never closed."""
-    return listing.join(files_with_status(ledger, OPEN), "file_name", "left_semi")
+    """Listed files (``path``) that an earlier run opened and never closed."""
+    open_ = files_with_status(ledger, OPEN).select(F.col("file_location").alias("path"))
+    return listing.join(open_, "path", "left_semi")

@@ -46,11 +46,17 @@ SELECT s_suppkey AS id,
        CAST(s_nationkey AS VARCHAR) AS pincode
 FROM supplier
 """
+# Sales whose customer, store and seller are all in the dimensions, of which one segment and one region are missing.
+KNOWN = """
+SELECT x.* FROM sales x
+JOIN customers c ON c.customer_id = x.customer_id AND c.address <> 'MACHINERY'
+JOIN stores d ON d.id = x.store_id AND d.store_pincode <> '1'
+JOIN sellers t ON t.id = x.sales_person_id
+"""
 SELLER_TOTALS = """
 SELECT x.store_id, x.sales_person_id, t.first_name || ' ' || t.last_name AS full_name, x.sales_month,
        CAST(sum(x.total_cost) AS DECIMAL(28,2)) AS total
-FROM sales x
-JOIN stores d ON d.id = x.store_id
+FROM known x
 JOIN sellers t ON t.id = x.sales_person_id
 GROUP BY ALL
 """
@@ -65,22 +71,24 @@ WITH sales AS ({SALES}),
      customers AS ({CUSTOMERS}),
      stores AS ({STORES}),
      sellers AS ({SELLERS}),
+     known AS ({KNOWN}),
      seller_totals AS ({SELLER_TOTALS}),
      ranked AS ({RANKED})
 """
 
-CUSTOMER_MONTHLY = f"""{WITH}
+CUSTOMER_MONTHLY_OF = """{with_}
 SELECT x.customer_id, c.first_name || ' ' || c.last_name AS full_name, c.address, c.phone_number,
        x.sales_month AS sales_date_month, CAST(sum(x.total_cost) AS DOUBLE) AS total_sales
-FROM sales x JOIN customers c ON c.customer_id = x.customer_id
+FROM {sales} x JOIN customers c ON c.customer_id = x.customer_id
 GROUP BY ALL
 """
+CUSTOMER_MONTHLY = CUSTOMER_MONTHLY_OF.format(with_=WITH, sales="known")
 SALES_MART_ROWS = f"""{WITH}
 SELECT x.store_id, x.sales_person_id, t.first_name AS sales_person_first_name,
        t.last_name AS sales_person_last_name, d.store_manager_name, t.manager_id, t.is_manager,
        t.address AS sales_person_address, t.pincode AS sales_person_pincode,
        CAST(x.sales_date AS VARCHAR) AS sales_date, CAST(x.total_cost AS DOUBLE) AS total_cost, x.sales_month
-FROM sales x
+FROM known x
 JOIN customers c ON c.customer_id = x.customer_id
 JOIN stores d ON d.id = x.store_id
 JOIN sellers t ON t.id = x.sales_person_id
@@ -88,14 +96,17 @@ JOIN sellers t ON t.id = x.sales_person_id
 LOADED = """customer_id, store_id, product_name, CAST(sales_date AS VARCHAR) AS sales_date, sales_person_id,
        CAST(price AS DOUBLE) AS price, quantity, CAST(total_cost AS DOUBLE) AS total_cost"""
 LEDGER = """
-WITH ledger AS (
-  SELECT o_custkey AS run_id, 'sales_' || CAST(o_orderkey AS VARCHAR) || '.csv' AS file_name,
-         'A' AS status, o_orderdate AS changed_at FROM orders
+WITH files AS (
+  SELECT *, 'sales_' || CAST(o_custkey AS VARCHAR) || '.csv' AS file_name,
+         '/landing/' || substr(o_orderpriority, 1, 1) || '/sales_' || CAST(o_custkey AS VARCHAR) || '.csv' AS file_location
+  FROM orders),
+ledger AS (
+  SELECT o_orderkey AS run_id, file_name, file_location, 'A' AS status, o_orderdate AS changed_at FROM files
   UNION ALL
-  SELECT o_custkey, 'sales_' || CAST(o_orderkey AS VARCHAR) || '.csv', 'I', o_orderdate + INTERVAL 1 DAY
-  FROM orders WHERE o_orderstatus = 'F'),
+  SELECT o_orderkey, file_name, file_location, 'I', o_orderdate + INTERVAL 1 DAY FROM files WHERE o_orderstatus = 'F'),
 current AS (
-  SELECT * FROM ledger QUALIFY row_number() OVER (PARTITION BY file_name ORDER BY changed_at DESC, status DESC) = 1)
+  SELECT * FROM ledger QUALIFY row_number() OVER (
+    PARTITION BY file_location ORDER BY changed_at DESC, status DESC, run_id DESC) = 1)
 """
 
 INCENTIVE_MONTHLY = f"""{WITH}
@@ -118,18 +129,24 @@ SELECT store_id, sales_person_id, full_name, sales_month, CAST(total AS DOUBLE)
 FROM ranked WHERE rnk = 1
 """,
     "sales_with_seller_total": f"""{WITH}
-SELECT sales_person_id, sales_date, CAST(total_cost AS DOUBLE) AS total_cost, sales_month,
-       CAST(sum(total_cost) OVER (PARTITION BY sales_person_id, sales_month) AS DOUBLE) AS total_sales
+SELECT store_id, sales_person_id, sales_date, CAST(total_cost AS DOUBLE) AS total_cost, sales_month,
+       CAST(sum(total_cost) OVER (PARTITION BY store_id, sales_person_id, sales_month) AS DOUBLE) AS total_sales
 FROM sales
 """,
     "customer_monthly": CUSTOMER_MONTHLY,
     "customer_monthly_window": CUSTOMER_MONTHLY,
-    "customer_monthly_of_known_sales": CUSTOMER_MONTHLY,
+    "customer_monthly_of_known_sales": f"""{WITH}
+SELECT x.customer_id, c.first_name || ' ' || c.last_name AS full_name, c.address, c.phone_number,
+       x.sales_month AS sales_date_month, CAST(sum(x.total_cost) AS DOUBLE) AS total_sales
+FROM sales x JOIN customers c ON c.customer_id = x.customer_id AND c.address <> 'MACHINERY'
+GROUP BY ALL
+""",
+    "customer_monthly_of_all_sales": CUSTOMER_MONTHLY_OF.format(with_=WITH, sales="sales"),
     "customer_monthly_from_rows": CUSTOMER_MONTHLY,
     "customer_daily": f"""{WITH}
 SELECT customer_id, sales_month, CAST(sales_date AS VARCHAR) AS sales_date,
        CAST(sum(total_cost) AS DOUBLE) AS total_sales
-FROM sales GROUP BY ALL
+FROM known GROUP BY ALL
 """,
     "enriched_sales": f"""{WITH}
 SELECT x.customer_id, x.store_id, x.sales_person_id, CAST(x.sales_date AS VARCHAR) AS sales_date,
@@ -137,7 +154,7 @@ SELECT x.customer_id, x.store_id, x.sales_person_id, CAST(x.sales_date AS VARCHA
        t.first_name AS sales_person_first_name, t.last_name AS sales_person_last_name,
        t.address AS sales_person_address, t.pincode AS sales_person_pincode, t.manager_id, t.is_manager,
        c.first_name, c.last_name, c.address, c.pincode, c.phone_number
-FROM sales x
+FROM known x
 JOIN customers c ON c.customer_id = x.customer_id
 JOIN stores d ON d.id = x.store_id
 JOIN sellers t ON t.id = x.sales_person_id
@@ -145,7 +162,7 @@ JOIN sellers t ON t.id = x.sales_person_id
     "customer_mart_rows": f"""{WITH}
 SELECT x.customer_id, c.first_name, c.last_name, c.address, c.pincode, c.phone_number,
        CAST(x.sales_date AS VARCHAR) AS sales_date, CAST(x.total_cost AS DOUBLE) AS total_cost
-FROM sales x
+FROM known x
 JOIN customers c ON c.customer_id = x.customer_id
 JOIN stores d ON d.id = x.store_id
 JOIN sellers t ON t.id = x.sales_person_id
@@ -155,10 +172,10 @@ JOIN sellers t ON t.id = x.sales_person_id
     "seller_report_csv": f"""{WITH}
 SELECT store_id, full_name, CAST(total AS DOUBLE) AS total_sales, {INCENTIVE}, sales_month FROM ranked
 """,
-    "versioned_publish": """
-SELECT l_suppkey AS sales_person_id, strftime(l_shipdate, '%Y-%m') AS sales_month,
-       CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_sales, 2 AS run_id
-FROM lineitem GROUP BY ALL
+    "versioned_publish": f"""{WITH}
+SELECT sales_month AS sales_date_month, CAST(sum(total_cost) AS DOUBLE) AS total_sales, count(*) AS n_rows,
+       CASE WHEN month(sales_date) <= 6 THEN 1 ELSE 3 END AS run_id
+FROM known GROUP BY ALL
 """,
     "pay_mode_totals": """
 SELECT event_type AS pay_mode, CAST(round(sum(CAST(value AS DECIMAL(18,2))), 2) AS DOUBLE) AS total_amount
@@ -181,12 +198,12 @@ products AS (SELECT p_partkey AS product_id, p_name || ' ' || CAST(p_partkey AS
                     CAST(p_retailprice AS DECIMAL(10,2)) AS price FROM part)
 SELECT x.product_name, x.customer_id, x.sales_person_id, x.quantity, CAST(x.total_cost AS DOUBLE) AS total_cost,
        p.product_id, CAST(p.price AS DOUBLE) AS current_price, CAST(p.price AS DOUBLE) AS old_price
-FROM sales x LEFT JOIN products p ON p.name = x.product_name
+FROM sales x LEFT JOIN products p ON p.name = x.product_name AND p.product_id % 7 <> 0
 """,
     "price_mismatch": f"""{WITH}
 SELECT customer_id, sales_person_id, product_name, CAST(price AS DOUBLE) AS price, quantity,
        CAST(total_cost AS DOUBLE) AS total_cost
-FROM sales WHERE total_cost <> price * quantity
+FROM sales WHERE total_cost <> price * quantity AND length(product_name) % 4 <> 0
 """,
     "unmatched_keys": f"""{WITH}
 SELECT 'customer_id' AS key_column, CAST(customer_id AS VARCHAR) AS key_value, count(*) AS sales_rows,
@@ -212,10 +229,19 @@ UNION ALL
 SELECT {LOADED}, concat_ws(', ', return_flag, line_status) FROM sales WHERE return_flag NOT IN ('N', 'A')
 """,
     "rejected_cells": f"""{WITH}
-SELECT concat_ws(',', customer_id, store_id, product_name, sales_date, sales_person_id, price,
+SELECT concat_ws(',', customer_id, store_id, product_name,
+                 CASE WHEN quantity % 2 = 0 THEN sales_month ELSE CAST(sales_date AS VARCHAR) END, sales_person_id,
+                 CAST(price AS VARCHAR) || CASE WHEN quantity % 3 = 0 THEN '5' ELSE '' END,
                  CAST(quantity AS VARCHAR) || ' pcs', total_cost) AS raw_line,
-       'quantity' AS bad_cells
+       concat_ws(',', CASE WHEN quantity % 2 = 0 THEN 'sales_date' END,
+                 CASE WHEN quantity % 3 = 0 THEN 'price' END, 'quantity') AS bad_cells
 FROM sales WHERE return_flag = 'R'
+UNION ALL
+SELECT concat_ws(',', customer_id, store_id, product_name, sales_date, sales_person_id, price), 'row'
+FROM sales WHERE return_flag = 'A'
+UNION ALL
+SELECT concat_ws(',', customer_id, store_id, product_name, sales_date, sales_person_id, price, quantity, total_cost, 'more'), 'row'
+FROM sales WHERE return_flag = 'N' AND line_status = 'O' AND quantity % 5 = 0
 """,
     "schema_check": """
 SELECT 'accepted' AS verdict, '' AS missing, '' AS extra, count(*) AS n_rows
@@ -228,17 +254,41 @@ UNION ALL
 SELECT 'not_csv', '', '', count(*) FROM part
 """,
     "ledger_status": f"""{LEDGER}
-SELECT file_name, run_id, status, strftime(changed_at, '%Y-%m-%d') AS changed_at FROM current
+SELECT file_location, file_name, run_id, status, strftime(changed_at, '%Y-%m-%d') AS changed_at FROM current
 """,
     "failed_run_check": f"""{LEDGER}
-SELECT file_name FROM current WHERE status = 'A' AND file_name IN (
-  SELECT 'sales_' || CAST(l_orderkey AS VARCHAR) || '.csv' FROM lineitem WHERE l_linestatus = 'O')
+SELECT file_location AS path, file_name FROM current WHERE status = 'A' AND file_location IN (
+  SELECT file_location FROM files WHERE o_custkey % 2 = 0)
 """,
     "incremental_ingest": f"""{WITH}
 SELECT 'customer' AS mart, customer_id AS key, sales_month, CAST(sum(total_cost) AS DOUBLE) AS total_sales,
        CAST(NULL AS DOUBLE) AS incentive
-FROM sales GROUP BY ALL
+FROM known GROUP BY ALL
 UNION ALL
 SELECT 'seller', sales_person_id, sales_month, CAST(total AS DOUBLE), {INCENTIVE} FROM ranked
+""",
+    "ingest_books": f"""{WITH}
+SELECT 'ledger ' || CASE line_status WHEN 'F' THEN 'first' ELSE 'second' END || ' I' AS what, CAST(1 AS DOUBLE) AS n
+FROM sales GROUP BY ALL
+UNION ALL
+SELECT 'quarantine missing_columns', 1
+UNION ALL
+SELECT 'unmatched customer_id', count(*) FROM sales
+WHERE customer_id NOT IN (SELECT customer_id FROM customers WHERE address <> 'MACHINERY') HAVING count(*) > 0
+UNION ALL
+SELECT 'unmatched store_id', count(*) FROM sales
+WHERE store_id NOT IN (SELECT id FROM stores WHERE store_pincode <> '1') HAVING count(*) > 0
+UNION ALL
+SELECT 'customer mart', count(*) FROM known
+UNION ALL
+SELECT 'store ' || CAST(store_id AS VARCHAR), count(*) FROM known GROUP BY ALL
+""",
+    "tied_sellers": f"""{WITH},
+counted AS (
+  SELECT x.store_id, x.sales_person_id, t.first_name || ' ' || t.last_name AS full_name, x.sales_month,
+         CAST(count(*) AS DECIMAL(28,2)) AS total
+  FROM known x JOIN sellers t ON t.id = x.sales_person_id GROUP BY ALL),
+placed AS (SELECT *, rank() OVER (PARTITION BY store_id, sales_month ORDER BY total DESC) AS rnk FROM counted)
+SELECT store_id, sales_person_id, full_name, sales_month, CAST(total AS DOUBLE) AS total_sales, {INCENTIVE} FROM placed
 """,
 }

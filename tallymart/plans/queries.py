@@ -7,19 +7,26 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions import full_name, month_of, month_to_date
 from tallymart.operators import joins, projections, quality, ranking, totals
-from tallymart.plans import ledger, marts
-from tallymart.plans.ingest import Dimensions, Layout
-from tallymart.schemas import SALES_MART, SELLER_REPORT
+from tallymart.plans import ledger, marts, runs
+from tallymart.plans.ingest import (
+    CUSTOMER_ROWS,
+    Dimensions,
+    Layout,
+    customer_monthly_mart,
+    publish_sales,
+    seller_monthly_mart,
+)
+from tallymart.schemas import MANDATORY_COLUMNS, SALES_MART, SELLER_REPORT
 from tallymart.session import scratch_dir
 from tallymart.sinks.files import write_csv, write_parquet, write_partitioned, write_run
 from tallymart.sources import csv_files, star
-from tallymart.sources.tables import latest_run, read_csv, read_parquet
+from tallymart.sources.tables import read_csv, read_parquet, read_payments
 from tallymart.streaming.arrivals import ingest_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,28 +37,43 @@ def as_doubles(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in decimals})
 
 
-def seller_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly totals of named sellers; the line items are totalled before any join."""
-    per_seller = totals.month_totals(star.seller_lines(spark, sf_dir), ["sales_person_id"])
-    stores = star.table(spark, sf_dir, "supplier").select(
-        F.col("s_suppkey").alias("sales_person_id"), F.col("s_nationkey").cast("bigint").alias("store_id")
-    )
-    return marts.name_sellers(
-        per_seller.join(stores, "sales_person_id"), star.stores(spark, sf_dir), star.sellers(spark, sf_dir)
+def known(spark: SparkSession, sf_dir: str) -> Dimensions:
+    """Dimensions that lack one customer segment and one region, so that some sales have no match."""
+    return Dimensions(
+        star.customers(spark, sf_dir).where("address <> 'MACHINERY'"),
+        star.stores(spark, sf_dir).where("store_pincode <> '1'"),
+        star.sellers(spark, sf_dir),
     )
 
 
+def known_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales of known customers, as every seller mart counts them."""
+    customers = known(spark, sf_dir).customer
+    return joins.only_known(star.sales(spark, sf_dir), "customer_id", customers, "customer_id")
+
+
+def seller_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly totals of named sellers over sales with a known customer, store and seller."""
+    tables = known(spark, sf_dir)
+    return marts.seller_monthly(known_sales(spark, sf_dir), tables.store, tables.sales_team)
+
+
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return joins.enrich(
-        star.sales(spark, sf_dir),
-        star.customers(spark, sf_dir),
-        star.stores(spark, sf_dir),
-        star.sellers(spark, sf_dir),
-    )
+    tables = known(spark, sf_dir)
+    return joins.enrich(star.sales(spark, sf_dir), tables.customer, tables.store, tables.sales_team)
 
 
 def incentive_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_doubles(ranking.incentives(seller_totals(spark, sf_dir)))
+    tables = known(spark, sf_dir)
+    sales = star.sales(spark, sf_dir)
+    return as_doubles(marts.incentive_monthly(sales, tables.customer, tables.store, tables.sales_team))
+
+
+def tied_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incentives on the number of sales as the total: many sellers share the first place of their store's month."""
+    counted = known_sales(spark, sf_dir).withColumn("total_cost", F.lit(1).cast("decimal(18,2)"))
+    tables = known(spark, sf_dir)
+    return as_doubles(ranking.incentives(marts.seller_monthly(counted, tables.store, tables.sales_team)))
 
 
 def seller_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,27 +93,31 @@ def top_sellers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sales_with_seller_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every sale with its seller's total of that month."""
-    lines = star.seller_lines(spark, sf_dir).withColumn("sales_month", month_of("sales_date"))
-    return as_doubles(
-        totals.with_group_total(lines, ["sales_person_id", "sales_month"], "total_cost", "total_sales")
+    lines = star.sales(spark, sf_dir).select(
+        "store_id", "sales_person_id", "sales_date", "total_cost", month_of("sales_date").alias("sales_month")
     )
+    keys = ["store_id", "sales_person_id", "sales_month"]
+    return as_doubles(totals.with_group_total(lines, keys, "total_cost", "total_sales"))
 
 
 def customer_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return as_doubles(
-        marts.customer_monthly(star.customer_lines(spark, sf_dir), star.customers(spark, sf_dir))
-    )
+    """Spend per customer and month over sales with a known customer, store and seller."""
+    tables = known(spark, sf_dir)
+    sales = star.sales(spark, sf_dir)
+    return as_doubles(marts.customer_monthly(sales, tables.customer, tables.store, tables.sales_team))
 
 
 def customer_monthly_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same mart in its row-level form: group total on every sale, then distinct rows."""
-    lines = star.customer_lines(spark, sf_dir).select(
-        "customer_id", month_of("sales_date").alias("sales_date_month"), "total_cost"
+    """The same mart as distinct rows of all sales with their group's total, which is what the totals alone hold."""
+    tables = known(spark, sf_dir)
+    lines = joins.only_known(star.sales(spark, sf_dir), "store_id", tables.store)
+    lines = joins.only_known(lines, "sales_person_id", tables.sales_team)
+    month = month_of("sales_date").alias("sales_date_month")
+    distinct = totals.distinct_group_totals(
+        lines.select("customer_id", month, "total_cost"), ["customer_id", "sales_date_month"], "total_cost", "total_sales"
     )
-    totalled = totals.with_group_total(lines, ["customer_id", "sales_date_month"], "total_cost", "total_sales")
-    distinct = totalled.select("customer_id", "sales_date_month", "total_sales").distinct()
     return as_doubles(
-        joins.with_customer(distinct, star.customers(spark, sf_dir)).select(
+        joins.with_customer(distinct, tables.customer).select(
             "customer_id",
             full_name("first_name", "last_name").alias("full_name"),
             "address",
@@ -102,16 +128,16 @@ def customer_monthly_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def customer_monthly_of_all_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spend per customer and month whatever the store or seller."""
+    lines = star.customer_lines(spark, sf_dir)
+    return as_doubles(marts.customer_monthly(lines, star.customers(spark, sf_dir)))
+
+
 def customer_monthly_of_known_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same mart over the sales that have a known store and seller as well."""
-    return as_doubles(
-        marts.customer_monthly(
-            star.sales(spark, sf_dir),
-            star.customers(spark, sf_dir),
-            star.stores(spark, sf_dir),
-            star.sellers(spark, sf_dir),
-        )
-    )
+    """Spend per customer and month where only the customer may be unknown, joined before the totals are taken."""
+    lines = joins.with_customer(star.customer_lines(spark, sf_dir), known(spark, sf_dir).customer)
+    return as_doubles(totals.customer_month_totals(lines))
 
 
 def customer_monthly_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,7 +152,8 @@ def incentive_from_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def customer_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    daily = totals.customer_day_totals(star.customer_lines(spark, sf_dir))
+    """Spend per customer and day over sales with a known customer, store and seller."""
+    daily = totals.customer_day_totals(enriched(spark, sf_dir))
     return as_doubles(daily.withColumn("sales_date", F.col("sales_date").cast("string")))
 
 
@@ -154,24 +181,38 @@ def sales_partitioned_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seller_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The monthly seller report as CSV files, one folder per month, and read back."""
-    path = scratch_dir(spark, "seller-report")
-    report = ranking.incentives(seller_totals(spark, sf_dir)).select(*SELLER_REPORT.fieldNames())
-    write_csv(report, path, ["sales_month"])
-    return as_doubles(read_csv(spark, path, SELLER_REPORT))
+    """The monthly seller report as CSV files, one folder per month, from the published mart, and read back."""
+    base = scratch_dir(spark, "seller-report")
+    layout = Layout(f"{base}/marts")
+    publish_sales(spark, star.sales(spark, sf_dir), known(spark, sf_dir), layout)
+    write_csv(seller_monthly_mart(spark, layout).select(*SELLER_REPORT.fieldNames()), f"{base}/report", ["sales_month"])
+    return as_doubles(read_csv(spark, f"{base}/report", SELLER_REPORT))
 
 
 def versioned_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seller totals published twice under run ids; readers see the newest run only."""
-    path = scratch_dir(spark, "seller-versions")
-    per_seller = totals.month_totals(star.seller_lines(spark, sf_dir), ["sales_person_id"])
-    write_run(per_seller, path, 1)
-    write_run(per_seller, path, 2)
-    return as_doubles(latest_run(read_parquet(spark, path)).withColumn("run_id", F.col("run_id").cast("int")))
+    """Sales published in two runs, with a half run and a run that died between: the monthly mart counts complete runs.
+
+    The months of the second run come from it, all others from the first.
+    """
+    layout, tables = Layout(scratch_dir(spark, "versions")), known(spark, sf_dir)
+    sales = star.sales(spark, sf_dir)
+    early = F.month("sales_date") <= 6
+    publish_sales(spark, sales.where(early), tables, layout, run_id=1)
+    half = sales.where(~early & (F.col("store_id") % 2 == 0)).withColumn(joins.SOURCE_FILE, F.lit(None).cast("string"))
+    rows = projections.customer_mart(joins.enrich(half, tables.customer, tables.store, tables.sales_team))
+    write_run(rows.withColumn("sales_month", month_of("sales_date")), layout.customer_mart, 2, ["sales_month"])
+    publish_sales(spark, sales.where(~early), tables, layout, run_id=3)
+    spent = customer_monthly_mart(spark, layout).groupBy("sales_date_month").agg(F.sum("total_sales").alias("total_sales"))
+    kept = runs.read_runs(spark, layout.customer_mart, CUSTOMER_ROWS, runs.completed_runs(spark, layout.completed))
+    counted = kept.groupBy("sales_month", "run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    return as_doubles(spent.join(counted, F.col("sales_date_month") == F.col("sales_month")).drop("sales_month"))
 
 
 def pay_mode_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    payments = projections.rename_columns(star.payments(spark, sf_dir))
+    """Payments written as CSV under headers with spaces, loaded and totalled."""
+    path = scratch_dir(spark, "payments")
+    write_csv(star.payments(spark, sf_dir), path)
+    payments = projections.rename_columns(read_payments(spark, path))
     return as_doubles(totals.total_by(payments, "pay_mode", "amount", "total_amount"))
 
 
@@ -191,11 +232,15 @@ def product_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star.sales(spark, sf_dir, product=True).select(
         "customer_id", "sales_person_id", "product_name", "quantity", "total_cost"
     )
-    return as_doubles(joins.with_product(lines, star.products(spark, sf_dir)))
+    return as_doubles(joins.with_product(lines, star.products(spark, sf_dir).where("id % 7 <> 0")))
 
 
 def price_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = quality.price_mismatch(star.sales(spark, sf_dir, product=True))
+    """Sales whose price and quantity do not make the total; every fourth part is sold at exactly its price."""
+    lines = star.sales(spark, sf_dir, product=True)
+    exact = F.pmod(F.length("product_name"), F.lit(4)) == 0
+    total = F.when(exact, (F.col("price") * F.col("quantity")).cast("decimal(18,2)")).otherwise(F.col("total_cost"))
+    lines = quality.price_mismatch(lines.withColumn("total_cost", total))
     return as_doubles(
         lines.select("customer_id", "sales_person_id", "product_name", "price", "quantity", "total_cost")
     )
@@ -216,12 +261,18 @@ def unmatched_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_layouts(spark: SparkSession, sf_dir: str, landing: str) -> DataFrame:
-    """All sales as CSV in three header layouts: usual, reversed, and with two extra columns."""
-    lines = star.sales(spark, sf_dir, product=True, extras=True)
-    usual = lines.drop("return_flag", "line_status")
-    write_csv(usual.where("return_flag = 'N'"), f"{landing}/usual")
-    write_csv(usual.select(*reversed(usual.columns)).where("return_flag = 'A'"), f"{landing}/reversed")
-    write_csv(lines.where("return_flag not in ('N', 'A')"), f"{landing}/extra")
+    """All sales as CSV in three header layouts: usual, reversed, and with two extra columns.
+
+    The tables are joined once; the layouts are cut from the written rows.
+    """
+    path = scratch_dir(spark, "lines")
+    write_partitioned(star.sales(spark, sf_dir, product=True, extras=True).withColumn("flag", F.col("return_flag")), path, ["flag"])
+    lines = read_parquet(spark, path).drop("flag")
+    stored = read_parquet(spark, path)
+    usual = [c for c in lines.columns if c not in ("return_flag", "line_status")]
+    write_csv(stored.where("flag = 'N'").select(*usual), f"{landing}/usual")
+    write_csv(stored.where("flag = 'A'").select(*reversed(usual)), f"{landing}/reversed")
+    write_csv(stored.where("flag not in ('N', 'A')").drop("flag"), f"{landing}/extra")
     return lines
 
 
@@ -256,14 +307,31 @@ def union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rejected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows set aside because a cell does not parse: returned goods come with a unit in the quantity."""
+    """Rows set aside: returned goods come with a unit in the quantity, a third decimal and a day left out.
+
+    Lines with flag A lack their last cells, lines with flag N and an open status have one too many.
+    """
     landing = scratch_dir(spark, "bad-cells")
     lines = star.sales(spark, sf_dir, product=True, extras=True)
-    quantity = F.when(F.col("return_flag") == "R", F.concat("quantity", F.lit(" pcs"))).otherwise(
-        F.col("quantity").cast("string")
+    returned, none = F.col("return_flag") == "R", F.lit("")
+    cells = [F.col(c).cast("string") for c in MANDATORY_COLUMNS[:3]] + [
+        F.when(returned & (F.col("quantity") % 2 == 0), F.date_format("sales_date", "yyyy-MM")).otherwise(F.col("sales_date").cast("string")),
+        F.col("sales_person_id").cast("string"),
+        F.concat(F.col("price").cast("string"), F.when(returned & (F.col("quantity") % 3 == 0), "5").otherwise(none)),
+        F.concat(F.col("quantity").cast("string"), F.when(returned, " pcs").otherwise(none)),
+        F.col("total_cost").cast("string"),
+    ]
+    whole = F.array(*cells)
+    extra = F.array(F.lit("more"))
+    line = (
+        F.when(F.col("return_flag") == "A", F.slice(whole, 1, 6))
+        .when((F.col("return_flag") == "N") & (F.col("line_status") == "O") & (F.col("quantity") % 5 == 0), F.concat(whole, extra))
+        .otherwise(whole)
     )
-    write_csv(lines.withColumn("quantity", quantity).drop("return_flag", "line_status"), landing)
-    bad = csv_files.bad_rows(load_landing(spark, landing))
+    text = lines.select(F.array_join(line, ",").alias("value"))
+    text.write.text(landing)
+    raw = csv_files.read_layout(spark, [landing], MANDATORY_COLUMNS, header=False)
+    bad = csv_files.bad_rows(csv_files.typed_sales(raw, MANDATORY_COLUMNS))
     return bad.withColumn("bad_cells", F.array_join("bad_cells", ","))
 
 
@@ -292,12 +360,22 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def order_file(customer: Column, priority: Column) -> tuple[Column, Column]:
+    """Place and name of a customer's file: a folder for each priority, a name for each customer."""
+    name = F.concat(F.lit("sales_"), customer.cast("string"), F.lit(".csv"))
+    return F.concat(F.lit("/landing/"), F.substring(priority, 1, 1), F.lit("/"), name), name
+
+
 def order_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as staged files: opened on the order date, closed the day after if finished."""
+    """Orders as staged files: opened on the order date, closed the day after if finished.
+
+    A file name occurs in several folders, and a customer's orders of one priority are runs of one file.
+    """
+    place, name = order_file(F.col("o_custkey"), F.col("o_orderpriority"))
     orders = star.table(spark, sf_dir, "orders").select(
-        F.col("o_custkey").alias("run_id"),
-        F.concat(F.lit("sales_"), F.col("o_orderkey").cast("string"), F.lit(".csv")).alias("file_name"),
-        F.lit("landing").alias("file_location"),
+        F.col("o_orderkey").alias("run_id"),
+        name.alias("file_name"),
+        place.alias("file_location"),
         F.col("o_orderstatus").alias("state"),
         F.col("o_orderdate").cast("timestamp").alias("opened_at"),
     )
@@ -316,38 +394,39 @@ def ledger_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failed_run_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files of unshipped lines that an earlier run opened and did not close."""
-    listing = (
-        star.table(spark, sf_dir, "lineitem")
-        .where("l_linestatus = 'O'")
-        .select("l_orderkey")
-        .distinct()
-        .select(F.concat(F.lit("sales_"), F.col("l_orderkey").cast("string"), F.lit(".csv")).alias("file_name"))
-    )
+    """Listed files that an earlier run opened and did not close; the files of every other customer are listed."""
+    orders = star.table(spark, sf_dir, "orders").where("o_custkey % 2 = 0")
+    place, name = order_file(F.col("o_custkey"), F.col("o_orderpriority"))
+    listing = orders.select(place.alias("path"), name.alias("file_name")).distinct()
     return ledger.failed_files(order_ledger(spark, sf_dir), listing)
 
 
-def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both monthly marts after all sales arrived as CSV files in two runs that share their months."""
+def two_arrivals(spark: SparkSession, sf_dir: str) -> Layout:
+    """All sales arrived as CSV files in two runs that share their months, with a file that lacks columns."""
     base = scratch_dir(spark, "incremental")
     landing, layout = f"{base}/landing", Layout(f"{base}/marts")
-    dimensions = Dimensions(
-        star.customers(spark, sf_dir), star.stores(spark, sf_dir), star.sellers(spark, sf_dir)
-    )
-    lines = star.sales(spark, sf_dir, product=True, extras=True)
+    write_parquet(star.sales(spark, sf_dir, product=True, extras=True), f"{base}/lines")
+    lines = read_parquet(spark, f"{base}/lines")
     usual = lines.drop("return_flag", "line_status")
-    write_csv(usual.where("line_status = 'F'"), f"{landing}/first")
-    ingest_arrivals(spark, landing, layout.root, dimensions, by_store=False)
+    write_csv(lines.where("line_status = 'F'").select(*usual.columns), f"{landing}/first")
+    write_csv(star.products(spark, sf_dir).select("id", "name"), f"{landing}/products")
+    ingest_arrivals(spark, landing, layout.root, known(spark, sf_dir))
     write_csv(lines.where("line_status <> 'F'"), f"{landing}/second")
-    ingest_arrivals(spark, landing, layout.root, dimensions, by_store=False)
-    spent = spark.read.parquet(layout.customer_monthly).select(
+    ingest_arrivals(spark, landing, layout.root, known(spark, sf_dir))
+    return layout
+
+
+def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both monthly marts after two runs over arrived files."""
+    layout = two_arrivals(spark, sf_dir)
+    spent = customer_monthly_mart(spark, layout).select(
         F.lit("customer").alias("mart"),
         F.col("customer_id").alias("key"),
         F.col("sales_date_month").alias("sales_month"),
         "total_sales",
-        F.lit(None).cast("decimal(18,2)").alias("incentive"),
+        F.lit(None).cast("decimal(28,2)").alias("incentive"),
     )
-    paid = spark.read.parquet(layout.seller_monthly).select(
+    paid = seller_monthly_mart(spark, layout).select(
         F.lit("seller").alias("mart"),
         F.col("sales_person_id").alias("key"),
         "sales_month",
@@ -357,14 +436,32 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_doubles(spent.unionByName(paid))
 
 
+def ingest_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the runs of ``incremental_ingest`` wrote down: ledger, quarantine, unmatched rows and row marts."""
+    layout = two_arrivals(spark, sf_dir)
+    states = ledger.current_status(ledger.read_ledger(spark, layout.ledger))
+    folder = F.regexp_extract(F.col("file_location"), "/([^/]+)/[^/]+$", 1)
+    count = F.count(F.lit(1)).cast("double").alias("n")
+    closed = states.groupBy(F.concat(F.lit("ledger "), folder, F.lit(" "), "status").alias("what")).agg(F.lit(1.0).alias("n"))
+    aside = spark.read.parquet(layout.quarantine).groupBy(F.concat(F.lit("quarantine "), "reason").alias("what")).agg(F.lit(1.0).alias("n"))
+    lost = spark.read.parquet(layout.unmatched).groupBy(F.concat(F.lit("unmatched "), "key_column").alias("what")).agg(
+        F.sum("sales_rows").cast("double").alias("n")
+    )
+    rows = spark.read.parquet(layout.customer_mart).groupBy(F.lit("customer mart").alias("what")).agg(count)
+    sold = spark.read.parquet(layout.sales_mart).groupBy(F.concat(F.lit("store "), F.col("store_id").cast("string")).alias("what")).agg(count)
+    return closed.union(aside).union(lost).union(rows).union(sold)
+
+
 QUERIES: dict[str, Query] = {
     "incentive_monthly": incentive_monthly,
     "seller_monthly": seller_monthly,
     "seller_rank": seller_rank,
     "top_sellers": top_sellers,
+    "tied_sellers": tied_sellers,
     "sales_with_seller_total": sales_with_seller_total,
     "customer_monthly": customer_monthly,
     "customer_monthly_window": customer_monthly_window,
+    "customer_monthly_of_all_sales": customer_monthly_of_all_sales,
     "customer_monthly_of_known_sales": customer_monthly_of_known_sales,
     "customer_monthly_from_rows": customer_monthly_from_rows,
     "incentive_from_rows": incentive_from_rows,
@@ -388,4 +485,5 @@ QUERIES: dict[str, Query] = {
     "ledger_status": ledger_status,
     "failed_run_check": failed_run_check,
     "incremental_ingest": incremental_ingest,
+    "ingest_books": ingest_books,
 }

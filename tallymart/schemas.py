@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(18, 2)
+#: Sums of money.
+TOTAL = T.DecimalType(28, 2)
 
 # The columns a sales file must have, in canonical order, and the name of
 # the catch-all column for everything else.
@@ -24,6 +26,7 @@ MANDATORY_COLUMNS = [
 ]
 EXTRAS_COLUMN = "additional_columns"
 
+# The columns of every table and file below.
 SALES = T.StructType(
     [
         T.StructField("customer_id", T.LongType()),
@@ -130,8 +133,8 @@ SELLER_REPORT = T.StructType(
     [
         T.StructField("store_id", T.LongType()),
         T.StructField("full_name", T.StringType()),
-        T.StructField("total_sales", MONEY),
-        T.StructField("incentive", MONEY),
+        T.StructField("total_sales", TOTAL),
+        T.StructField("incentive", TOTAL),
         T.StructField("sales_month", T.StringType()),
     ]
 )

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import math
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -23,7 +26,6 @@ SETTINGS = {
 
 
 PARTITION_BYTES = 128 * 1024 * 1024
-MOST_SHUFFLE_PARTITIONS = 100_000
 
 
 def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
@@ -31,10 +33,10 @@ def settings_for(input_bytes: int, cores: int) -> dict[str, str]:
 
     The count is the upper end: AQE merges what turns out small.
     """
-    partitions = min(max(math.ceil(input_bytes / PARTITION_BYTES), cores), MOST_SHUFFLE_PARTITIONS)
+    partitions = max(math.ceil(input_bytes / PARTITION_BYTES), cores)
     return {
         "spark.sql.shuffle.partitions": str(partitions),
-        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES * (4 if partitions > 20 * cores else 1)),
+        "spark.sql.files.maxPartitionBytes": str(PARTITION_BYTES),
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(PARTITION_BYTES),
     }
 
@@ -57,15 +59,16 @@ _local_scratch: str | None = None
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Only a local session without that setting gets a folder of this machine; a cluster
-    session without it is an error, because executors do not share a local disk.
+    A session that runs in this process alone, as in tests, gets a folder of its own if the setting is missing. A
+    cluster session without it is an error, because executors do not share a local disk.
     """
     global _local_scratch
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster")
         if _local_scratch is None:
             _local_scratch = tempfile.mkdtemp(prefix="tallymart-")
+            atexit.register(shutil.rmtree, _local_scratch, ignore_errors=True)
         base = _local_scratch
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

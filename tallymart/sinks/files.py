@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -41,6 +41,19 @@ def write_run(df: DataFrame, path: str, run_id: int, columns: Sequence[str] = ()
     return target
 
 
+def move_files(spark: SparkSession, files: DataFrame, base: str, target: str) -> None:
+    """Move the files (``path``) below ``base`` to the same places below ``target``: renames by the driver, no content is read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    prefix = system.makeQualified(path(base)).toUri().getPath().rstrip("/") + "/"
+    for row in files.select("path").toLocalIterator():
+        source = path(row["path"])
+        place = path(f"{target.rstrip('/')}/{source.toUri().getPath().removeprefix(prefix)}")
+        system.mkdirs(place.getParent())
+        if not system.rename(source, place):
+            raise OSError(f"cannot move {row['path']} to {place}")
+
+
 def write_csv(df: DataFrame, path: str, columns: Sequence[str] = (), mode: str = "overwrite") -> None:
     """CSV with a header line in each file, optionally one folder per value of the partition columns."""
     if columns:

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions import base_name, pack_extras, try_typed
+from tallymart.operators.joins import SOURCE_FILE
 from tallymart.schemas import EXTRAS_COLUMN, MANDATORY_COLUMNS, SALES, empty_sales
 
 # Why a file is set aside.
@@ -23,6 +24,10 @@ NO_HEADER = "no_header"
 MISSING_COLUMNS = "missing_columns"
 REPEATED_COLUMNS = "repeated_columns"
 
+# What ``bad_cells`` says of a line with more or fewer cells than its header.
+WHOLE_ROW = "row"
+RAGGED = "_ragged_line"
+
 
 class NoInputError(RuntimeError):
     """There is nothing to process."""
@@ -38,9 +43,13 @@ def all_files(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def as_listing(files: DataFrame) -> DataFrame:
-    """Name, place and size of the files of a ``binaryFile`` source; ``uri`` is the escaped path."""
+    """Name, place, size and time of the files of a ``binaryFile`` source; ``uri`` is the escaped path."""
     return files.select(
-        "path", F.col("_metadata.file_path").alias("uri"), base_name("path").alias("file_name"), "length"
+        "path",
+        F.col("_metadata.file_path").alias("uri"),
+        base_name("path").alias("file_name"),
+        "length",
+        F.col("modificationTime").alias("modified"),
     )
 
 
@@ -56,7 +65,11 @@ def empty_files(spark: SparkSession, directory: str) -> DataFrame:
         names.select("uri", without_slashes)
         .join(listed, "place", "left_anti")
         .select(
-            path.alias("path"), "uri", base_name(path).alias("file_name"), F.lit(0).cast("bigint").alias("length")
+            path.alias("path"),
+            "uri",
+            base_name(path).alias("file_name"),
+            F.lit(0).cast("bigint").alias("length"),
+            F.lit(None).cast("timestamp").alias("modified"),
         )
     )
 
@@ -127,7 +140,7 @@ def check_headers(listing: DataFrame, headers: DataFrame) -> DataFrame:
         .when(F.col("repeated"), REPEATED_COLUMNS)
     )
     return checked.select(
-        "path", "uri", "file_name", "length", "header", "columns", "missing", "extra", reason.alias("reason")
+        "path", "uri", "file_name", "length", "modified", "header", "columns", "missing", "extra", reason.alias("reason")
     )
 
 
@@ -140,33 +153,47 @@ def rejected(manifest: DataFrame) -> DataFrame:
 
 
 def typed_sales(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Text columns of one layout, named by position, as typed sales.
+    """Text columns of one layout, named by position, as typed sales with their ``source_file``.
 
-    ``bad_cells`` names the cells that hold text which does not parse; such a row is to be
-    rejected rather than let one cell change the type of its column. ``raw_line`` keeps the
-    cells of those rows.
+    ``bad_cells`` names the cells that hold text which does not parse, or is ``row`` alone if the line has more or fewer
+    cells than the header; such a row is to be rejected rather than let one cell change the type of its column.
+    ``raw_line`` keeps the text of those rows.
     """
-    cells = dict(zip(columns, raw.columns))
-    extras = [F.col(p) for c, p in zip(columns, raw.columns) if c not in MANDATORY_COLUMNS]
+    places = raw.columns[: len(columns)]
+    cells = dict(zip(columns, places))
+    extras = [F.col(p) for c, p in zip(columns, places) if c not in MANDATORY_COLUMNS]
     typed = {c: try_typed(F.col(cells[c]), SALES[c].dataType) for c in MANDATORY_COLUMNS}
     unparsed = F.array_compact(
         F.array(
             *[F.when(F.col(cells[c]).isNotNull() & typed[c].isNull(), F.lit(c)) for c in MANDATORY_COLUMNS]
         )
     )
-    line = F.array_join(F.array(*raw.columns), ",", "")
+    ragged = F.col(RAGGED).isNotNull()
+    unparsed = F.when(ragged, F.array(F.lit(WHOLE_ROW))).otherwise(unparsed)
+    line = F.when(ragged, F.col(RAGGED)).otherwise(F.to_csv(F.struct(*places), {"escape": '"', "emptyValue": ""}))
     return raw.select(
         *[typed[c].alias(c) for c in MANDATORY_COLUMNS],
         pack_extras(extras).alias(EXTRAS_COLUMN),
         unparsed.alias("bad_cells"),
         F.when(F.size(unparsed) > 0, line).alias("raw_line"),
+        F.col(SOURCE_FILE),
     )
 
 
-def read_layout(spark: SparkSession, paths: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Files that share one header line, as text columns named by their position in it."""
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(columns))])
-    return spark.read.schema(schema).option("header", "true").option("escape", '"').csv(list(map(literal, paths)))
+def read_layout(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], header: bool = True) -> DataFrame:
+    """Files that share one header line, as text columns named by their position in it.
+
+    Two more columns hold the text of a line with another number of cells, and the file.
+    """
+    names = [f"_c{i}" for i in range(len(columns))] + [RAGGED]
+    reader = (
+        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        .option("header", header)
+        .option("escape", '"')
+        .option("columnNameOfCorruptRecord", RAGGED)
+        .option("columnPruning", "false")  # else cells are only counted as far as they are used
+    )
+    return reader.csv(list(map(literal, paths))).withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
 
 def read_sales(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -187,12 +214,13 @@ def read_sales(spark: SparkSession, manifest: DataFrame) -> DataFrame:
             empty_sales(spark)
             .withColumn("bad_cells", F.lit(None).cast("array<string>"))
             .withColumn("raw_line", F.lit(None).cast("string"))
+            .withColumn(SOURCE_FILE, F.lit(None).cast("string"))
         )
     return reduce(DataFrame.unionByName, frames)
 
 
 def good_rows(sales: DataFrame) -> DataFrame:
-    return sales.where(~has_bad_cells()).drop("bad_cells", "raw_line")
+    return sales.where(~has_bad_cells()).drop("bad_cells", "raw_line", SOURCE_FILE)
 
 
 def bad_rows(sales: DataFrame) -> DataFrame:

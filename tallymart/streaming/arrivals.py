@@ -1,8 +1,8 @@
-"""File arrivals as a stream: each file is handed to exactly one run.
+"""File arrivals: every version of every file is loaded by exactly one complete run.
 
-The stream carries only the paths of new files. Its checkpoint remembers which files were
-taken, and the batch id is the run id, so a run that dies is repeated with the same files
-and overwrites what it had written.
+A file is known by its path, length and modification time. What is new is what no complete run has listed, however
+old the file is; a repaired file, or an empty one that was filled later, is a new version. A run that dies has not
+completed, so its files are new again.
 """
 
 from __future__ import annotations
@@ -10,48 +10,42 @@ from __future__ import annotations
 import logging
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tallymart.plans import ledger
+from tallymart.functions import new_run_id
+from tallymart.plans import ledger, runs
 from tallymart.plans.ingest import Dimensions, Layout, process_run, set_empty_files_aside
-from tallymart.sinks.files import write_run
+from tallymart.sinks.files import move_files, run_path, write_run
 from tallymart.sinks.jdbc import JdbcWriter
-from tallymart.sources.csv_files import (
-    NoInputError,
-    as_listing,
-    list_files,
-    require_files,
-)
+from tallymart.sources.csv_files import NoInputError, accepted, list_files, rejected, require_files
 
 log = logging.getLogger(__name__)
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
-
+ARRIVED = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("uri", T.StringType()),
+        T.StructField("file_name", T.StringType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("modified", T.TimestampType()),
+    ]
+)
 
-def arrivals(
-    spark: SparkSession, landing: str, max_files: int = 10_000, archive: str | None = None
-) -> DataFrame:
-    """New files in a landing folder. With ``archive``, files of completed runs move there.
 
-    The move is best effort and lags a run; which files are new rests on the checkpoint.
-    """
-    reader = (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", "true")
-        .option("maxFilesPerTrigger", max_files)
-    )
-    if archive:
-        reader = reader.option("cleanSource", "archive").option("sourceArchiveDir", archive)
-    return as_listing(reader.load(landing))
+def new_files(spark: SparkSession, listing: DataFrame, layout: Layout) -> DataFrame:
+    """Listed files, or versions of files, that no complete run has taken."""
+    seen = runs.read_runs(spark, layout.arrived, ARRIVED, runs.completed_runs(spark, layout.completed))
+    return listing.join(seen.select("path", "length", "modified"), ["path", "length", "modified"], "left_anti")
 
 
-def check_previous_run(spark: SparkSession, landing: str, layout: Layout, on_failed_run: str) -> None:
-    """Look for listed files that an earlier run left open; they are loaded again by its retry."""
-    failed = ledger.failed_files(ledger.read_ledger(spark, layout.ledger), list_files(spark, landing))
+def check_previous_run(spark: SparkSession, listing: DataFrame, layout: Layout, on_failed_run: str) -> None:
+    """Look for listed files that an earlier run left open; they are loaded again."""
+    failed = ledger.failed_files(ledger.read_ledger(spark, layout.ledger), listing)
     if failed.isEmpty():
         log.info("no failed run")
     elif on_failed_run == "fail":
-        raise ledger.FailedRunError(f"files left open by a failed run in {landing}")
+        raise ledger.FailedRunError("files left open by a failed run")
     else:
         log.warning("the last run failed; its files are loaded again")
 
@@ -69,30 +63,31 @@ def ingest_arrivals(
     by_store: bool = True,
     report_empty: bool = True,
 ) -> None:
-    """Process everything that has arrived since the last call, then stop.
+    """Process everything that has arrived since the last call, in runs of about ``max_files`` files.
 
-    Raises if the landing folder is empty, or if there were new files and none was usable.
+    With ``archive``, the files of a complete run are moved there, below its id and ``loaded`` or ``rejected``.
+    Raises if the landing folder has no file with content, or if there were new files and none was usable.
     ``report_empty`` lists zero-byte files, for which the driver goes through all file names
     of the landing folder; switch it off for a folder of millions that is not archived.
     """
     layout = Layout(root)
-    if not (report_empty and set_empty_files_aside(spark, landing, layout)):
-        require_files(list_files(spark, landing), f"files in {landing}")
-    check_previous_run(spark, landing, layout, on_failed_run)
-    loaded: list[bool] = []
-
-    def run(files: DataFrame, run_id: int) -> None:
-        # The list is written so that the run's work belongs to the caller's session and settings.
-        listing = spark.read.parquet(write_run(files, layout.arrived, run_id))
-        loaded.append(process_run(spark, listing, run_id, layout, dimensions, jdbc, by_store))
-
-    query = (
-        arrivals(spark, landing, max_files, archive)
-        .writeStream.foreachBatch(run)
-        .option("checkpointLocation", layout.arrivals)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    listing = list_files(spark, landing)
+    if report_empty:
+        set_empty_files_aside(spark, landing, layout)
+    check_previous_run(spark, require_files(listing, f"files in {landing}"), layout, on_failed_run)
+    found = spark.read.parquet(write_run(new_files(spark, listing, layout), layout.arrivals, new_run_id()))
+    count = found.count()
+    shares = -(-count // max_files)
+    loaded = []
+    for share in range(shares):
+        run_id = new_run_id()
+        own = found.where(F.pmod(F.xxhash64("path"), F.lit(shares)) == share)
+        taken = spark.read.schema(ARRIVED).parquet(write_run(own.select(*ARRIVED.fieldNames()), layout.arrived, run_id))
+        if not taken.isEmpty():
+            loaded.append(process_run(spark, taken, run_id, layout, dimensions, jdbc, by_store))
+            if archive:
+                manifest = spark.read.parquet(run_path(layout.manifest, run_id))
+                for name, files in (("loaded", accepted(manifest)), ("rejected", rejected(manifest))):
+                    move_files(spark, files, landing, run_path(archive, run_id) + "/" + name)
     if loaded and not any(loaded):
         raise NoInputError("no arrived file has all mandatory columns")

@@ -186,9 +186,18 @@ def test_random_files_against_plain_python(spark, tmp_path, seed):
             out.writerow(columns)
             for _ in range(rnd.randrange(6)):
                 row = {c: rnd.choice(cells[c] if c in cells else ["cash", "u, v", ""]) for c in columns}
-                out.writerow([row[c] for c in columns])
+                written = [row[c] for c in columns]
+                cut = rnd.randrange(8)
+                if cut == 0:
+                    written = written[:-1]
+                elif cut == 1:
+                    written = [*written, "more"]
+                out.writerow(written)
                 if dropped:
                     continue
+                if cut < 2:
+                    bad += 1
+                    continue
                 try:
                     values = [parsed(c, row[c]) for c in MANDATORY_COLUMNS]
                 except ValueError:
@@ -201,3 +210,18 @@ def test_random_files_against_plain_python(spark, tmp_path, seed):
     sales = load(spark, tmp_path)
     assert rows_of(cf.good_rows(sales)) == sorted(good, key=repr)
     assert cf.bad_rows(sales).count() == bad
+
+
+def test_ragged_rows_and_lossy_cells_are_rejected_whole(spark, tmp_path):
+    lines = [
+        "1,121,sugar",
+        "1,121,sugar,2023-03-03,1,50,2,100,more,still",
+        "1,121,salt, fine,2023-03-03,1,50,2,100",
+        "1,121,sugar,2023-03,1,50,2,12.345",
+    ]
+    put(tmp_path, "a.csv", "\n".join([HEADER, LINE, *lines, "1,121,sugar,2023-03-03,1,50,2,12.3400"]) + "\n")
+    sales = load(spark, tmp_path)
+    assert rows_of(cf.bad_rows(sales)) == sorted(
+        [(lines[0], ["row"]), (lines[1], ["row"]), (lines[2], ["row"]), (lines[3], ["sales_date", "total_cost"])], key=repr
+    )
+    assert rows_of(cf.good_rows(sales), "total_cost") == [(Decimal("100.00"),), (Decimal("12.34"),)]

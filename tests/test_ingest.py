@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 
 from fixtures import rows_of, sale, sales_frame
 from tallymart.plans import ledger, marts
-from tallymart.plans.ingest import Layout, publish_sales
+from tallymart.plans.ingest import (
+    Layout,
+    customer_monthly_mart,
+    merge_runs,
+    publish_sales,
+    seller_monthly_mart,
+)
+from tallymart.plans.runs import RepeatedRunError, completed_runs
 from tallymart.schemas import LEDGER, MANDATORY_COLUMNS
 from tallymart.session import scratch_dir
 from tallymart.sources import synth
@@ -54,10 +61,10 @@ def test_two_runs_over_one_month_equal_one_run_over_both(spark, job, dimensions)
     run()
     sales = first.unionByName(second.drop("payment_mode"))
     expected = marts.customer_monthly(sales, dimensions.customer)
-    actual = spark.read.parquet(layout.customer_monthly)
+    actual = customer_monthly_mart(spark, layout)
     assert rows_of(actual, *sorted(actual.columns)) == rows_of(expected, *sorted(actual.columns))
     expected = marts.incentive_monthly(sales, dimensions.customer, dimensions.store, dimensions.sales_team)
-    actual = spark.read.parquet(layout.seller_monthly)
+    actual = seller_monthly_mart(spark, layout)
     assert rows_of(actual, *sorted(actual.columns)) == rows_of(expected, *sorted(actual.columns))
     assert spark.read.parquet(layout.sales_mart).count() == 500
     grand = sales.agg(F.sum("total_cost")).first()[0]
@@ -65,8 +72,9 @@ def test_two_runs_over_one_month_equal_one_run_over_both(spark, job, dimensions)
     quarantine = spark.read.parquet(layout.quarantine)
     assert rows_of(quarantine, "file_name", "reason") == [("notes.txt", "not_csv"), ("short.csv", "missing_columns")]
     states = ledger.current_status(ledger.read_ledger(spark, layout.ledger))
-    assert rows_of(states, "file_name", "run_id", "status") == [("first.csv", 0, "I"), ("second.csv", 1, "I")]
-    payment = spark.read.parquet(layout.sales).where("run_id = 1").select("additional_columns").distinct()
+    assert rows_of(states, "file_name", "status") == [("first.csv", "I"), ("second.csv", "I")]
+    first_run, second_run = completed_runs(spark, layout.completed)
+    payment = spark.read.parquet(layout.sales).where(F.col("run_id") == second_run).select("additional_columns").distinct()
     assert rows_of(payment) == [("UPI",), ("cash",)]
 
 
@@ -77,7 +85,7 @@ def test_late_file_changes_the_winner_and_leaves_other_months(spark, job):
     run()
     drop_csv(file_of(spark, sale(seller=1, cost="30.00")), landing, "b.csv")
     run()
-    paid = spark.read.parquet(layout.seller_monthly)
+    paid = seller_monthly_mart(spark, layout)
     assert rows_of(paid, "sales_month", "sales_person_id", "total_sales", "incentive") == [
         ("2023-03", 1, D("40.00"), D("0.40")),
         ("2023-03", 2, D("20.00"), D("0.00")),
@@ -96,7 +104,7 @@ def test_bad_rows_unknown_keys_and_null_dates(spark, job):
         "1,121,sugar,2023-03-03,[1],50,1,80\n"
     )
     run()
-    spent = spark.read.parquet(layout.customer_monthly)
+    spent = customer_monthly_mart(spark, layout)
     assert rows_of(spent, "customer_id", "total_sales") == [(1, D("50.00")), (1, D("60.00"))]
     bad = spark.read.parquet(layout.sales).where("verdict = 'rejected'")
     assert rows_of(bad, "raw_line", "bad_cells") == [("1,121,sugar,2023-03-03,[1],50,1,80", ["sales_person_id"])]
@@ -112,7 +120,7 @@ def test_run_whose_sales_are_all_unmatched(spark, job):
     run()
     drop_csv(file_of(spark, sale(customer=1)), landing, "b.csv")
     run()
-    assert rows_of(spark.read.parquet(layout.customer_monthly), "customer_id") == [(1,)]
+    assert rows_of(customer_monthly_mart(spark, layout), "customer_id") == [(1,)]
 
 
 def test_failed_run_is_repeated_and_nothing_is_counted_twice(spark, job, monkeypatch):
@@ -134,12 +142,11 @@ def test_failed_run_is_repeated_and_nothing_is_counted_twice(spark, job, monkeyp
         run(on_failed_run="fail")
     drop_csv(file_of(spark, sale(cost="7.00")), landing, "b.csv")
     run()
-    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("12.00"),)]
-    assert spark.read.parquet(layout.sales_mart).count() == 2
+    assert rows_of(customer_monthly_mart(spark, layout), "total_sales") == [(D("12.00"),)]
     states = ledger.read_ledger(spark, layout.ledger)
-    assert rows_of(states, "file_name", "run_id", "status") == [
-        ("a.csv", 0, "A"), ("a.csv", 0, "I"), ("b.csv", 1, "A"), ("b.csv", 1, "I"),
-    ]
+    assert rows_of(states, "file_name", "status") == [("a.csv", "A"), ("a.csv", "A"), ("a.csv", "I"), ("b.csv", "A"), ("b.csv", "I")]
+    assert states.select("run_id").distinct().count() == 2
+    assert rows_of(ledger.current_status(states), "file_name", "status") == [("a.csv", "I"), ("b.csv", "I")]
 
 
 def test_empty_landing_and_no_good_file_raise(spark, job):
@@ -159,12 +166,12 @@ def test_empty_landing_and_no_good_file_raise(spark, job):
 
 def test_many_small_runs_when_files_per_run_are_bounded(spark, job, dimensions):
     landing, layout, run = job
-    for i in range(3):
-        drop_csv(file_of(spark, sale(cost="5.00")), landing, f"{i}.csv")
+    for i in range(6):
+        drop_csv(file_of(spark, sale(cost="2.50")), landing, f"{i}.csv")
     (landing / "zero.csv").write_text("")
-    run(max_files=2, report_empty=False)
+    run(max_files=3, report_empty=False)
     assert not Path(layout.empty_files).exists()
-    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("15.00"),)]
+    assert rows_of(customer_monthly_mart(spark, layout), "total_sales") == [(D("15.00"),)]
     runs = ledger.read_ledger(spark, layout.ledger).select("run_id").distinct().count()
     assert runs == 2
 
@@ -176,10 +183,13 @@ def test_processed_files_are_archived(spark, job, tmp_path):
     for name in ("a.csv", "b.csv", "c.csv"):
         drop_csv(file_of(spark, sale(cost="5.00")), landing, name)
         run(archive=str(archive))
-    archived = {p.name for p in archive.rglob("*.csv")}
-    assert archived and "c.csv" not in archived
-    assert {p.name for p in landing.rglob("*.csv")} | archived == {"a.csv", "b.csv", "c.csv"}
-    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("15.00"),)]
+    (landing / "bad.csv").write_text("customer_id\n1\n")
+    with pytest.raises(NoInputError):
+        run(archive=str(archive))
+    archived = {(p.parent.name, p.name) for p in archive.rglob("*.csv")}
+    assert archived == {("loaded", "a.csv"), ("loaded", "b.csv"), ("loaded", "c.csv"), ("rejected", "bad.csv")}
+    assert not list(landing.rglob("*.csv"))
+    assert rows_of(customer_monthly_mart(spark, layout), "total_sales") == [(D("15.00"),)]
 
 
 def test_published_months_go_to_the_database_stamped(spark, job):
@@ -190,13 +200,15 @@ def test_published_months_go_to_the_database_stamped(spark, job):
         def append(self, df, table, run_id):
             sent.append((table, run_id, df.count()))
 
+
     drop_csv(file_of(spark, sale(), sale(day="2023-04-01")), landing, "a.csv")
     run(jdbc=Writer())
     drop_csv(file_of(spark, sale(customer=2)), landing, "b.csv")
     run(jdbc=Writer())
+    first_run, second_run = completed_runs(spark, layout.completed)
     assert sent == [
-        ("customers_data_mart", 0, 2), ("sales_team_data_mart", 0, 2),
-        ("customers_data_mart", 1, 2), ("sales_team_data_mart", 1, 1),
+        ("customers_data_mart", first_run, 2), ("sales_team_data_mart", first_run, 2),
+        ("customers_data_mart", second_run, 2), ("sales_team_data_mart", second_run, 1),
     ]
 
 
@@ -209,8 +221,15 @@ def test_current_status_follows_the_newest_row(spark):
     ]
     states = spark.createDataFrame(rows, LEDGER)
     assert rows_of(ledger.current_status(states), "file_name", "status") == [("a", "I"), ("b", "A"), ("c", "A")]
-    listing = spark.createDataFrame([("a",), ("c",), ("d",)], "file_name string")
-    assert rows_of(ledger.failed_files(states, listing), "file_name") == [("c",)]
+    listing = spark.createDataFrame([("/a",), ("/c",), ("/d",)], "path string")
+    assert rows_of(ledger.failed_files(states, listing), "path") == [("/c",)]
+
+
+def test_equal_names_in_two_folders_are_two_files(spark):
+    t = lambda h: datetime(2024, 1, 1, h)
+    states = spark.createDataFrame([(1, "x", "/a/x", "A", t(1)), (2, "x", "/b/x", "I", t(2))], LEDGER)
+    listing = spark.createDataFrame([("/a/x",), ("/b/x",)], "path string")
+    assert rows_of(ledger.failed_files(states, listing), "path") == [("/a/x",)]
 
 
 def test_missing_ledger_reads_as_empty(spark, tmp_path):
@@ -246,7 +265,7 @@ def test_copying_a_processed_file_to_a_new_name_is_a_new_file(spark, job):
     run()
     shutil.copy(landing / "a.csv", landing / "b.csv")
     run()
-    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("10.00"),)]
+    assert rows_of(customer_monthly_mart(spark, layout), "total_sales") == [(D("10.00"),)]
 
 
 def test_partition_counts_follow_the_input():
@@ -254,13 +273,61 @@ def test_partition_counts_follow_the_input():
 
     assert settings_for(1, 8)["spark.sql.shuffle.partitions"] == "8"
     assert settings_for(10**12, 800)["spark.sql.shuffle.partitions"] == "7451"
-    assert settings_for(10**14, 8000)["spark.sql.shuffle.partitions"] == "100000"
+    assert settings_for(10**14, 8000)["spark.sql.shuffle.partitions"] == "745059"
 
 
 def test_sales_from_any_frame_are_published_under_a_time_stamped_run(spark, tmp_path, dimensions):
     layout = Layout(str(tmp_path / "marts"))
     first = publish_sales(spark, sales_frame(spark, sale(cost="5.00")), dimensions, layout)
-    second = publish_sales(spark, sales_frame(spark, sale(cost="7.00")), dimensions, layout, run_id=first + 1000)
-    assert first % 1000 == 0 and second == first + 1000
+    second = publish_sales(spark, sales_frame(spark, sale(cost="7.00")), dimensions, layout)
+    assert second > first
+    with pytest.raises(RepeatedRunError):
+        publish_sales(spark, sales_frame(spark, sale(cost="9.00")), dimensions, layout, run_id=second)
     assert (tmp_path / "marts" / "sales_mart" / f"run_id={first}" / "sales_month=2023-03" / "store_id=121").is_dir()
-    assert rows_of(spark.read.parquet(layout.customer_monthly), "total_sales") == [(D("12.00"),)]
+    assert rows_of(customer_monthly_mart(spark, layout), "total_sales") == [(D("12.00"),)]
+
+
+def test_old_repaired_and_late_filled_files_are_each_loaded_once(spark, job):
+    import os
+    import time
+
+    landing, layout, run = job
+    drop_csv(file_of(spark, sale(cost="50.00")), landing, "new.csv")
+    (landing / "bad.csv").write_text("customer_id\n1\n")
+    (landing / "slow.csv").write_text("")
+    run()
+    drop_csv(file_of(spark, sale(cost="70.00")), landing, "old.csv")
+    month_ago = time.time() - 30 * 86_400
+    os.utime(landing / "old.csv", (month_ago, month_ago))
+    drop_csv(file_of(spark, sale(cost="50.00")), landing, "bad.csv")
+    drop_csv(file_of(spark, sale(cost="3.00")), landing, "slow.csv")
+    run()
+    run()
+    assert rows_of(customer_monthly_mart(spark, layout), "total_sales") == [(D("173.00"),)]
+
+
+def test_a_new_version_of_a_file_replaces_its_rows(spark, job):
+    landing, layout, run = job
+    drop_csv(file_of(spark, sale(cost="50.00"), sale(day="2023-05-01", cost="9.00")), landing, "a.csv")
+    drop_csv(file_of(spark, sale(cost="1.00")), landing, "b.csv")
+    run()
+    drop_csv(file_of(spark, sale(cost="60.00")), landing, "a.csv")
+    run()
+    expected = [("2023-03", D("61.00"))]
+    assert rows_of(customer_monthly_mart(spark, layout), "sales_date_month", "total_sales") == expected
+    assert merge_runs(spark, layout) == completed_runs(spark, layout.completed)[0]
+    assert rows_of(customer_monthly_mart(spark, layout), "sales_date_month", "total_sales") == expected
+    drop_csv(file_of(spark, sale(cost="5.00")), landing, "c.csv")
+    run()
+    assert rows_of(customer_monthly_mart(spark, layout), "total_sales") == [(D("66.00"),)]
+    assert rows_of(seller_monthly_mart(spark, layout), "total_sales", "incentive") == [(D("66.00"), D("0.66"))]
+
+
+def test_monthly_marts_open_the_folders_of_their_runs_only(spark, tmp_path, dimensions):
+    layout = Layout(str(tmp_path / "marts"))
+    for cost in ("5.00", "7.00"):
+        publish_sales(spark, sales_frame(spark, sale(cost=cost)), dimensions, layout)
+    mart = customer_monthly_mart(spark, layout)
+    plan = mart._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(run_id" in plan or "PartitionFilters: [run_id" in plan
+    assert len(mart.inputFiles()) >= 1 and rows_of(mart, "total_sales") == [(D("12.00"),)]
