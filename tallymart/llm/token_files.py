@@ -4,9 +4,10 @@ Documents are dealt by ranges of doc_id (null first), so the files' order is the
 its range and writes blocks of about ``BLOCK_TOKENS`` ids: a row with the counts and a binary payload (see grammar). A
 block knows its place among its task's ids; where a task's ids begin follows from the sums of the tasks before it.
 
-A text is cut before every space that stands between two bytes that can't belong to white space. The tokenizer's
-own pattern never puts white space after other characters, so pieces encode alone as they do in the text, and each
-distinct piece is encoded once for a slice of documents (and kept for later slices up to ``CACHED_PIECES``).
+A text is cut into pieces where the tokenizer's own pattern always begins a new match: before a space between two
+characters that aren't white space, around a line feed between two such, and between an ASCII letter and an ASCII sign
+after it; never inside an added token. So pieces encode alone as they do in the text. Each distinct piece is encoded
+once for a slice of documents (and kept for later ones up to ``CACHED_PIECES``), many in one string.
 """
 
 from __future__ import annotations
@@ -24,8 +25,14 @@ from pyspark.sql import functions as F
 from tallymart.llm import common, grammar
 
 BLOCK_TOKENS = 1 << 20
-CACHED_PIECES = 300_000
+CACHED_PIECES, PIECES_AT_ONCE = 500_000, 1000
 END_ID = 2
+
+_LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_SIGN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
+#: Bytes that may be, or belong to, white space.
+_ENDS = frozenset([*range(33), 127, *range(0x80, 0xC0), 0xC2, 0xE1, 0xE2, 0xE3])
 BLOCKS = "part int, block int, start_in_part long, n_tokens long, n_documents long, payload binary"
 
 
@@ -40,26 +47,61 @@ class PieceEncoder:
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.base <= 65_536 else np.uint32
         self.known: dict[bytes, bytes] = {}
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+    def _encoded(self, pieces: list[bytes]) -> None:
+        """Adds the pieces' ids to ``known``.
+
+        A piece that is a space and a word, say, may follow any other such piece, so these are encoded in long
+        strings and told apart by the ids' places.
+        """
+        joined, alone = [], []
+        for p in pieces:
+            plain = len(p) > 1 and p[0] == 32 and p[1] not in _ENDS and p[-1] not in _ENDS and not any(t in p for t in self.added)
+            (joined if plain else alone).append(p)
+        for piece, found in zip(alone, self._batch([p.decode("utf-8", "replace") for p in alone]), strict=True):
+            self.known[piece] = np.array(found.ids, self.kind).tobytes()
+        texts = [p.decode("utf-8", "replace") for p in joined]
+        groups = [texts[i : i + PIECES_AT_ONCE] for i in range(0, len(texts), PIECES_AT_ONCE)]
+        at = 0
+        for group, found in zip(groups, self._batch(["".join(g) for g in groups]), strict=True):
+            ids, places = np.array(found.ids, self.kind), np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            edges = np.searchsorted(places, np.cumsum([len(t) for t in group]))
+            first = 0
+            for last in edges.tolist():
+                self.known[joined[at]] = ids[first:last].tobytes()
+                first, at = last, at + 1
+
+    def _batch(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
 
     def _ids(self, pieces: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_PIECES:
             self.known.clear()
-        new = [p for p in pieces if p not in self.known]
-        found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in new], add_special_tokens=False)
-        for piece, encoding in zip(new, found, strict=True):
-            self.known[piece] = np.array(encoding.ids, self.kind).tobytes()
+        self._encoded([p for p in pieces if p not in self.known])
         return [self.known[p] for p in pieces]
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (binary), ``end_id`` after each, and each text's number of ids."""
         data, offsets = common.document_bytes(texts)
         blank = (data <= 32) | (data == 127)
-        for lead, wide in ((0xC2, 1), (0xE1, 2), (0xE2, 2), (0xE3, 2)):
-            for at in (np.flatnonzero(data == lead),):
-                for k in range(wide + 1):
-                    blank[np.minimum(at + k, len(data) - 1)] = True
+        for lead, wide in ((0xC2, 1), (0xE1, 2), (0xE2, 2), (0xE3, 2)):  # all white space beyond ASCII begins so
+            at = np.flatnonzero(data == lead)
+            for k in range(wide + 1):
+                blank[np.minimum(at + k, len(data) - 1)] = True
         cut = np.zeros(len(data), bool)
-        cut[1:-1] = (data[1:-1] == 32) & ~blank[:-2] & ~blank[2:]
+        if len(data) > 2:
+            between = ~blank[:-2] & ~blank[2:]
+            feed = (data[1:-1] == 10) & between
+            cut[1:-1] = ((data[1:-1] == 32) & between) | feed
+            cut[2:] |= feed
+            cut[1:] |= _LETTER[data[:-1]] & _SIGN[data[1:]]
+            whole = data.tobytes()
+            for token in self.added:
+                at = whole.find(token)
+                while at >= 0:
+                    cut[at + 1 : at + len(token)] = False
+                    at = whole.find(token, at + 1)
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         first = np.flatnonzero(cut)
         pieces = common.coded_pieces(data, np.ones(len(data), bool), first, offsets)
