@@ -39,6 +39,7 @@ MANTISSA_BITS = 10
 PROBES = 24
 MARGIN = 0.12
 BLOCK, GROUP = 512, 1 << 16
+MOST_BITS = 1 << 25
 
 _U = np.uint64
 _TEXT_SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, registers binary, bands array<long>"
@@ -127,13 +128,50 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in common.slices(batch, 1):
-            sets = shingle_sets(common.filled_binary(part.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc_id", "shingles"]
-            )
+def _bits(ids: np.ndarray, size: int) -> np.ndarray:
+    """Two places for every id in a Bloom filter of ``size`` bits."""
+    h = common.mix64(ids.astype(np.int64).view(np.uint64) + _U(0xC2B2AE3D27D4EB4F))
+    return np.concatenate((h & _U(size - 1), (h >> _U(32)) & _U(size - 1)))
+
+
+def _bloom_words(size: int):
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(size // 64, np.uint64)
+        for batch in batches:
+            at = _bits(batch.column(0).to_numpy(), size)
+            np.bitwise_or.at(held, at >> _U(6), _U(1) << (at & _U(63)))
+        some = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(held[some].view(np.int64))], names=["word", "bits"])
+
+    return words
+
+
+def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, shingles) of the wanted ids and a few others.
+
+    A Bloom filter of the ids, of at most ``MOST_BITS`` however many there are, is broadcast, so that the texts are read
+    where they lie and only the wanted sets are shuffled by the join that follows. More ids only make it less sharp.
+    """
+    size = 1 << 10
+    while size < min(16 * wanted.count(), MOST_BITS):
+        size *= 2
+    rows = wanted.mapInArrow(_bloom_words(size), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bloom = np.zeros(size // 64, np.uint64)
+    bloom[rows.column("word").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = shared.value
+        for batch in batches:
+            at = _bits(batch.column(0).fill_null(0).to_numpy(), size)
+            hit = ((held[at >> _U(6)] >> (at & _U(63))) & _U(1)).astype(bool).reshape(2, -1).all(axis=0)
+            for part in common.slices(batch.filter(pa.array(hit)), 1):
+                found = shingle_sets(common.filled_binary(part.column(1)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "shingles"]
+                )
+
+    return docs.mapInArrow(sets, "doc_id long, shingles binary")
 
 
 def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -197,8 +235,8 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limit: flo
         pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
     )
     near = common.written(joined.mapInArrow(_promising(limit), "a long, b long"), "near-pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = common.written(docs.join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
+    wanted = common.written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+    sets = common.written(_sets_of(docs, wanted), "sets")
     whole = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return common.written(whole.mapInArrow(_confirmed(limit), "a long, b long").distinct(), "links")
 
@@ -290,7 +328,7 @@ def links(docs: DataFrame, limit: float = 0.8) -> tuple[DataFrame, DataFrame, Da
         .join(left.select("rep", "component").distinct(), "rep"),
         "members",
     )
-    sets = docs.join(member.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary")
+    sets = _sets_of(docs, common.written(member.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
     cells = (
         member.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "registers"), "rep")
         .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
