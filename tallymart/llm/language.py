@@ -23,8 +23,8 @@ from tallymart.llm.subwords import bounded_sample, fold, ngram_buckets, word_tot
 SAMPLE_BYTES = 4 << 20
 LEAST, MOST = 1, 3
 BUCKETS = 1 << 14
-PASSES = 3
-ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
+PASSES = 4
+ALPHA, BETA, L1, L2 = 2.0, 1.0, 2e-4, 1e-4
 ROWS_AT_ONCE = 512
 UNKNOWN = "und"
 
@@ -43,8 +43,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             words = common.coded_words(common.filled_binary(part.column(0)), common.ALNUM)
             if not len(words.distinct):
                 continue
-            bucket, of = ngram_buckets(words.distinct, LEAST, MOST, BUCKETS)
-            many = np.bincount(of, minlength=len(words.distinct))
+            bucket, many = ngram_buckets(words.distinct, LEAST, MOST, BUCKETS)
             at = np.cumsum(many) - many
             for low in range(0, part.num_rows, ROWS_AT_ONCE):
                 high = min(low + ROWS_AT_ONCE, part.num_rows)
@@ -76,8 +75,7 @@ def _features(texts: pa.Array, idf: np.ndarray) -> list[tuple[np.ndarray, np.nda
     words = common.coded_words(texts, common.ALNUM)
     if not len(words.distinct):
         return [(np.zeros(0, np.int64), np.zeros(0))] * len(texts)
-    bucket, of = ngram_buckets(words.distinct, LEAST, MOST, BUCKETS)
-    many = np.bincount(of, minlength=len(words.distinct))
+    bucket, many = ngram_buckets(words.distinct, LEAST, MOST, BUCKETS)
     at = np.cumsum(many) - many
     out = []
     for a, b in zip(words.starts[:-1], words.starts[1:], strict=True):

@@ -11,38 +11,36 @@ from tallymart.llm import common
 
 
 def ngram_buckets(words: pa.Array, least: int, most: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every character n-gram (``least`` to ``most`` characters) of every word, with the word's place.
+    """Buckets of the words' character n-grams (``least`` to ``most`` characters), word by word, and each word's number of them.
 
     A word is lower-cased and set between two marks, so beginnings and ends differ from middles.
     """
     text = b"\n".join(words.to_pylist()).decode("utf-8", "replace").lower()
-    symbols = np.frombuffer(f"\n{text}\n".encode("utf-32-le"), np.uint32).astype(np.uint64)
-    marks = symbols == 10
-    word = np.cumsum(marks) - 1  # a mark opens the word after it
-    ends = np.append(np.flatnonzero(marks)[1:], len(symbols))[word]  # where the word's closing mark is
-    place = np.arange(len(symbols))
+    symbols = np.frombuffer(f"\n{text}\n".encode("utf-32-le"), np.uint32)
+    marks = np.flatnonzero(symbols == 10)
+    opens, size = marks[:-1], np.diff(marks) + 1  # a mark closes one word and opens the next
+    many = [np.maximum(size - n + 1, 0) for n in range(least, most + 1)]
+    counts = np.sum(many, axis=0)
+    before = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int32)
     rolled = np.zeros(len(symbols), np.uint64)
-    found, owner = [], []
     for n in range(1, most + 1):
-        after = np.full(len(symbols), 10, np.uint64)
-        after[: len(symbols) - n + 1] = symbols[n - 1 :]
-        rolled = rolled * np.uint64(0x100000001B3) + after + np.uint64(1)
+        rolled = rolled[: len(symbols) - n + 1] * np.uint64(0x100000001B3) + symbols[n - 1 :] + np.uint64(1)
         if n >= least:
-            fits = np.flatnonzero((place + n - 1 <= ends) & (word < len(words)))
-            found.append((common.mix64(rolled[fits] + np.uint64(n)) % np.uint64(buckets)).astype(np.int32))
-            owner.append(word[fits])
-    bucket, of = np.concatenate(found), np.concatenate(owner)
-    order = np.argsort(of, kind="stable")
-    return bucket[order], of[order]
+            own = many[n - least]
+            inside = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
+            bucket = common.mix64(rolled[np.repeat(opens, own) + inside] + np.uint64(n)) % np.uint64(buckets)
+            out[np.repeat(before, own) + inside] = bucket
+            before = before + own
+    return out, counts
 
 
 def word_totals(words: pa.Array, weights: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Per word the sum of its n-grams' ``weights`` (buckets, columns), and its number of n-grams."""
     if not len(words):
         return np.zeros((0, weights.shape[1])), np.zeros(0)
-    bucket, of = ngram_buckets(words, least, most, len(weights))
-    sums = np.stack([np.bincount(of, weights[bucket, c], len(words)) for c in range(weights.shape[1])], axis=1)
-    return sums, np.bincount(of, minlength=len(words)).astype(float)
+    bucket, counts = ngram_buckets(words, least, most, len(weights))
+    return common.segment_sums(weights[bucket], np.concatenate(([0], np.cumsum(counts)))), counts.astype(float)
 
 
 def fold(doc_id: Column, folds: int) -> Column:
