@@ -6,8 +6,8 @@ it. A document's score is that of its worst window, so a long text doesn't thin
 document is represented by its worst window under the model so far, a clean one by its worst and by others drawn anew
 in each pass.
 
-The classifier is fitted on a bounded sample: about ``SAMPLE_BYTES`` of text for each label. Scores come from whole
-texts. A text that is null, empty or without words scores ``EMPTY_SCORE``.
+The classifier is fitted on a bounded sample: about ``SAMPLE_BYTES`` of text for each label, in one task, so that the
+driver only holds what a score needs, a number for each bucket. Scores come from whole texts. A text that is null, empty or without words scores ``EMPTY_SCORE``.
 """
 
 from __future__ import annotations
@@ -28,7 +28,6 @@ WINDOW = 16
 LEAST, MOST = 3, 6
 BUCKETS, DIMENSIONS = 1 << 20, 8
 PASSES, BATCH, RATE = 12, 512, 0.15
-LEAST_DOCUMENTS = 5
 EMPTY_SCORE = 0.0
 
 
@@ -38,6 +37,11 @@ class Model(NamedTuple):
     bias: np.ndarray  # (2,)
 
 
+class Scorer(NamedTuple):
+    margins: np.ndarray  # per bucket what it adds to the margin of toxic over clean
+    bias: float
+
+
 class _Bag(NamedTuple):
     words: common.Coded
     window: np.ndarray  # per word the window it is in
@@ -63,35 +67,24 @@ def _softmax(logits: np.ndarray) -> np.ndarray:
 def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
     """Fits embeddings and softmax to texts (binary) with labels 0 or 1."""
     rng = np.random.default_rng(seed)
-    model = Model(rng.uniform(-0.5, 0.5, (BUCKETS, DIMENSIONS)) / DIMENSIONS, rng.normal(0, 0.3, (DIMENSIONS, 2)), np.zeros(2))
+    start = (rng.random((BUCKETS, DIMENSIONS), np.float32) - np.float32(0.5)) / np.float32(DIMENSIONS)
+    model = Model(start, rng.normal(0, 0.3, (DIMENSIONS, 2)), np.zeros(2))
     bag = _bag(texts)
     if not len(bag.document) or len(np.unique(labels)) < 2:
         rate = float(np.mean(labels)) if len(labels) else 0.0
         return Model(model.embeddings, np.zeros((DIMENSIONS, 2)), np.log([1 - rate + 1e-6, rate + 1e-6]))
     codes, window = bag.words.codes, bag.window
-    grams, of = ngram_buckets(bag.words.distinct, LEAST, MOST, BUCKETS)
-    per_word = np.bincount(of, minlength=len(bag.words.distinct))
+    grams, per_word = ngram_buckets(bag.words.distinct, LEAST, MOST, BUCKETS)
     gram_at = np.concatenate(([0], np.cumsum(per_word)))
     word_at = np.searchsorted(window, np.arange(len(bag.document) + 1))
     toxic = labels[bag.document] == 1
-    # N-grams of few documents can only be learnt by heart: their embeddings are and stay zero.
-    pair = np.unique(bag.document[window] * len(per_word) + codes)
-    word = pair % len(per_word)
-    many = per_word[word]
-    seen = grams[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(gram_at[word], many)]
-    seen = np.bincount(np.unique(np.repeat(pair // len(per_word), many) * BUCKETS + seen) % BUCKETS, minlength=BUCKETS)
-    common_enough = seen >= LEAST_DOCUMENTS
-    model.embeddings[~common_enough] = 0
     clean = np.flatnonzero(~toxic)
     positives = int((np.unique(bag.document[toxic])).size)
-    squares = [np.full(x.shape, 1e-3) for x in model]
-
-    def vectors():
-        return np.stack([np.bincount(of, model.embeddings[grams, d], len(per_word)) for d in range(DIMENSIONS)], axis=1) / np.maximum(per_word, 1)[:, None]
+    squares = [np.full(x.shape, 1e-3, x.dtype) for x in model]
 
     def worst():
         """The window of each document that the model thinks most toxic."""
-        margin = vectors() @ (model.output[:, 1] - model.output[:, 0])
+        margin = common.segment_sums(window_margins(model)[grams, 0], gram_at) / np.maximum(per_word, 1)
         score = np.bincount(window, margin[codes], len(bag.document)) / bag.length
         order = np.lexsort((score, bag.document))
         return order[np.append(np.diff(bag.document[order]) > 0, True)]
@@ -113,7 +106,6 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
         back = error @ model.output.T
         used, inverse = np.unique(gram, return_inverse=True)
         slope = np.stack([np.bincount(inverse, back[line, d] * share, len(used)) for d in range(DIMENSIONS)], axis=1)
-        slope[~common_enough[used]] = 0
         squares[0][used] += slope**2
         model.embeddings[used] -= RATE * slope / np.sqrt(squares[0][used])
         for k, g in ((1, hidden.T @ error / len(rows)), (2, error.mean(axis=0))):
@@ -151,20 +143,31 @@ def scores(texts: pa.Array, margins: np.ndarray, bias: float) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """A model from the labelled rows (doc_id, toxic) whose crc32(doc_id) modulo 3 is not 1."""
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = pa.Table.from_batches(batches, schema=_SAMPLE).sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    texts = pa.concat_arrays([c.cast(pa.binary()) for c in held.column("text").chunks] or [pa.array([], pa.binary())])
+    model = train(texts, held.column("label").to_numpy())
+    margins = window_margins(model)[:, 0].tobytes()
+    yield pa.RecordBatch.from_arrays([pa.array([margins], pa.binary()), pa.array([float(model.bias[1] - model.bias[0])])], names=["margins", "bias"])
+
+
+_SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("label", pa.int32())])
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
+    """What scores need, learnt from the labelled rows (doc_id, toxic) whose crc32(doc_id) modulo 3 is not 1."""
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id"), 3) != 1)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
     sample = bounded_sample(rows, "label", SAMPLE_BYTES).select("doc_id", F.col("text").cast("binary").alias("text"), "label")
-    held = sample.toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
-    texts = held.column("text").combine_chunks()
-    return train(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, held.column("label").to_numpy())
+    sample = common.written(sample, "sample")
+    row = sample.repartition(1).mapInArrow(_trained, "margins binary, bias double").first()
+    return Scorer(np.frombuffer(row["margins"], np.float32)[:, None], row["bias"])
 
 
-def _scored(model: Model, keep_below: float | None, text_at: int):
+def _scored(model: Scorer, keep_below: float | None, text_at: int):
     """Adds a last column with the score, or keeps the rows that score less."""
-    margins, bias = window_margins(model), float(model.bias[1] - model.bias[0])
+    margins, bias = model
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -178,7 +181,7 @@ def _scored(model: Model, keep_below: float | None, text_at: int):
     return rows
 
 
-def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+def toxicity(docs: DataFrame, model: Scorer, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs`` (doc_id, text, other columns). A null id isn't held out."""
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = pairs.mapInArrow(_scored(model, None, 1), "doc_id long, score double")
@@ -186,6 +189,6 @@ def toxicity(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+def without_toxic(docs: DataFrame, model: Scorer, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score less than ``threshold``, columns as they are."""
     return docs.mapInArrow(_scored(model, threshold, docs.columns.index("text")), docs.schema)
