@@ -27,7 +27,7 @@ SAMPLE_BYTES = 16 << 20
 WINDOW = 16
 LEAST, MOST = 3, 6
 BUCKETS, DIMENSIONS = 1 << 20, 8
-PASSES, BATCH, RATE = 12, 512, 0.15
+PASSES, STEPS, BATCH, RATE = 12, 60, 512, 0.15
 EMPTY_SCORE = 0.0
 
 
@@ -112,6 +112,7 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
             squares[k] += g**2
             model[k][...] -= RATE * g / np.sqrt(squares[k])
 
+    # Every pass makes ``STEPS`` steps at least, so that few labels are learnt as well.
     for turn in range(PASSES):
         if turn < 2:  # no notion of the worst yet: any window stands for its document
             rows = np.concatenate((np.flatnonzero(toxic), rng.choice(clean, min(len(clean), int(toxic.sum())), replace=False)))
@@ -119,8 +120,9 @@ def train(texts: pa.Array, labels: np.ndarray, seed: int = 5) -> Model:
             top = worst()
             rows = np.concatenate((top, rng.choice(clean, min(len(clean), 2 * positives + BATCH), replace=False)))
         rng.shuffle(rows)
-        for at in range(0, len(rows), BATCH):
-            step(rows[at : at + BATCH])
+        size = min(BATCH, -(-len(rows) // STEPS))
+        for at in range(0, len(rows), size):
+            step(rows[at : at + size])
     return model
 
 
