@@ -8,11 +8,13 @@ needed columns and renamed before the join, so every output name is unique.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 # The file that a sales line came from: kept beside the columns of the marts, so that its rows can be replaced.
@@ -113,6 +115,21 @@ def unmatched_report(sales: DataFrame, dimensions: Mapping[str, tuple[DataFrame,
     return per_key.join(reduce(DataFrame.unionByName, known), ["key_column", "key_value"], "left_anti")
 
 
+def null_free(df: DataFrame, keys: Sequence[str], mark: str = "__key") -> tuple[DataFrame, list[str]]:
+    """``df`` with columns that are equal where the keys are, and never null; their names.
+
+    Grouping and joining by them is partitioned alike, so a total joined back needs no second exchange, which a
+    null-safe condition would.
+    """
+    plain = {T.StringType: "", T.DateType: datetime.date(1970, 1, 1), T.BooleanType: False}
+    columns = {}
+    for i, key in enumerate(keys):
+        kind = df.schema[key].dataType
+        columns[f"{mark}{i}"] = F.coalesce(F.col(key), F.lit(plain.get(type(kind), 0)).cast(kind))
+        columns[f"{mark}{i}_null"] = F.col(key).isNull()
+    return df.withColumns(columns), list(columns)
+
+
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on keys that may be null. Where they can't be, a plain join needs no second exchange."""
     renamed = right.select(*[F.col(c).alias(f"__{c}") if c in keys else F.col(c) for c in right.columns])

@@ -8,20 +8,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallymart.functions import incentive_amount
-from tallymart.operators.joins import same_keys
+from tallymart.operators.joins import null_free
 
 STORE_MONTH = ("store_id", "sales_month")
 
 
 def with_group_max(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    best = df.groupBy(*keys).agg(F.max(value).alias(name))
-    return same_keys(df, best, keys)
+    keyed, plain = null_free(df, keys)
+    best = keyed.groupBy(*plain).agg(F.max(value).alias(name))
+    return keyed.join(best, plain).drop(*plain)
 
 
 def top_of_group(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Rows with the highest value of their group, all ties included (the rows of rank 1)."""
-    best = df.groupBy(*keys).agg(F.max(value).alias(value))
-    return same_keys(df, best, [*keys, value], "left_semi")
+    ranked = with_group_max(df, keys, value, "__best")
+    return ranked.where(F.col(value).eqNullSafe(F.col("__best"))).drop("__best")
 
 
 def incentives(totals: DataFrame, keys: Sequence[str] = STORE_MONTH, total: str = "total_sales") -> DataFrame:
@@ -45,29 +46,27 @@ def rank_within(
     window over bands sees at most ``bands`` + 1 rows per group. Bands only spread the
     work: the rank is exact for any cut.
     """
+    keyed, plain = null_free(df, keys)
+    keyed, exact = null_free(keyed, [value], "__value")
     position = F.signum(F.col(value).cast("double")) * F.log1p(F.abs(F.col(value).cast("double")))
-    counted = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("__n"))
-    spans = counted.groupBy(*keys).agg(F.min(position).alias("__lo"), F.max(position).alias("__hi"))
+    counted = keyed.groupBy(*plain, *exact).agg(F.first(value).alias(value), F.count(F.lit(1)).alias("__n"))
+    spans = counted.groupBy(*plain).agg(F.min(position).alias("__lo"), F.max(position).alias("__hi"))
     share = (F.col("__hi") - position) / F.nullif(F.col("__hi") - F.col("__lo"), F.lit(0.0))
     band = F.when(F.col(value).isNull(), F.lit(bands)).otherwise(
         F.coalesce(F.least(F.floor(share * bands), F.lit(bands - 1)), F.lit(0))
     )
-    banded = same_keys(counted, spans, keys).select(*keys, value, "__n", band.cast("int").alias("__band"))
+    banded = counted.join(spans, plain).select(*plain, *exact, value, "__n", band.cast("int").alias("__band"))
 
-    above = Window.partitionBy(*keys).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
-    band_sizes = banded.groupBy(*keys, "__band").agg(F.sum("__n").alias("__size"))
-    offsets = band_sizes.select(
-        *keys, "__band", F.coalesce(F.sum("__size").over(above), F.lit(0)).alias("__above")
-    )
+    above = Window.partitionBy(*plain).orderBy("__band").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = banded.groupBy(*plain, "__band").agg(F.sum("__n").alias("__size"))
+    offsets = sizes.select(*plain, "__band", F.coalesce(F.sum("__size").over(above), F.lit(0)).alias("__above"))
 
     inside = (
-        Window.partitionBy(*keys, "__band")
+        Window.partitionBy(*plain, "__band")
         .orderBy(F.col(value).desc_nulls_last())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    ranks = same_keys(banded, offsets, [*keys, "__band"]).select(
-        *keys,
-        value,
-        (F.lit(1) + F.col("__above") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias(name),
+    ranks = banded.join(offsets, [*plain, "__band"]).select(
+        *plain, *exact, (F.lit(1) + F.col("__above") + F.coalesce(F.sum("__n").over(inside), F.lit(0))).alias(name)
     )
-    return same_keys(df, ranks, [*keys, value])
+    return keyed.join(ranks, [*plain, *exact]).drop(*plain, *exact)
