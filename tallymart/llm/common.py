@@ -89,11 +89,13 @@ class Coded(NamedTuple):
     distinct: pa.Array  # the distinct words as bytes
 
 
-def coded_pieces(data: np.ndarray, keep: np.ndarray, first: np.ndarray, doc_offsets: np.ndarray) -> Coded:
-    """Dictionary-codes pieces of ``data``: bytes where ``keep``, a new piece at each of the positions ``first``."""
-    place = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
-    bounds = np.append(place[first], place[-1]).astype(np.int32)
-    packed = np.ascontiguousarray(data[keep] if not keep.all() else data)
+def coded_pieces(data: np.ndarray, keep: np.ndarray | None, first: np.ndarray, doc_offsets: np.ndarray) -> Coded:
+    """Dictionary-codes pieces of ``data``: bytes where ``keep`` (None: all), a new piece at each of the positions ``first``."""
+    if keep is None:
+        bounds, packed = np.append(first, len(data)).astype(np.int32), np.ascontiguousarray(data)
+    else:
+        place = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
+        bounds, packed = np.append(place[first], place[-1]).astype(np.int32), data[keep]
     pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
     coded = pieces.dictionary_encode()
     return Coded(coded.indices.to_numpy(), np.searchsorted(first, doc_offsets), coded.dictionary)

@@ -18,7 +18,7 @@ from typing import NamedTuple
 import numpy as np
 
 MAGIC = b"TMRP0001"
-PAIRS_PER_ROUND, LEAST_COUNT, ROUNDS = 2048, 16, 5
+PAIRS_PER_ROUND, LEAST_COUNT, ROUNDS = 3072, 16, 4
 
 
 class Grammar(NamedTuple):

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -25,14 +26,15 @@ from pyspark.sql import functions as F
 from tallymart.llm import common, grammar
 
 BLOCK_TOKENS = 1 << 20
-CACHED_PIECES, PIECES_AT_ONCE = 500_000, 1000
+CACHED_PIECES, PIECES_AT_ONCE, GROUPS_AT_ONCE = 1_500_000, 500, 64
 END_ID = 2
 
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 _SIGN[[b for b in range(33, 127) if not chr(b).isalnum()]] = True
 #: Bytes that may be, or belong to, white space.
-_ENDS = frozenset([*range(33), 127, *range(0x80, 0xC0), 0xC2, 0xE1, 0xE2, 0xE3])
+_ENDS = np.zeros(256, bool)
+_ENDS[[*range(33), 127, *range(0x80, 0xC0), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 BLOCKS = "part int, block int, start_in_part long, n_tokens long, n_documents long, payload binary"
 
 
@@ -46,40 +48,81 @@ class PieceEncoder:
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.base = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.kind = np.uint16 if self.base <= 65_536 else np.uint32
-        self.known: dict[bytes, bytes] = {}
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
 
-    def _encoded(self, pieces: list[bytes]) -> None:
-        """Adds the pieces' ids to ``known``.
+    def _forget(self) -> None:
+        self.known = pa.array([], pa.binary())
+        self.flat, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64)
 
-        A piece that is a space and a word, say, may follow any other such piece, so these are encoded in long
-        strings and told apart by the ids' places.
+    def _learn(self, pieces: pa.Array) -> np.ndarray:
+        """Adds the ids of new pieces and returns where they are.
+
+        A piece that is a space and a word, say, may follow any other such piece, and one without white space at either
+        end may follow a line feed, so these are encoded in long strings and told apart by the ids' places.
         """
-        joined, alone = [], []
-        for p in pieces:
-            plain = len(p) > 1 and p[0] == 32 and p[1] not in _ENDS and p[-1] not in _ENDS and not any(t in p for t in self.added)
-            (joined if plain else alone).append(p)
-        for piece, found in zip(alone, self._batch([p.decode("utf-8", "replace") for p in alone]), strict=True):
-            self.known[piece] = np.array(found.ids, self.kind).tobytes()
-        texts = [p.decode("utf-8", "replace") for p in joined]
-        groups = [texts[i : i + PIECES_AT_ONCE] for i in range(0, len(texts), PIECES_AT_ONCE)]
-        at = 0
-        for group, found in zip(groups, self._batch(["".join(g) for g in groups]), strict=True):
-            ids, places = np.array(found.ids, self.kind), np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
-            edges = np.searchsorted(places, np.cumsum([len(t) for t in group]))
-            first = 0
-            for last in edges.tolist():
-                self.known[joined[at]] = ids[first:last].tobytes()
-                first, at = last, at + 1
-
-    def _batch(self, texts: list[str]) -> list:
-        return self.tokenizer.encode_batch(texts, add_special_tokens=False) if texts else []
-
-    def _ids(self, pieces: list[bytes]) -> list[bytes]:
+        data, offsets = common.document_bytes(pieces)
+        size = np.diff(offsets)
+        head, last = data[offsets[:-1]], data[offsets[1:] - 1]
+        wide = data[np.maximum(offsets[1:] - 2, 0)]  # a two-byte letter ends in a byte that white space may end in as well
+        closed = ~_ENDS[last] | ((last >= 0x80) & (size > 1) & (wide >= 0xC3) & (wide < 0xE0))
+        second = data[np.minimum(offsets[:-1] + 1, len(data) - 1)]
+        special = np.zeros(len(pieces), bool)
+        for token in self.added:
+            special |= pc.match_substring(pieces.cast(pa.large_binary()), token).to_numpy(zero_copy_only=False)
+        spaced = (head == 32) & (size > 1) & ~_ENDS[second] & closed & ~special
+        bare = ~_ENDS[head] & closed & ~special
+        kinds = [np.flatnonzero(k) for k in (spaced, bare, ~spaced & ~bare)]
+        known, flat, sizes = [self.known], [self.flat], [self.sizes]
+        for order, prefix, together in zip(kinds, (b"", b"\n", b""), (PIECES_AT_ONCE, PIECES_AT_ONCE, 1), strict=True):
+            own = pieces.take(pa.array(order))
+            for i in range(0, len(own), together * GROUPS_AT_ONCE):
+                part = own.slice(i, together * GROUPS_AT_ONCE)
+                ids, counts = self._group(part, prefix, together)
+                known.append(part)
+                flat.append(ids)
+                sizes.append(counts)
+        place = np.empty(len(pieces), np.int64)
+        place[np.concatenate(kinds)] = np.arange(len(self.known), len(self.known) + len(pieces))
+        self.known, self.flat, self.sizes = pa.concat_arrays(known), np.concatenate(flat), np.concatenate(sizes)
+        return place
+
+    def _group(self, pieces: pa.Array, prefix: bytes, together: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the pieces and each one's number of ids, from strings of ``together`` pieces with ``prefix`` before each."""
+        data, offsets = common.document_bytes(pieces)
+        raw = data.tobytes()
+        if prefix:
+            raw = b"".join(prefix + p for p in pieces.to_pylist())
+            offsets = offsets + np.arange(len(offsets)) * len(prefix)
+        chars = np.concatenate(([0], np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)))[offsets]
+        edges = [*range(0, len(pieces), together), len(pieces)]
+        texts = [raw[offsets[a] : offsets[b]].decode("utf-8", "replace") for a, b in zip(edges, edges[1:], strict=False)]
+        ids, counts = [], []
+        for found, a, b in zip(self.tokenizer.encode_batch(texts, add_special_tokens=False), edges, edges[1:], strict=False):
+            own = np.array(found.ids, self.kind)
+            if together == 1:
+                ids.append(own)
+                counts.append(np.array([len(own)]))
+                continue
+            places = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+            piece = np.searchsorted(chars[a : b + 1] - chars[a], places, "right") - 1
+            if prefix:  # its id is the first one of every piece
+                keep = np.append(False, piece[1:] == piece[:-1])
+                own, piece = own[keep], piece[keep]
+            ids.append(own)
+            counts.append(np.bincount(piece, minlength=b - a))
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def _places(self, pieces: pa.Array) -> np.ndarray:
+        """Where the pieces are among the known ones."""
         if len(self.known) > CACHED_PIECES:
-            self.known.clear()
-        self._encoded([p for p in pieces if p not in self.known])
-        return [self.known[p] for p in pieces]
+            self._forget()
+        at = pc.index_in(pieces, value_set=self.known) if len(self.known) else pa.nulls(len(pieces), pa.int32())
+        out = at.fill_null(0).to_numpy().astype(np.int64)
+        if at.null_count:
+            new = at.is_null()
+            out[new.to_numpy(zero_copy_only=False)] = self._learn(pieces.filter(new))
+        return out
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts (binary), ``end_id`` after each, and each text's number of ids."""
@@ -104,11 +147,10 @@ class PieceEncoder:
                     at = whole.find(token, at + 1)
         cut[offsets[:-1][np.diff(offsets) > 0]] = True
         first = np.flatnonzero(cut)
-        pieces = common.coded_pieces(data, np.ones(len(data), bool), first, offsets)
-        known = self._ids(pieces.distinct.to_pylist())
-        size = np.array([len(k) for k in known], np.int64) // np.dtype(self.kind).itemsize
-        flat = np.frombuffer(b"".join(known), self.kind)
-        at = np.cumsum(size) - size
+        pieces = common.coded_pieces(data, None, first, offsets)
+        place = self._places(pieces.distinct)
+        size, flat = self.sizes[place], self.flat
+        at = (np.cumsum(self.sizes) - self.sizes)[place]
         n = size[pieces.codes] if len(pieces.codes) else np.zeros(0, np.int64)
         stops = np.cumsum(n)
         total = int(stops[-1]) if len(n) else 0
