@@ -24,10 +24,10 @@ from tallymart.llm import common
 from tallymart.llm.subwords import bounded_sample, fold, ngram_buckets, word_totals
 
 SAMPLE_BYTES = 16 << 20
-WINDOW = 16
+WINDOW = 4
 LEAST, MOST = 3, 6
 BUCKETS, DIMENSIONS = 1 << 20, 8
-PASSES, STEPS, BATCH, RATE = 12, 60, 512, 0.15
+PASSES, STEPS, BATCH, RATE = 14, 60, 512, 0.5
 EMPTY_SCORE = 0.0
 
 
