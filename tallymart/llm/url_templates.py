@@ -1,8 +1,8 @@
 """URL filter by a tree of path templates for each host, in DataFrame functions only.
 
 Level by level, a path's segment becomes a wildcard if its shape says that it varies (numbers, long hex, very long
-words), if its node has more than ``MOST_BRANCHES`` branches or the branch has fewer than ``LEAST_PAGES`` pages among
-``FEW_BRANCHES`` or more; the remaining branches of a node whose share of good labels doesn't differ significantly
+words), if its node has more than ``MOST_BRANCHES`` branches and it has less than twice their average of pages, or if it
+has fewer than ``LEAST_PAGES`` pages among ``FEW_BRANCHES`` or more; the remaining branches of a node whose share of good labels doesn't differ significantly
 from their node's (``Z`` standard errors) are merged into one. Segments below ``DEPTH`` levels are one wildcard tail.
 A template's purity is its share of good labels, smoothed by its host's, which is smoothed by that of all pages.
 Templates below ``PURITY`` are blocked. Lists of (host, path) rules go first.
@@ -62,7 +62,8 @@ def longest_rule(host: Column, path: Column, rules: list[Rule]) -> Column:
         )
         for r in rules
     ]
-    return F.array_max(F.array_compact(F.array(*fits)))
+    none = F.lit(None).cast("struct<length: int, rule: string, verdict: string>")
+    return F.array_max(F.array_compact(F.array(*fits, none)))
 
 
 def _shape(segment: Column) -> Column:
@@ -91,12 +92,13 @@ def templates(paths: DataFrame) -> DataFrame:
             F.sum("pages").alias("p"), F.sum("labelled").alias("l"), F.sum("good").alias("g")
         )
         nodes = branches.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("l").alias("nl"), F.sum("g").alias("ng")
+            F.count(F.lit(1)).alias("n"), F.sum("p").alias("np"), F.sum("l").alias("nl"), F.sum("g").alias("ng")
         )
         share = F.col("ng") / F.col("nl")
         error = F.sqrt(share * (1 - share) / F.greatest(F.col("l"), F.lit(1)))
         shaped = F.col("branch").startswith("{")
-        crowd = (F.col("n") > MOST_BRANCHES) | ((F.col("n") >= FEW_BRANCHES) & (F.col("p") < LEAST_PAGES))
+        small = F.col("p") * F.col("n") < 2 * F.col("np")
+        crowd = ((F.col("n") > MOST_BRANCHES) & small) | ((F.col("n") >= FEW_BRANCHES) & (F.col("p") < LEAST_PAGES))
         alike = (F.col("l") == 0) | (F.abs(F.col("g") / F.col("l") - share) <= Z * error)
         step = (
             F.when(shaped | (F.col("branch") == ""), F.col("branch"))
