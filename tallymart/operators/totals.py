@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.functions import full_name, month_of, month_start, sum_or_zero
-from tallymart.operators.joins import null_free
+from tallymart.operators.joins import same_keys
 
 
 def month_totals(
@@ -58,9 +58,9 @@ def with_group_total(df: DataFrame, keys: Sequence[str], value: str, total: str)
     task, whereas the aggregate is combined before the shuffle and AQE splits a hot group
     in the join.
     """
-    keyed, plain = null_free(df, keys)
-    totals = keyed.groupBy(*plain).agg(F.sum(value).alias(total))
-    return keyed.join(totals, plain).drop(*plain)
+    totals = df.groupBy(*keys).agg(F.sum(value).alias(total))
+    # The totals are dealt again for the null-safe join: only joins of two fresh exchanges are split.
+    return same_keys(df, totals, keys)
 
 
 def distinct_group_totals(df: DataFrame, keys: Sequence[str], value: str, total: str) -> DataFrame:
