@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallymart.llm import common
-from tallymart.llm.subwords import bounded_sample, fold, ngram_buckets, word_totals
+from tallymart.llm.subwords import fold, ngram_buckets, word_totals
 
 SAMPLE_BYTES = 16 << 20
 WINDOW = 4
@@ -160,8 +160,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """What scores need, learnt from the labelled rows (doc_id, toxic) whose crc32(doc_id) modulo 3 is not 1."""
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id"), 3) != 1)
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("label"))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    sample = bounded_sample(rows, "label", SAMPLE_BYTES).select("doc_id", F.col("text").cast("binary").alias("text"), "label")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
+    # Labelled ids are chosen by number and the average size of a text, so that texts are never shuffled to the labels.
+    count, held = rows.agg(F.count(F.lit(1)), F.sum(F.length("text") + 1)).first()
+    most = SAMPLE_BYTES * (count or 0) / (held or 1)
+    place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.lit(0.0)
+    for row in known.groupBy("label").count().collect():
+        share = F.when(F.col("label") == row["label"], F.lit(min(1.0, most / row["count"]))).otherwise(share)
+    # At most SAMPLE_BYTES ids of each label, as a text counts one byte at least; far fewer with texts of usual size.
+    sample = rows.join(F.broadcast(known.where(place < share)), "doc_id").select("doc_id", "text", "label")
     sample = common.written(sample, "sample")
     row = sample.repartition(1).mapInArrow(_trained, "margins binary, bias double").first()
     return Scorer(np.frombuffer(row["margins"], np.float32)[:, None], row["bias"])
