@@ -34,6 +34,7 @@ TOOLS = [
     ("search", "limit", "integer", True),
     ("lookup", "key", "integer", True),
     ("lookup", "exact", "boolean", False),
+    ("lookup", "context", "string", False),
     ("translate", "text", "string", True),
     ("translate", "options", "object", False),
 ]
@@ -77,19 +78,20 @@ def op4_suffix_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Calls and results read out of plain conversations.
 
-    Every assistant turn stands for one call, whose tool and arguments follow from its text (some lack a parameter,
-    have a wrong type or an unknown one), and every user turn after the first for the result of the call before it.
+    Every assistant turn stands for one call, whose tool follows from its text and whose arguments hold its whole text
+    (some lack a parameter, have a wrong type or an unknown one), and every user turn after the first for the result of
+    the call before it. Where no assistant turn is before it, the result has no call.
     Three calls in four come after the conversation's previous one.
     """
     name = F.concat(F.lit("c"), F.col("conv_id"), F.lit("-"), F.col("turn"))
     text = F.coalesce("text", F.lit(""))
     pick = F.crc32(text.cast("binary"))
-    quoted = F.to_json(F.struct(F.substring_index(text, " ", 4).alias("query"))).substr(F.lit(2), F.lit(1 << 30))
-    body = quoted.substr(F.lit(9), F.length(quoted) - 9)  # the quoted words alone
+    quoted = F.to_json(F.struct(text.alias("query"))).substr(F.lit(2), F.lit(1 << 30))
+    body = quoted.substr(F.lit(9), F.length(quoted) - 9)  # the quoted text alone
     number = F.length(text)
     arguments = (
         F.when(pick % 3 == 0, F.concat(F.lit('{ "query": '), body, F.when(pick % 5 != 0, F.concat(F.lit(', "limit": '), number)).otherwise(F.lit("")), F.lit("}")))
-        .when(pick % 3 == 1, F.concat(F.lit('{"key": '), F.when(pick % 7 != 0, pick.cast("string")).otherwise(body), F.lit(', "exact": true}')))
+        .when(pick % 3 == 1, F.concat(F.lit('{"key": '), F.when(pick % 7 != 0, F.concat(pick.cast("string"), F.lit(', "context": '), body)).otherwise(body), F.lit(', "exact": true}')))
         .otherwise(F.concat(F.lit('{"text": '), body, F.when(pick % 11 == 0, F.lit(', "tone": 1.5')).otherwise(F.lit("")), F.lit(', "options": {"to": "en", "at": [1, 2]}}')))
     )
     tool = F.element_at(F.array(F.lit("search"), F.lit("lookup"), F.lit("translate")), (pick % 3 + 1).cast("int"))
@@ -103,10 +105,10 @@ def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def op5_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every call of every conversation, linked, ordered, checked and written as canonical JSON."""
+    """Every call of every conversation, linked, ordered, checked and written as canonical JSON, and every result without a call."""
     calls, results = conversation_calls(table(spark, sf_dir, "conversations"))
     tools = spark.createDataFrame(TOOLS, "name string, parameter string, type string, required boolean")
-    found = tool_calls.linked(calls, results, tools)
+    found = tool_calls.linked(calls, results, tools, orphans=True)
     return found.withColumn("errors", F.array_join("errors", "; "))
 
 

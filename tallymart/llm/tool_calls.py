@@ -91,9 +91,12 @@ def _errors():
     )
 
 
-def linked(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataFrame:
+def linked(calls: DataFrame, results: DataFrame, parameters: DataFrame, orphans: bool = False) -> DataFrame:
     """One row for each call, with its result, its place in the conversation and its canonical JSON.
 
+    With ``orphans`` also one row for each id that has results and no call: its status is ``orphan``, it has no turn,
+    name, errors or arguments, ``calls`` is 0, and its position is after all calls, by the result's turn.
+
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after. ``results``: conv_id, call_id, turn, content.
     ``parameters``: name, parameter, type (a JSON type), required. Of several calls or results of one id the first by
     turn and content counts, ``calls`` and ``results`` say how many there were; rows without an id are left out.
@@ -105,16 +108,18 @@ def linked(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataF
         "conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("n").alias("results")
     )
     tools = parameters.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("parameter", "type", "required"))).alias("parameters"))
+    orphan = F.col("calls").isNull()
     joined = (
         own.join(depths(own), ["conv_id", "call_id"])
-        .join(answers, ["conv_id", "call_id"], "left")
+        .join(answers, ["conv_id", "call_id"], "full" if orphans else "left")
         .join(tools, "name", "left")
         .withColumn("parsed", F.expr("try_parse_json(arguments)"))
         .withColumn("given", F.when(F.expr("schema_of_variant(parsed) like 'OBJECT<%'"), F.expr("try_variant_get(parsed, '$', 'map<string,variant>')")))
-        .withColumn("errors", _errors())
+        .withColumn("errors", F.when(orphan, F.array().cast("array<string>")).otherwise(_errors()))
     )
     status = (
-        F.when(F.col("depth").isNull(), "cyclic")
+        F.when(orphan, "orphan")
+        .when(F.col("depth").isNull(), "cyclic")
         .when(F.size("errors") > 0, "invalid")
         .when(F.col("results").isNull(), "unanswered")
         .otherwise("ok")
@@ -128,20 +133,21 @@ def linked(calls: DataFrame, results: DataFrame, parameters: DataFrame) -> DataF
     )
     rows = written(
         joined.select(
-            "conv_id", "call_id", "turn", "name", "after", "depth", "result_turn", "calls", F.coalesce("results", F.lit(0)).alias("results"),
-            "errors", status.alias("status"), text.alias("json"),
+            "conv_id", "call_id", "turn", "name", "after", "depth", "result_turn",
+            F.coalesce("calls", F.lit(0)).alias("calls"), F.coalesce("results", F.lit(0)).alias("results"), "errors", status.alias("status"), text.alias("json"),
         ),
         "linked",
     )
     # Places are counted within ranges of turns of one depth; only counts of ranges meet for a conversation.
-    last = F.coalesce("depth", F.lit(2**62))
-    ranged = rows.withColumn("level", last).withColumn("part", F.expr(f"turn div {TURNS_PER_RANGE}"))
+    last = F.when(F.col("status") == "orphan", F.lit(2**62 + 1)).otherwise(F.coalesce("depth", F.lit(2**62)))
+    placed = rows.withColumn("level", last).withColumn("at", F.when(F.col("status") == "orphan", F.col("result_turn")).otherwise(F.col("turn")))
+    ranged = placed.withColumn("part", F.expr(f"at div {TURNS_PER_RANGE}"))
     counts = ranged.groupBy("conv_id", "level", "part").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("conv_id").orderBy("level", "part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.select(
         F.col("conv_id").alias("c"), F.col("level").alias("l"), F.col("part").alias("p"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
-    inside = F.row_number().over(Window.partitionBy("conv_id", "level", "part").orderBy("turn", "call_id"))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "level", "part").orderBy("at", "call_id"))
     same = (F.col("conv_id") == F.col("c")) & (F.col("level") == F.col("l")) & F.col("part").eqNullSafe(F.col("p"))
     return ranged.withColumn("inside", inside).join(before, same).select(*rows.columns, (F.col("before") + F.col("inside")).alias("position"))
 

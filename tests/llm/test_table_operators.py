@@ -212,6 +212,20 @@ def test_tool_calls_are_linked_ordered_checked_and_canonical(spark):
     assert tool_calls.linked(none, frame([], "conv_id long, call_id string, turn long, content string"), tools).count() == 0
 
 
+def test_calls_hold_whole_texts_and_results_without_a_call_are_kept(spark):
+    texts = [f'say "{i}"\\ and\n' + "more words é " * 60 + f"end {i}" for i in range(60)]
+    rows = [(1, 0, "system", "rules"), (1, 1, "user", "lost"), (1, 2, "assistant", texts[0]), (1, 3, "user", "found"), (1, 2049, "user", "late")]
+    rows += [(2 + i, 0, "assistant", t) for i, t in enumerate(texts)]
+    calls, results = queries.conversation_calls(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    tools = spark.createDataFrame(queries.TOOLS, "name string, parameter string, type string, required boolean")
+    found = tool_calls.linked(calls, results, tools, orphans=True).collect()
+    held = {r.conv_id: json.loads(r.json)["arguments"] for r in found if r.calls}
+    assert all(texts[c - 2] in held[c].values() for c in range(2, 62)) and len({r.name for r in found if r.calls}) == 3
+    got = {r.call_id: (r.status, r.calls, r.results, r.position, list(r.errors), json.loads(r.json)["result"]) for r in found if r.conv_id == 1}
+    assert got.pop("c1-2")[1:4] == (1, 1, 1)
+    assert got == {"c1-0": ("orphan", 0, 1, 2, [], "lost"), "c1-2048": ("orphan", 0, 1, 3, [], "late")}
+
+
 @pytest.mark.parametrize("at_once", [graph.EDGES_AT_ONCE, 0])
 def test_components_of_chains_and_stars(spark, monkeypatch, at_once):
     monkeypatch.setattr(graph, "EDGES_AT_ONCE", at_once)
