@@ -88,6 +88,26 @@ def test_near_duplicates_equal_all_pairs(spark):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(expected.values()))
 
 
+def test_near_duplicates_of_short_texts_equal_all_pairs(spark):
+    texts = []
+    for k in range(200):  # one word fewer: 4 of 5, 5 of 6 and 8 of 9 shingles
+        words = text_of(6 + (0, 0, 1, 4)[k % 4], 1000 + k).split()
+        texts += [" ".join(words), " ".join(words[:-1])]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(frame(spark, texts)).collect()}
+    assert got == near_groups({i + 1: t for i, t in enumerate(texts)})
+
+
+def test_cells_link_all_near_pairs_of_short_texts():
+    sets = [s for k in range(200) for whole in [np.unique(np.random.default_rng(k).integers(0, 2**64, 5, dtype=np.uint64))] for s in (whole, whole[:-1])]
+    n = len(sets)
+    rows = pa.table({
+        "rep": np.arange(n), "component": np.arange(n), "n_shingles": [len(s) for s in sets], "block": np.zeros(n, np.int64),
+        "registers": pa.array([r.tobytes() for r in near_dedup.registers(sets)], pa.binary()), "shingles": pa.array([s.tobytes() for s in sets], pa.binary()),
+    })
+    found = near_dedup._rest(0.8)((pa.scalar(0), pa.scalar(0)), rows)
+    assert sorted(zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True)) == [(2 * k, 2 * k + 1) for k in range(200)]
+
+
 def test_near_duplicates_with_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(None, "a b c", "en", "s", ""), (5, "a b c", "en", "s", ""), (5, "a b c", "en", "s", ""), (7, "a b c", "en", "s", "")]
     df = spark.createDataFrame(rows, DOCS)
