@@ -1,9 +1,9 @@
 """URL filter by a tree of path templates for each host, in DataFrame functions only.
 
 Level by level, a path's segment becomes a wildcard if its shape says that it varies (numbers, long hex, very long
-words), if its node has more than ``MOST_BRANCHES`` branches and it has less than twice their average of pages, or if it
-has fewer than ``LEAST_PAGES`` pages among ``FEW_BRANCHES`` or more; the remaining branches of a node whose share of good labels doesn't differ significantly
-from their node's (``Z`` standard errors) are merged into one. Segments below ``DEPTH`` levels are one wildcard tail.
+words); of the other branches of a node, however many there are, those whose share of good labels doesn't differ
+significantly from their node's (``Z`` standard errors) are merged into one. This goes on until no path has a further
+segment. Below ``DEPTH`` levels a node whose labels all agree, which no test can split, ends as one wildcard tail.
 A template's purity is its share of good labels, smoothed by its host's, which is smoothed by that of all pages.
 Templates below ``PURITY`` are blocked. Lists of (host, path) rules go first.
 
@@ -12,6 +12,7 @@ All sums go by (host, template, segment), so a host with a third of all pages is
 
 from __future__ import annotations
 
+from functools import reduce
 from string import ascii_lowercase, ascii_uppercase
 from typing import NamedTuple
 
@@ -21,7 +22,6 @@ from pyspark.sql import functions as F
 from tallymart.llm.common import written
 
 DEPTH = 6
-MOST_BRANCHES, LEAST_PAGES, FEW_BRANCHES = 64, 3, 16
 Z, SMOOTHING, PURITY = 1.96, 4.0, 0.5
 
 #: Shapes of segments that vary, in the order in which they are tried: pattern and what stands for it.
@@ -79,43 +79,50 @@ def templates(paths: DataFrame) -> DataFrame:
         paths.select(
             "host", "path", "pages", "labelled", "good",
             F.split(F.regexp_replace("path", "^/", ""), "/").alias("segments"),
-            F.lit("").alias("template"),
+            F.lit("").alias("template"), F.lit(False).alias("closed"),
         ),
         "paths",
     )
-    levels = min(DEPTH, now.agg(F.max(F.size("segments"))).first()[0] or 0)
-    for level in range(levels):
-        has = F.size("segments") > level
-        now = now.withColumn("branch", F.when(has, _shape(F.get("segments", F.lit(level)))).otherwise(F.lit("")))
-        open_ = now.where(has)
+    done, level = [], 0
+    while True:
+        over = F.col("closed") | (F.size("segments") <= level)
+        done.append(now.where(over))
+        open_ = now.where(~over)
+        if open_.isEmpty():
+            break
+        open_ = open_.withColumn("branch", _shape(F.get("segments", F.lit(level))))
         branches = open_.groupBy("host", "template", "branch").agg(
-            F.sum("pages").alias("p"), F.sum("labelled").alias("l"), F.sum("good").alias("g")
+            F.sum("labelled").alias("l"), F.sum("good").alias("g"), F.count(F.lit(1)).alias("k")
         )
         nodes = branches.groupBy("host", "template").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("p").alias("np"), F.sum("l").alias("nl"), F.sum("g").alias("ng")
+            F.count(F.lit(1)).alias("n"), F.sum("l").alias("nl"), F.sum("g").alias("ng"), F.sum("k").alias("nk")
         )
         share = F.col("ng") / F.col("nl")
         error = F.sqrt(share * (1 - share) / F.greatest(F.col("l"), F.lit(1)))
         shaped = F.col("branch").startswith("{")
-        small = F.col("p") * F.col("n") < 2 * F.col("np")
-        crowd = ((F.col("n") > MOST_BRANCHES) & small) | ((F.col("n") >= FEW_BRANCHES) & (F.col("p") < LEAST_PAGES))
         alike = (F.col("l") == 0) | (F.abs(F.col("g") / F.col("l") - share) <= Z * error)
         step = (
             F.when(shaped | (F.col("branch") == ""), F.col("branch"))
-            .when(crowd, F.lit("{any}"))
-            .when((F.col("n") > 1) & alike, F.lit("{alike}"))
+            .when((F.col("n") > 1) & alike, F.lit("{any}"))
             .otherwise(F.col("branch"))
         )
-        named = branches.join(nodes, ["host", "template"]).select("host", "template", "branch", step.alias("step"))
+        deep = F.lit(level >= DEPTH)
+        agreed = deep & ((F.col("ng") == 0) | (F.col("ng") == F.col("nl")))
+        alone = deep & (F.col("nk") == 1)  # a single path is written out at once
+        named = branches.join(nodes, ["host", "template"]).select(
+            "host", "template", "branch", F.when(agreed, F.lit("{tail}")).otherwise(step).alias("step"),
+            (agreed | alone).alias("closed"), (alone & ~agreed).alias("rest"),
+        )
+        rest = F.array_join(F.transform(F.slice("segments", level + 1, F.size("segments")), _shape), "/")
         now = written(
-            now.join(named, ["host", "template", "branch"], "left").select(
+            open_.drop("closed").join(named, ["host", "template", "branch"]).select(
                 "host", "path", "pages", "labelled", "good", "segments",
-                F.when(has, F.concat("template", F.lit("/"), F.coalesce("step", "branch"))).otherwise(F.col("template")).alias("template"),
+                F.concat("template", F.lit("/"), F.when(F.col("rest"), rest).otherwise(F.col("step"))).alias("template"), "closed",
             ),
             "templates",
         )
-    tail = F.when(F.size("segments") > DEPTH, F.lit("/{tail}")).otherwise(F.lit(""))
-    return now.select("host", "path", "pages", "labelled", "good", F.concat("template", tail).alias("template"))
+        level += 1
+    return reduce(DataFrame.union, done).select("host", "path", "pages", "labelled", "good", "template")
 
 
 def _smoothed(good: Column, labelled: Column, prior: Column) -> Column:

@@ -179,6 +179,27 @@ def test_impure_templates_are_blocked_and_numbers_become_wildcards(spark):
     assert {found[1000 + i].template for i in range(100)} == {"/{any}/deep/er/and/more/levels/{tail}"}
 
 
+def test_sections_are_told_apart_by_labels_at_any_number_and_depth(spark):
+    rows = []
+    for host, bad in (("mostly-good.test", 10), ("mostly-bad.test", 90)):
+        rows += [(f"http://{host}/section{chr(97 + k // 26)}{chr(97 + k % 26)}/{i}", k < bad) for k in range(100) for i in range(20)]
+    for above in ("a/b/c/d/e/f", "a/b/c/d/e/f/g/h/i/j"):
+        rows += [(f"http://deep{len(above)}.test/{above}/{kind}/{i}", kind == "casino") for kind in ("casino", "news") for i in range(30)]
+    rows += [("http://one.test/a/b/c/d/e/f/g/h/12", k > 0) for k in range(3)]  # one path whose labels differ
+    rows += [(f"http://alike.test/a/b/c/d/e/f/g/{i}", False) for i in range(5)]
+    pages = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(rows)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(not b)) for i, (_, b) in enumerate(rows)], "page_id long, good int")
+    found = {r.page_id: r for r in url_templates.judged(pages, labels, []).collect()}
+    assert len(found) == len(rows)
+    for i, (url, b) in enumerate(rows):
+        if "one.test" in url:
+            assert found[i].template == "/a/b/c/d/e/f/g/h/{number}"
+        elif "alike.test" in url:
+            assert found[i].template == "/a/b/c/d/e/f/{tail}"
+        else:
+            assert found[i].verdict == ("block" if b else "allow"), url
+
+
 def test_tool_calls_are_linked_ordered_checked_and_canonical(spark):
     calls = [
         (1, "a", 5, "search", '{ "limit": 3,\n "query": "x" }', "b"), (1, "b", 9, "lookup", '{"key": 7}', None), (1, "c", 2, "nope", "{}", "a"),
