@@ -2,7 +2,8 @@
 
 Frequent pairs of neighbouring ids are replaced by new symbols, round after round: each round counts all pairs,
 gives a symbol to the most frequent ones (up to ``PAIRS_PER_ROUND``, each seen ``LEAST_COUNT`` times) and replaces
-them from left to right. No pair crosses a document's end, so every document stays a run of whole symbols. With each
+them from left to right, until no pair is seen ``LEAST_COUNT`` times or all symbols are given (those of two bytes if the
+ids need no more). No pair crosses a document's end, so every document stays a run of whole symbols. With each
 rule the number of ids it expands to is kept, so one document, or a range of its ids, is decoded without the rest.
 
 A payload is, little-endian: the magic, seven counts (rules, symbols, documents, first rule's symbol, bytes of an id,
@@ -18,7 +19,7 @@ from typing import NamedTuple
 import numpy as np
 
 MAGIC = b"TMRP0001"
-PAIRS_PER_ROUND, LEAST_COUNT, ROUNDS = 3072, 16, 4
+PAIRS_PER_ROUND, LEAST_COUNT = 3072, 16
 
 
 class Grammar(NamedTuple):
@@ -34,7 +35,7 @@ class Grammar(NamedTuple):
     rounds: int
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray, base: int, rounds: int = ROUNDS) -> Grammar:
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: np.ndarray, doc_null: np.ndarray, base: int) -> Grammar:
     """Grammar of documents that lie one after the other in ``ids``; all ids are below ``base``."""
     small = base < 65_536
     most = (65_536 if small else 2**31) - base
@@ -42,7 +43,7 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: np.ndarray, doc_n
     stops = np.cumsum(doc_tokens)  # one past each document's last symbol
     left, right, length, done = [], [], [], 0
     sizes = np.ones(base, np.int64)
-    for _ in range(rounds):
+    while True:
         room = min(PAIRS_PER_ROUND, most - (len(sizes) - base))
         if room <= 0 or len(symbols) < 2:
             break

@@ -202,6 +202,19 @@ def test_grammar_round_trip_and_ranges():
         grammar.unpacked(b"something else, of another kind")
 
 
+def test_pairs_are_replaced_until_none_is_frequent():
+    rng = np.random.default_rng(4)
+    phrase = rng.permutation(1000)
+    docs = [np.concatenate((rng.integers(0, 1000, 3), phrase, [2])) for _ in range(64)]
+    ids, counts = np.concatenate(docs).astype(np.uint16), np.array([len(d) for d in docs])
+    held = grammar.unpacked(grammar.packed(grammar.compress(ids, counts, np.arange(64), np.zeros(64, bool), 50_257)))
+    assert (grammar.Decoder(held).expand(held.symbols) == ids).all()
+    assert held.doc_symbols.max() <= 8 and held.length.max() >= 900
+    own = np.split(held.symbols, np.cumsum(held.doc_symbols)[:-1])
+    pairs = np.concatenate([np.stack((s[:-1], s[1:])) for s in own], axis=1)
+    assert np.unique(pairs, axis=1, return_counts=True)[1].max() < grammar.LEAST_COUNT
+
+
 def test_wide_ids_use_four_bytes():
     ids = np.tile(np.array([70_000, 90_001, 5]), 200).astype(np.uint32)
     held = grammar.unpacked(grammar.packed(grammar.compress(ids, np.array([len(ids)]), np.zeros(1), np.zeros(1, bool), 100_000)))
