@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import (
     contamination,
+    filter_audit,
+    hard_negatives,
     language,
     mixing,
     near_dedup,
@@ -19,8 +21,11 @@ from tallymart.llm import (
     url_templates,
 )
 from tallymart.llm.common import on_executors
+from tallymart.llm.oracle import ORACLE
 from tallymart.session import scratch_dir
 
+__all__ = ["ORACLE", "QUERIES"]
+
 RULES = [
     url_templates.Rule("net", "/", "block"),
     url_templates.Rule("example.net", "/en/", "allow"),
@@ -145,6 +150,17 @@ def op10_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters keep and remove in every order, for each language."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Negatives from four fifths of each positive's score up to it, for every hundredth vector; every seventh has a shifted label."""
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
 QUERIES = {
     f.__name__: on_executors(f)
     for f in (
@@ -158,6 +174,7 @@ QUERIES = {
         op8_histogram_shards,
         op9_entropy_mix,
         op10_subword_toxicity,
+        op11_filter_audit,
+        op12_hard_negatives,
     )
 }
-ORACLE: dict[str, str] = {}
