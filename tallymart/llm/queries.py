@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tallymart.llm import (
     contamination,
+    disclosure,
     filter_audit,
     hard_negatives,
     language,
@@ -161,6 +162,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mined(table(spark, sf_dir, "embeddings").withColumn("label", shifted), F.col("vec_id") % 100 == 0)
 
 
+def op13_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document, and the words that disclose it."""
+    return disclosure.found_spans(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: on_executors(f)
     for f in (
@@ -176,5 +182,6 @@ QUERIES = {
         op10_subword_toxicity,
         op11_filter_audit,
         op12_hard_negatives,
+        op13_disclosure,
     )
 }
