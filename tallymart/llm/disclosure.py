@@ -154,13 +154,12 @@ def contexts(spans: DataFrame) -> DataFrame:
 
 
 def document_counts(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """term, d_t: the number of texts that hold each of ``terms`` as a word. Words are counted by task before they are sent."""
+    """term, d_t: the number of texts that hold each of ``terms`` (and maybe others) as a word. Words are counted by task before they are sent."""
     words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("term"))
     words = words.where(F.length("term") >= LETTERS)
     if terms.count() <= BROADCAST_TERMS:
         words = words.join(F.broadcast(terms), "term", "left_semi")
-    counted = words.groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
-    return counted.join(terms, "term", "left_semi")
+    return words.groupBy("term").agg(F.count(F.lit(1)).alias("d_t"))
 
 
 def disclosing(texts: DataFrame, spans: DataFrame, near: DataFrame, total: int) -> DataFrame:
