@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import functools
 import shutil
 import tempfile
@@ -26,7 +27,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Lower-cases A-Z and blanks every ASCII byte but digits and letters.
 ALNUM = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 _shipped: set[str] = set()
@@ -57,6 +58,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _give_back() -> None:
+    """Returns freed memory of this worker process to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``task`` for mapInArrow, after which its worker process keeps no freed memory: workers live on through many tasks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            _give_back()
+
+    return run
+
+
 def filled_binary(column: pa.ChunkedArray | pa.Array) -> pa.Array:
     """A text column as one binary array; null becomes empty."""
     return column.cast(pa.binary()).fill_null(b"")
@@ -94,8 +116,9 @@ def coded_pieces(data: np.ndarray, keep: np.ndarray | None, first: np.ndarray, d
     if keep is None:
         bounds, packed = np.append(first, len(data)).astype(np.int32), np.ascontiguousarray(data)
     else:
-        place = np.concatenate(([0], np.cumsum(keep, dtype=np.int64)))
-        bounds, packed = np.append(place[first], place[-1]).astype(np.int32), data[keep]
+        # Kept bytes are counted by piece: running sums would take eight bytes for each byte of text.
+        held = np.add.reduceat(keep.view(np.uint8), first, dtype=np.int32) if len(first) else np.zeros(0, np.int32)
+        bounds, packed = np.concatenate(([0], np.cumsum(held, dtype=np.int64))).astype(np.int32), data[keep]
     pieces = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(packed)])
     coded = pieces.dictionary_encode()
     return Coded(coded.indices.to_numpy(), np.searchsorted(first, doc_offsets), coded.dictionary)

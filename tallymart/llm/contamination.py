@@ -199,7 +199,7 @@ def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     for k, automaton in enumerate(automata(benchmark)):
         if k:
             rows = common.written(rows, "scanned")
-        rows = rows.mapInArrow(_pass(spark.sparkContext.broadcast(automaton)), rows.schema)
+        rows = rows.mapInArrow(common.tidy(_pass(spark.sparkContext.broadcast(automaton))), rows.schema)
     return rows
 
 
@@ -248,5 +248,5 @@ def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def without_spans(docs: DataFrame, benchmark: DataFrame, most_words: int = WINDOW - 1) -> DataFrame:
     """All rows of ``docs``; spans longer than ``most_words`` are cut out of the texts."""
     rows = scanned(docs, benchmark).withColumn("spans", F.filter("spans", lambda s: s["last"] - s["first"] + 1 > most_words))
-    cut = rows.mapInArrow(_without, rows.schema)
+    cut = rows.mapInArrow(common.tidy(_without), rows.schema)
     return cut.select(*[F.col("text").cast("string").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

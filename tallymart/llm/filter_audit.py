@@ -120,7 +120,7 @@ def _audited(cells: pa.Table) -> pa.Table:
 def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, code (bits of A to D), and counts of rows that pass E (n, good, toxic) and that fail it (n_copies, ...)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.col("text").cast("binary").alias("text"))
-    rows = rows.mapInArrow(_checked, "doc_id long, part string, code int, digest binary")
+    rows = rows.mapInArrow(common.tidy(_checked), "doc_id long, part string, code int, digest binary")
     flag = lambda c: F.coalesce(F.max((F.col(c) == 1).cast("int")), F.lit(0)).alias(c)
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(flag("quality"), flag("toxic"))
     labelled = rows.join(marks, "doc_id", "left").select(

@@ -62,7 +62,7 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
     """Smoothed idf of every bucket over all rows of ``texts`` (one text column)."""
-    counted = texts.mapInArrow(_frequencies, "bucket long, documents long").groupBy("bucket").agg(F.sum("documents").alias("documents"))
+    counted = texts.mapInArrow(common.tidy(_frequencies), "bucket long, documents long").groupBy("bucket").agg(F.sum("documents").alias("documents"))
     rows = counted.toArrow()
     documents = texts.count()
     found = np.zeros(BUCKETS)
@@ -173,5 +173,5 @@ def languages(docs: DataFrame, model: Model) -> DataFrame:
     held = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     if not model.languages:
         return rows.select("doc_id", held.alias("held_out"), F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
-    found = rows.mapInArrow(_predicted(model), "doc_id long, lang_pred string, score double")
+    found = rows.mapInArrow(common.tidy(_predicted(model)), "doc_id long, lang_pred string, score double")
     return found.select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -148,4 +148,4 @@ def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated(docs: DataFrame, source: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, columns as they are."""
     chosen = mixed(docs, n_words(F.col("text")), source).select("row", "copies").where("copies > 0")
-    return chosen.mapInArrow(_repeated, chosen.schema).select("row.*")
+    return chosen.mapInArrow(common.tidy(_repeated), chosen.schema).select("row.*")

@@ -174,7 +174,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     [part.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "shingles"]
                 )
 
-    return docs.mapInArrow(sets, "doc_id long, shingles binary")
+    return docs.mapInArrow(common.tidy(sets), "doc_id long, shingles binary")
 
 
 def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -238,11 +238,11 @@ def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limit: flo
     joined = (
         pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
     )
-    near = common.written(joined.mapInArrow(_promising(limit), "a long, b long"), "near-pairs")
+    near = common.written(joined.mapInArrow(common.tidy(_promising(limit)), "a long, b long"), "near-pairs")
     wanted = common.written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
     sets = common.written(_sets_of(docs, wanted), "sets")
     whole = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return common.written(whole.mapInArrow(_confirmed(limit), "a long, b long").distinct(), "links")
+    return common.written(whole.mapInArrow(common.tidy(_confirmed(limit)), "a long, b long").distinct(), "links")
 
 
 def _rest(limit: float):
@@ -315,7 +315,7 @@ def links(docs: DataFrame, limit: float = 0.8) -> tuple[DataFrame, DataFrame, Da
     ``docs`` has doc_id and text. Rows of one doc_id count as one document. A null id is linked with nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    sketches = common.written(docs.mapInArrow(_sketch, _TEXT_SKETCH), "sketches")
+    sketches = common.written(docs.mapInArrow(common.tidy(_sketch), _TEXT_SKETCH), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     classes = common.written(filled.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
     reps = filled.join(

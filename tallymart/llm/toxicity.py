@@ -44,7 +44,7 @@ class Scorer(NamedTuple):
 
 class _Bag(NamedTuple):
     words: common.Coded
-    window: np.ndarray  # per word the window it is in
+    window: np.ndarray  # per word the window it is in (32 bits)
     document: np.ndarray  # per window its document
     length: np.ndarray  # per window its words
 
@@ -54,9 +54,12 @@ def _bag(texts: pa.Array) -> _Bag:
     counts = np.diff(words.starts)
     windows = -(-counts // WINDOW)
     first = np.concatenate(([0], np.cumsum(windows)))
-    inside = np.arange(len(words.codes)) - np.repeat(words.starts[:-1], counts)
-    window = np.repeat(first[:-1], counts) + inside // WINDOW
-    return _Bag(words, window, np.repeat(np.arange(len(counts)), windows), np.bincount(window, minlength=first[-1]).astype(float))
+    # Every window but the last of its document is full, so windows follow from the counts alone.
+    length = np.full(first[-1], WINDOW, np.int32)
+    some = counts > 0
+    length[first[1:][some] - 1] = counts[some] - (windows[some] - 1) * WINDOW
+    window = np.repeat(np.arange(first[-1], dtype=np.int32), length)
+    return _Bag(words, window, np.repeat(np.arange(len(counts), dtype=np.int32), windows), length)
 
 
 def _softmax(logits: np.ndarray) -> np.ndarray:
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     # At most SAMPLE_BYTES ids of each label, as a text counts one byte at least; far fewer with texts of usual size.
     sample = rows.join(F.broadcast(known.where(place < share)), "doc_id").select("doc_id", "text", "label")
     sample = common.written(sample, "sample")
-    row = sample.repartition(1).mapInArrow(_trained, "margins binary, bias double").first()
+    row = sample.repartition(1).mapInArrow(common.tidy(_trained), "margins binary, bias double").first()
     return Scorer(np.frombuffer(row["margins"], np.float32)[:, None], row["bias"])
 
 
@@ -194,11 +197,11 @@ def _scored(model: Scorer, keep_below: float | None, text_at: int):
 def toxicity(docs: DataFrame, model: Scorer, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs`` (doc_id, text, other columns). A null id isn't held out."""
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    scored = pairs.mapInArrow(_scored(model, None, 1), "doc_id long, score double")
+    scored = pairs.mapInArrow(common.tidy(_scored(model, None, 1)), "doc_id long, score double")
     held = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, model: Scorer, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score less than ``threshold``, columns as they are."""
-    return docs.mapInArrow(_scored(model, threshold, docs.columns.index("text")), docs.schema)
+    return docs.mapInArrow(common.tidy(_scored(model, threshold, docs.columns.index("text"))), docs.schema)
