@@ -22,6 +22,18 @@ MAGIC = b"TMRP0001"
 PAIRS_PER_ROUND, LEAST_COUNT = 3072, 16
 
 
+_MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
+
+
+def _slots(pairs: int) -> int:
+    """A power of two, large enough that few pairs share a slot."""
+    return 1 << max(10, int(64 * pairs).bit_length())
+
+
+def _slot(pair: np.ndarray, multiplier: int, slots: int) -> np.ndarray:
+    return (pair.astype(np.uint64) * np.uint64(multiplier)) >> np.uint64(65 - slots.bit_length())
+
+
 class Grammar(NamedTuple):
     base: int  # symbols from here on are rules
     left: np.ndarray
@@ -58,13 +70,21 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, doc_ids: np.ndarray, doc_n
             break
         if len(frequent) > room:
             frequent = np.sort(frequent[np.argsort(-count[frequent], kind="stable")[:room]])
+        # Rules are found by one look into a table of hashed pairs. Of pairs that share a slot one is taken, the others next round.
+        slots, multiplier = _slots(len(frequent)), _MULTIPLIERS[done % len(_MULTIPLIERS)]
+        chosen = ordered[edge[frequent]]
+        own = _slot(chosen, multiplier, slots)
+        frequent = frequent[np.sort(np.unique(own, return_index=True)[1])]
         chosen = ordered[edge[frequent]]
+        table = np.zeros(slots, np.int32)
+        table[_slot(chosen, multiplier, slots)] = np.arange(len(chosen), dtype=np.int32)
         heads = np.zeros(len(sizes), bool)
         heads[(chosen >> (16 if small else 32)).astype(np.int64)] = True
-        maybe = np.flatnonzero(heads[symbols[:-1]] & inside)
-        at = np.minimum(np.searchsorted(chosen, pair[maybe]), len(chosen) - 1)
-        hit = chosen[at] == pair[maybe]
-        place, rule = maybe[hit], at[hit]
+        maybe = np.flatnonzero(heads[symbols[:-1]] & inside).astype(np.int32)
+        wanted = pair[maybe]
+        at = table[_slot(wanted, multiplier, slots)]
+        hit = chosen[at] == wanted
+        place, rule = maybe[hit].astype(np.int64), at[hit]
         # Of places in a row every other one counts, from the left.
         opens = np.append(True, np.diff(place) != 1)
         first = place[opens][np.cumsum(opens) - 1]

@@ -7,7 +7,7 @@ block knows its place among its task's ids; where a task's ids begin follows fro
 A text is cut into pieces where the tokenizer's own pattern always begins a new match: before a space between two
 characters that aren't white space, around a line feed between two such, and between an ASCII letter and an ASCII sign
 after it; never inside an added token. So pieces encode alone as they do in the text. Each distinct piece is encoded
-once for a slice of documents (and kept for later ones up to ``CACHED_PIECES``), many in one string.
+once for a slice of documents (and kept for later ones and later tasks of the worker; beyond ``CACHED_PIECES`` those that were met again), many in one string.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tallymart.llm import common, grammar
 
 BLOCK_TOKENS = 1 << 20
-CACHED_PIECES, PIECES_AT_ONCE, GROUPS_AT_ONCE = 1_500_000, 500, 64
+CACHED_PIECES, PIECES_AT_ONCE, GROUPS_AT_ONCE = 250_000, 500, 32
 END_ID = 2
 
 _LETTER, _SIGN = np.zeros(256, bool), np.zeros(256, bool)
@@ -54,6 +54,16 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known = pa.array([], pa.binary())
         self.flat, self.sizes = np.zeros(0, self.kind), np.zeros(0, np.int64)
+        self.met = np.zeros(0, bool)  # looked up again since the last clearing
+
+    def _clear(self) -> None:
+        """Keeps the pieces that were met again; all go if those are most of them."""
+        kept = self.met
+        if 4 * kept.sum() > 3 * len(kept):
+            return self._forget()
+        self.flat = self.flat[np.repeat(kept, self.sizes)]
+        self.known, self.sizes = self.known.filter(pa.array(kept)), self.sizes[kept]
+        self.met = np.zeros(len(self.sizes), bool)
 
     def _learn(self, pieces: pa.Array) -> np.ndarray:
         """Adds the ids of new pieces and returns where they are.
@@ -116,12 +126,15 @@ class PieceEncoder:
     def _places(self, pieces: pa.Array) -> np.ndarray:
         """Where the pieces are among the known ones."""
         if len(self.known) > CACHED_PIECES:
-            self._forget()
+            self._clear()
         at = pc.index_in(pieces, value_set=self.known) if len(self.known) else pa.nulls(len(pieces), pa.int32())
         out = at.fill_null(0).to_numpy().astype(np.int64)
+        new = at.is_null()
+        fresh = new.to_numpy(zero_copy_only=False)
+        self.met[out[~fresh]] = True
         if at.null_count:
-            new = at.is_null()
-            out[new.to_numpy(zero_copy_only=False)] = self._learn(pieces.filter(new))
+            out[fresh] = self._learn(pieces.filter(new))
+            self.met = np.append(self.met, np.zeros(at.null_count, bool))
         return out
 
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,9 +173,21 @@ class PieceEncoder:
         return np.insert(body, ends, end_id), counts
 
 
+_encoders: dict[int, PieceEncoder] = {}
+
+
+def _encoder(tokenizer_json: str) -> PieceEncoder:
+    """This worker process's encoder for the tokenizer: what one task has learnt serves the next."""
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = PieceEncoder(tokenizer_json)
+    return _encoders[key]
+
+
 def _blocks(shared, end_id: int, block_tokens: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder(shared.value)
+        encoder = _encoder(shared.value)
         part, number, start = TaskContext.get().partitionId(), 0, 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
 
@@ -177,7 +202,7 @@ def _blocks(shared, end_id: int, block_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], names=list(row))
 
         for batch in batches:
-            for cut in common.slices(batch, 1, 4 * block_tokens):
+            for cut in common.slices(batch, 1, 2 * block_tokens):
                 ids, counts = encoder.encode(common.filled_binary(cut.column(1)), end_id)
                 name = cut.column(0)
                 held.append((ids, counts, name.fill_null(0).to_numpy(), np.asarray(name.is_null())))
@@ -199,7 +224,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_I
         shared = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(_blocks(shared, end_id, block_tokens), BLOCKS).write.parquet(path)
+    ordered.mapInArrow(common.tidy(_blocks(shared, end_id, block_tokens)), BLOCKS).write.parquet(path)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +255,7 @@ def _with_place(spark: SparkSession, path: str) -> DataFrame:
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files."""
     return _with_place(spark, path).select("start", "payload").mapInArrow(
-        _documents, "doc_id long, start long, n_tokens long, ids_crc32 long"
+        common.tidy(_documents), "doc_id long, start long, n_tokens long, ids_crc32 long"
     )
 
 
