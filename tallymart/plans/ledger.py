@@ -6,17 +6,21 @@ has published. A state is never updated in place; the current one is the newest
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.schemas import LEDGER
-from tallymart.sinks.files import run_path
+from tallymart.sinks.files import exists, run_path
 
 # The one-letter states of a file.
 OPEN = "A"
 CLOSED = "I"
 
+#: A row without a time is older than all others.
+NO_TIME = 2**60
+
 
 class FailedRunError(RuntimeError):
     """An earlier run opened files and did not close them."""
@@ -39,22 +43,22 @@ def record(files: DataFrame, root: str, run_id: int, status: str) -> None:
 
 
 def read_ledger(spark: SparkSession, root: str) -> DataFrame:
-    try:
-        return spark.read.schema(LEDGER).parquet(root)
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return spark.createDataFrame([], LEDGER)
-        raise
+    return spark.read.schema(LEDGER).parquet(root) if exists(spark, root) else spark.createDataFrame([], LEDGER)
 
 
 def current_status(ledger: DataFrame) -> DataFrame:
-    """The newest state of each file, which is its place: names repeat across folders. At equal times a close follows its open."""
-    newest = F.max(F.struct("changed_at", "status", "run_id")).alias("s")
-    return (
-        ledger.groupBy("file_location")
-        .agg(newest, F.max("file_name").alias("file_name"))
-        .select("file_location", "file_name", "s.run_id", "s.status", "s.changed_at")
-    )
+    """The newest state of each file, which is its place: names repeat across folders. At equal times a close follows its open.
+
+    Time and state are one number, and with the run id another, so the newest row is found by hash aggregation on numbers alone.
+    """
+    closed = (F.col("status") == CLOSED).cast("bigint")
+    moment = F.coalesce(F.unix_micros("changed_at") * 2 + closed, closed - F.lit(NO_TIME)).alias("moment")
+    rows = ledger.select("file_location", "file_name", "run_id", moment)
+    order = F.col("moment").cast("decimal(38,0)") * F.lit(Decimal(2**63)) + F.col("run_id").cast("decimal(19,0)")
+    newest = rows.groupBy("file_location", "file_name").agg(F.max("moment").alias("moment"), F.max_by("run_id", order).alias("run_id"))
+    state = F.when(F.col("moment") % 2 == 0, OPEN).otherwise(CLOSED)
+    changed = F.when(F.col("moment") >= -NO_TIME // 2, F.timestamp_micros(F.shiftright("moment", 1)))
+    return newest.select("file_location", "file_name", "run_id", state.alias("status"), changed.alias("changed_at"))
 
 
 def files_with_status(ledger: DataFrame, status: str) -> DataFrame:

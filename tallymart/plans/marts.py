@@ -27,7 +27,11 @@ def customer_monthly(
         sales = only_known(sales, "store_id", store)
     if sales_team is not None:
         sales = only_known(sales, "sales_person_id", sales_team)
-    totals = month_totals(sales, ["customer_id"], month="sales_date_month")
+    return name_customers(month_totals(sales, ["customer_id"], month="sales_date_month"), customer)
+
+
+def name_customers(totals: DataFrame, customer: DataFrame) -> DataFrame:
+    """Totals of known customers, with name, address and phone number."""
     return totals.join(customer_side(customer), "customer_id").select(
         "customer_id",
         full_name("first_name", "last_name").alias("full_name"),

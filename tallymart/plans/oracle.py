@@ -192,6 +192,14 @@ SELECT count(*) AS n_rows, count(DISTINCT event_id) AS distinct_transaction_id,
        count(DISTINCT user_id) AS distinct_account_number, count(DISTINCT event_type) AS distinct_pay_mode,
        count(DISTINCT ts) AS distinct_timestamp, count(DISTINCT CAST(value AS DECIMAL(18,2))) AS distinct_amount
 FROM events
+""",
+    "sketched_profile": """
+WITH counted AS (
+  SELECT count(*) AS n_rows, count(DISTINCT event_id) AS transaction_id, count(DISTINCT user_id) AS account_number,
+         count(DISTINCT event_type) AS pay_mode, count(DISTINCT ts) AS timestamp, count(DISTINCT CAST(value AS DECIMAL(18,2))) AS amount
+  FROM events)
+SELECT column_name, n_rows, n_distinct, true AS within_bound
+FROM (UNPIVOT counted ON COLUMNS(* EXCLUDE (n_rows)) INTO NAME column_name VALUE n_distinct)
 """,
     "product_enrich": f"""{WITH},
 products AS (SELECT p_partkey AS product_id, p_name || ' ' || CAST(p_partkey AS VARCHAR) AS name,
@@ -242,6 +250,16 @@ FROM sales WHERE return_flag = 'A'
 UNION ALL
 SELECT concat_ws(',', customer_id, store_id, product_name, sales_date, sales_person_id, price, quantity, total_cost, 'more'), 'row'
 FROM sales WHERE return_flag = 'N' AND line_status = 'O' AND quantity % 5 = 0
+""",
+    "load_metrics": f"""{WITH},
+counted AS (
+  SELECT count(*) AS lines_read, count(*) FILTER (return_flag <> 'R') AS lines_accepted, count(*) FILTER (return_flag = 'R') AS lines_rejected,
+         0 AS bad_customer_id, 0 AS bad_store_id, 0 AS bad_product_name, 0 AS bad_sales_person_id, 0 AS bad_total_cost, 0 AS bad_row,
+         count(*) FILTER (return_flag = 'R' AND quantity % 2 = 0) AS bad_sales_date,
+         count(*) FILTER (return_flag = 'R' AND quantity % 3 = 0) AS bad_price,
+         count(*) FILTER (return_flag = 'R') AS bad_quantity
+  FROM sales)
+SELECT metric, CAST(n AS BIGINT) AS n FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS BIGINT) FROM counted) ON COLUMNS(*) INTO NAME metric VALUE n)
 """,
     "schema_check": """
 SELECT 'accepted' AS verdict, '' AS missing, '' AS extra, count(*) AS n_rows

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallymart.functions import full_name, month_of, month_to_date
-from tallymart.operators import joins, projections, quality, ranking, totals
+from tallymart.operators import joins, projections, quality, ranking, sketches, totals
 from tallymart.plans import ledger, marts, runs
 from tallymart.plans.ingest import (
     CUSTOMER_ROWS,
@@ -24,7 +24,7 @@ from tallymart.plans.ingest import (
 )
 from tallymart.schemas import MANDATORY_COLUMNS, SALES_MART, SELLER_REPORT
 from tallymart.session import scratch_dir
-from tallymart.sinks.files import write_csv, write_parquet, write_partitioned, write_run
+from tallymart.sinks.files import write_csv, write_packed, write_parquet, write_partitioned, write_run
 from tallymart.sources import csv_files, star
 from tallymart.sources.tables import read_csv, read_parquet, read_payments
 from tallymart.streaming.arrivals import ingest_arrivals
@@ -173,10 +173,11 @@ def sales_mart_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sales_partitioned_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sales mart written by month and store, and read back."""
+    """The sales mart written by month, and by store within it, and read back."""
     path = scratch_dir(spark, "sales-partitioned")
-    write_partitioned(projections.sales_mart(enriched(spark, sf_dir)), path, ["sales_month", "store_id"])
-    rows = read_parquet(spark, path, SALES_MART)
+    write_parquet(projections.sales_mart(enriched(spark, sf_dir)), f"{path}/rows")
+    write_packed(read_parquet(spark, f"{path}/rows"), f"{path}/mart", "sales_month", ["store_id"])
+    rows = read_parquet(spark, f"{path}/mart", SALES_MART)
     return as_doubles(rows.withColumn("sales_date", F.col("sales_date").cast("string")))
 
 
@@ -184,7 +185,7 @@ def seller_report_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The monthly seller report as CSV files, one folder per month, from the published mart, and read back."""
     base = scratch_dir(spark, "seller-report")
     layout = Layout(f"{base}/marts")
-    publish_sales(spark, star.sales(spark, sf_dir), known(spark, sf_dir), layout)
+    publish_sales(spark, star.sales(spark, sf_dir), known(spark, sf_dir), layout, by_store=False)
     write_csv(seller_monthly_mart(spark, layout).select(*SELLER_REPORT.fieldNames()), f"{base}/report", ["sales_month"])
     return as_doubles(read_csv(spark, f"{base}/report", SELLER_REPORT))
 
@@ -197,11 +198,11 @@ def versioned_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
     layout, tables = Layout(scratch_dir(spark, "versions")), known(spark, sf_dir)
     sales = star.sales(spark, sf_dir)
     early = F.month("sales_date") <= 6
-    publish_sales(spark, sales.where(early), tables, layout, run_id=1)
+    publish_sales(spark, sales.where(early), tables, layout, run_id=1, by_store=False)
     half = sales.where(~early & (F.col("store_id") % 2 == 0)).withColumn(joins.SOURCE_FILE, F.lit(None).cast("string"))
     rows = projections.customer_mart(joins.enrich(half, tables.customer, tables.store, tables.sales_team))
-    write_run(rows.withColumn("sales_month", month_of("sales_date")), layout.customer_mart, 2, ["sales_month"])
-    publish_sales(spark, sales.where(~early), tables, layout, run_id=3)
+    write_run(rows.withColumn("sales_month", month_of("sales_date")), layout.customer_mart, 2)
+    publish_sales(spark, sales.where(~early), tables, layout, run_id=3, by_store=False)
     spent = customer_monthly_mart(spark, layout).groupBy("sales_date_month").agg(F.sum("total_sales").alias("total_sales"))
     kept = runs.read_runs(spark, layout.customer_mart, CUSTOMER_ROWS, runs.completed_runs(spark, layout.completed))
     counted = kept.groupBy("sales_month", "run_id").agg(F.count(F.lit(1)).alias("n_rows"))
@@ -228,6 +229,20 @@ def column_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.profile(payments, payments.columns)
 
 
+def sketched_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct values of each payment column: exact, and whether the union of stored monthly sketches is within its error bound."""
+    payments = projections.rename_columns(star.payments(spark, sf_dir)).withColumn("month", month_of("timestamp"))
+    columns = [c for c in payments.columns if c != "month"]
+    path = scratch_dir(spark, "sketches")
+    write_parquet(sketches.column_sketches(payments, columns, ["month"]), path)
+    total = sketches.estimates(sketches.merged(read_parquet(spark, path)))
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(f"distinct_{c}").alias("estimate")) for c in columns]
+    guessed = total.select("n_rows", F.inline(F.array(*pairs)))
+    found = sketches.exact_counts(payments, columns).join(guessed, "column_name")
+    near = F.abs(F.col("estimate") - F.col("n_distinct")) <= F.ceil(F.col("n_distinct") * sketches.BOUND)
+    return found.select("column_name", "n_rows", "n_distinct", near.alias("within_bound"))
+
+
 def product_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = star.sales(spark, sf_dir, product=True).select(
         "customer_id", "sales_person_id", "product_name", "quantity", "total_cost"
@@ -306,26 +321,32 @@ def union_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return show_sales(csv_files.good_rows(load_landing(spark, landing)))
 
 
+def with_bad_cells(lines: DataFrame, *more: Column | str) -> DataFrame:
+    """Sales as text cells; returned goods have a unit in the quantity, a third decimal or a day left out."""
+    returned, none = F.col("return_flag") == "R", F.lit("")
+    month_only = returned & (F.col("quantity") % 2 == 0)
+    cells = {
+        **{c: F.col(c).cast("string") for c in MANDATORY_COLUMNS},
+        "sales_date": F.when(month_only, F.date_format("sales_date", "yyyy-MM")).otherwise(F.col("sales_date").cast("string")),
+        "price": F.concat(F.col("price").cast("string"), F.when(returned & (F.col("quantity") % 3 == 0), "5").otherwise(none)),
+        "quantity": F.concat(F.col("quantity").cast("string"), F.when(returned, " pcs").otherwise(none)),
+    }
+    return lines.select(*[cells[c].alias(c) for c in MANDATORY_COLUMNS], *more)
+
+
 def rejected_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows set aside: returned goods come with a unit in the quantity, a third decimal and a day left out.
 
     Lines with flag A lack their last cells, lines with flag N and an open status have one too many.
     """
     landing = scratch_dir(spark, "bad-cells")
-    lines = star.sales(spark, sf_dir, product=True, extras=True)
-    returned, none = F.col("return_flag") == "R", F.lit("")
-    cells = [F.col(c).cast("string") for c in MANDATORY_COLUMNS[:3]] + [
-        F.when(returned & (F.col("quantity") % 2 == 0), F.date_format("sales_date", "yyyy-MM")).otherwise(F.col("sales_date").cast("string")),
-        F.col("sales_person_id").cast("string"),
-        F.concat(F.col("price").cast("string"), F.when(returned & (F.col("quantity") % 3 == 0), "5").otherwise(none)),
-        F.concat(F.col("quantity").cast("string"), F.when(returned, " pcs").otherwise(none)),
-        F.col("total_cost").cast("string"),
-    ]
-    whole = F.array(*cells)
+    sales = star.sales(spark, sf_dir, product=True, extras=True)
+    lines = with_bad_cells(sales, "return_flag", "line_status", F.col("quantity").alias("n"))
+    whole = F.array(*MANDATORY_COLUMNS)
     extra = F.array(F.lit("more"))
     line = (
         F.when(F.col("return_flag") == "A", F.slice(whole, 1, 6))
-        .when((F.col("return_flag") == "N") & (F.col("line_status") == "O") & (F.col("quantity") % 5 == 0), F.concat(whole, extra))
+        .when((F.col("return_flag") == "N") & (F.col("line_status") == "O") & (F.col("n") % 5 == 0), F.concat(whole, extra))
         .otherwise(whole)
     )
     text = lines.select(F.array_join(line, ",").alias("value"))
@@ -360,6 +381,19 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one run counted while it loaded a CSV file of all sales, some of whose cells are bad.
+
+    The counts come from the pass that writes the sales table and stand in the run's commit record.
+    """
+    base = scratch_dir(spark, "load-metrics")
+    layout = Layout(f"{base}/marts")
+    write_csv(with_bad_cells(star.sales(spark, sf_dir, product=True, extras=True)), f"{base}/landing")
+    ingest_arrivals(spark, f"{base}/landing", layout.root, known(spark, sf_dir))
+    (record,) = runs.records(spark, layout.completed)
+    return spark.createDataFrame(sorted(record["metrics"].items()), "metric string, n bigint")
+
+
 def order_file(customer: Column, priority: Column) -> tuple[Column, Column]:
     """Place and name of a customer's file: a folder for each priority, a name for each customer."""
     name = F.concat(F.lit("sales_"), customer.cast("string"), F.lit(".csv"))
@@ -475,6 +509,7 @@ QUERIES: dict[str, Query] = {
     "pay_mode_totals": pay_mode_totals,
     "monthly_total": monthly_total,
     "column_profile": column_profile,
+    "sketched_profile": sketched_profile,
     "product_enrich": product_enrich,
     "price_mismatch": price_mismatch,
     "unmatched_keys": unmatched_keys,
@@ -482,6 +517,7 @@ QUERIES: dict[str, Query] = {
     "union_files": union_files,
     "rejected_cells": rejected_cells,
     "schema_check": schema_check,
+    "load_metrics": load_metrics,
     "ledger_status": ledger_status,
     "failed_run_check": failed_run_check,
     "incremental_ingest": incremental_ingest,

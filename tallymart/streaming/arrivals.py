@@ -15,10 +15,10 @@ from pyspark.sql import types as T
 
 from tallymart.functions import new_run_id
 from tallymart.plans import ledger, runs
-from tallymart.plans.ingest import Dimensions, Layout, process_run, set_empty_files_aside
-from tallymart.sinks.files import move_files, run_path, write_run
+from tallymart.plans.ingest import Dimensions, Layout, process_run, set_empty_files_aside, settle_runs
+from tallymart.sinks.files import write_run
 from tallymart.sinks.jdbc import JdbcWriter
-from tallymart.sources.csv_files import NoInputError, accepted, list_files, rejected, require_files
+from tallymart.sources.csv_files import NoInputError, list_files, require_files
 
 log = logging.getLogger(__name__)
 
@@ -60,18 +60,22 @@ def ingest_arrivals(
     archive: str | None = None,
     on_failed_run: str = "retry",
     jdbc: JdbcWriter | None = None,
-    by_store: bool = True,
+    by_store: bool = False,
     report_empty: bool = True,
 ) -> None:
     """Process everything that has arrived since the last call, in runs of about ``max_files`` files.
 
-    With ``archive``, the files of a complete run are moved there, below its id and ``loaded`` or ``rejected``.
+    With ``archive``, the files of a complete run are moved there, below its id and ``loaded`` or ``rejected``. Runs that died between
+    their commit and that are settled first.
     Raises if the landing folder has no file with content, or if there were new files and none was usable.
     ``report_empty`` lists zero-byte files, for which the driver goes through all file names
     of the landing folder; switch it off for a folder of millions that is not archived.
     """
     layout = Layout(root)
+    settled = settle_runs(spark, layout)
     listing = list_files(spark, landing)
+    if settled and listing.isEmpty():
+        return
     if report_empty:
         set_empty_files_aside(spark, landing, layout)
     check_previous_run(spark, require_files(listing, f"files in {landing}"), layout, on_failed_run)
@@ -84,10 +88,6 @@ def ingest_arrivals(
         own = found.where(F.pmod(F.xxhash64("path"), F.lit(shares)) == share)
         taken = spark.read.schema(ARRIVED).parquet(write_run(own.select(*ARRIVED.fieldNames()), layout.arrived, run_id))
         if not taken.isEmpty():
-            loaded.append(process_run(spark, taken, run_id, layout, dimensions, jdbc, by_store))
-            if archive:
-                manifest = spark.read.parquet(run_path(layout.manifest, run_id))
-                for name, files in (("loaded", accepted(manifest)), ("rejected", rejected(manifest))):
-                    move_files(spark, files, landing, run_path(archive, run_id) + "/" + name)
+            loaded.append(process_run(spark, taken, run_id, layout, dimensions, jdbc, by_store, landing, archive))
     if loaded and not any(loaded):
         raise NoInputError("no arrived file has all mandatory columns")

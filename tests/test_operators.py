@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fixtures import customer_frame, rows_of, sale, sales_frame, seller_frame, store_frame
 from tallymart import functions as fn
-from tallymart.operators import joins, projections, quality, ranking, totals
+from tallymart.operators import joins, projections, quality, ranking, sketches, totals
 from tallymart.plans import marts
 
 D = Decimal
@@ -201,3 +201,19 @@ def test_unknown_dimension_rows_do_not_multiply(spark):
     sales = sales_frame(spark, sale(), sale())
     customer, store = customer_frame(spark, range(1, 26)), store_frame(spark, (121, 122, 123, 124))
     assert joins.enrich(sales, customer, store, seller_frame(spark, range(1, 11))).count() == 2
+
+
+def test_sketches_of_parts_unite_to_the_sketch_of_all(spark):
+    df = spark.range(40_000).select(
+        (F.col("id") % 4).alias("run"), (F.col("id") % 9_000).alias("few"), F.col("id").cast("decimal(18,2)").alias("all"), F.lit(None).cast("date").alias("none")
+    )
+    columns = ["few", "all", "none"]
+    parts = sketches.column_sketches(df, columns, ["run"])
+    united = sketches.estimates(sketches.merged(parts)).first()
+    assert united["n_rows"] == 40_000 and united["distinct_none"] == 0
+    whole = sketches.estimates(sketches.column_sketches(df, columns)).first()
+    for name, n in (("few", 9_000), ("all", 40_000)):
+        assert abs(united[f"distinct_{name}"] - n) <= n * sketches.BOUND
+        assert abs(united[f"distinct_{name}"] - whole[f"distinct_{name}"]) <= n * sketches.BOUND
+    assert rows_of(sketches.exact_counts(df, columns)) == [("all", 40_000), ("few", 9_000), ("none", 0)]
+    assert sketches.estimates(sketches.column_sketches(df.where("false"), columns)).first()["distinct_all"] == 0

@@ -11,7 +11,7 @@ import __spark_entry__ as entry_point
 SF_DIR = "/root/testdata/sf0.001"
 WRITING = {
     "sales_partitioned_readback", "seller_report_csv", "versioned_publish", "normalise_extra_columns",
-    "union_files", "rejected_cells", "schema_check", "incremental_ingest", "ingest_books", "pay_mode_totals",
+    "union_files", "rejected_cells", "schema_check", "incremental_ingest", "ingest_books", "pay_mode_totals", "load_metrics",
 }
 QUERIES = sorted(set(entry_point.QUERIES) - WRITING)
 
@@ -79,3 +79,26 @@ def test_maximum_is_joined_back_without_further_exchanges(spark, no_broadcasts):
     totals = exchanges(plan_of(spark, "seller_monthly"))
     # Both sides of the join start from the totals, whose exchanges the engine reuses when it runs.
     assert exchanges(plan_of(spark, "top_sellers")) <= 2 * totals + 3
+
+
+def test_newest_state_is_found_by_hash_aggregation(spark):
+    for name in ("ledger_status", "failed_run_check"):
+        plan = plan_of(spark, name)
+        assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_a_cut_dimension_thins_sales_before_the_shuffle(spark, no_broadcasts):
+    """With tables of the size for which it pays, a Bloom filter of the known keys is applied to the scan of the sales."""
+    keys = {
+        "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
+        "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "1KB",
+    }
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        plan = plan_of(spark, "enriched_sales")
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "might_contain" in plan

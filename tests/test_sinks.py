@@ -3,6 +3,7 @@ from __future__ import annotations
 from decimal import Decimal
 from types import SimpleNamespace
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -56,6 +57,75 @@ def test_hot_partition_is_split_over_tasks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "hot")).count() == 400_000
 
 
+def stores(spark, n, months=3, hot=False):
+    """Rows of 20 stores in some months; of the hot kind, half of them are of one store and month."""
+    month = F.when(F.lit(hot) & (F.col("id") % 2 == 0), 1).otherwise(F.col("id") % months + 1)
+    store = F.when(F.lit(hot) & (F.col("id") % 2 == 0), 7).otherwise(F.col("id") % 20)
+    return spark.range(n).select(
+        F.format_string("2023-%02d", month).alias("sales_month"), store.cast("long").alias("store_id"), F.xxhash64("id").alias("v")
+    )
+
+
+def row_groups(folder):
+    """(least store, greatest store, rows) of every row group below a folder."""
+    found = []
+    for file in sorted(folder.glob("*.parquet")):
+        held = pq.ParquetFile(file)
+        stores = [held.read_row_group(i, columns=["store_id"]).column(0).to_pylist() for i in range(held.num_row_groups)]
+        assert sum(stores, []) == sorted(sum(stores, []))
+        found += [(min(s), max(s), len(s)) for s in stores]
+    return found
+
+
+def test_packed_files_follow_the_bytes_and_hold_whole_stores(spark, tmp_path):
+    stores(spark, 60_000).write.parquet(str(tmp_path / "rows"))
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize")}
+    counts = []
+    try:
+        for size in ("64KB", "64MB"):
+            for k in before:
+                spark.conf.set(k, size)
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.parallelismFirst", "false")
+            path = tmp_path / size
+            files.write_packed(spark.read.parquet(str(tmp_path / "rows")), str(path), "sales_month", ["store_id"])
+            folders = sorted(p.name for p in path.glob("sales_month=*"))
+            assert folders == ["sales_month=2023-01", "sales_month=2023-02", "sales_month=2023-03"]
+            counts.append(len(list(path.rglob("*.parquet"))))
+            for folder in folders:
+                # Files of a month hold ranges of stores that meet in one store at most.
+                spans = sorted(row_groups(path / folder))
+                assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
+            back = spark.read.parquet(str(path))
+            assert back.count() == 60_000 and back.exceptAll(stores(spark, 60_000).select(back.columns)).isEmpty()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.parallelismFirst")
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert counts[1] == 3 < counts[0]
+
+
+def test_packed_files_are_pruned_by_month_and_store(spark, tmp_path):
+    stores(spark, 20_000).write.parquet(str(tmp_path / "rows"))
+    files.write_packed(spark.read.parquet(str(tmp_path / "rows")), str(tmp_path / "mart"), "sales_month", ["store_id"], file_rows=1_000)
+    some = spark.read.parquet(str(tmp_path / "mart")).where("sales_month = '2023-02' and store_id = 7")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sales_month" in plan and "EqualTo(store_id,7)" in plan
+    assert some.count() == stores(spark, 20_000).where("sales_month = '2023-02' and store_id = 7").count()
+    spans = row_groups(tmp_path / "mart" / "sales_month=2023-02")
+    assert len(spans) > 4 and sum(a <= 7 <= b for a, b, _ in spans) <= 2 and max(n for *_, n in spans) <= 1_000
+
+
+def test_a_hot_store_is_cut_over_packed_files(spark, tmp_path):
+    stores(spark, 40_000, hot=True).write.parquet(str(tmp_path / "rows"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files.write_packed(spark.read.parquet(str(tmp_path / "rows")), str(tmp_path / "mart"), "sales_month", ["store_id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    sizes = [n for a, b, n in row_groups(tmp_path / "mart" / "sales_month=2023-01") if a <= 7 <= b]
+    assert len(sizes) >= 3 and max(sizes) < 12_000
+
+
 def test_runs_are_versions_and_a_repeat_replaces_its_own(spark, tmp_path):
     path = str(tmp_path / "versions")
     files.write_run(totals(spark, ("2023-01", 1, D("1")), ("2023-02", 1, D("2"))), path, 1, ["sales_month"])
