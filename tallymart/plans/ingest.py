@@ -204,21 +204,7 @@ def write_deltas(spark: SparkSession, enriched: DataFrame, retired: DataFrame, l
     runs.together(*jobs)
 
 
-def write_row_marts(
-    spark: SparkSession,
-    sales: DataFrame,
-    dimensions: Dimensions,
-    layout: Layout,
-    run_id: int,
-    by_store: bool = False,
-    retired: DataFrame | None = None,
-) -> None:
-    """Joins the sales once; row marts and sums are cut from the written result, side by side."""
-    joined = enrich(sales, dimensions.customer, dimensions.store, dimensions.sales_team)
-    enriched = spark.read.schema(joined.schema).parquet(write_run(joined, layout.enriched, run_id))
-    if retired is None:
-        retired = spark.createDataFrame([], VERSIONS)
-    bought = customer_mart(enriched).withColumn("sales_month", month_of("sales_date"))
+def write_unmatched(sales: DataFrame, dimensions: Dimensions, layout: Layout, run_id: int) -> None:
     lost = unmatched_report(
         sales,
         {
@@ -227,12 +213,7 @@ def write_row_marts(
             "sales_person_id": (dimensions.sales_team, "id"),
         },
     )
-    runs.together(
-        lambda: write_sales_rows(spark, sales_mart(enriched), layout, run_id, by_store),
-        lambda: write_run(bought, layout.customer_mart, run_id),
-        lambda: write_deltas(spark, enriched, retired, layout, run_id),
-        lambda: write_run(lost, layout.unmatched, run_id),
-    )
+    write_run(lost, layout.unmatched, run_id)
 
 
 def all_versions(spark: SparkSession, layout: Layout, run_ids: list[int]) -> DataFrame:
@@ -460,13 +441,33 @@ def write_marts(
     by_store: bool = False,
     retired: DataFrame | None = None,
 ) -> None:
-    """All tables of a run but its commit."""
+    """All tables of a run but its commit.
+
+    The sales are joined once; row marts and sums are cut from the written result. Jobs that don't wait for each other run side by side.
+    """
     runs.refuse_repeat(spark, layout.completed, run_id)
     if SOURCE_FILE not in sales.columns:
         sales = sales.withColumn(SOURCE_FILE, F.lit(None).cast("string"))
+    if retired is None:
+        retired = spark.createDataFrame([], VERSIONS)
     tables = landed(spark, dimensions, layout, run_id)
-    write_row_marts(spark, sales, tables, layout, run_id, by_store, retired)
-    rebuild_months(spark, tables, layout, run_id, jdbc)
+
+    def from_joined() -> None:
+        joined = enrich(sales, tables.customer, tables.store, tables.sales_team)
+        enriched = spark.read.schema(joined.schema).parquet(write_run(joined, layout.enriched, run_id))
+        bought = customer_mart(enriched).withColumn("sales_month", month_of("sales_date"))
+
+        def months() -> None:
+            write_deltas(spark, enriched, retired, layout, run_id)
+            rebuild_months(spark, tables, layout, run_id, jdbc)
+
+        runs.together(
+            months,
+            lambda: write_sales_rows(spark, sales_mart(enriched), layout, run_id, by_store),
+            lambda: write_run(bought, layout.customer_mart, run_id),
+        )
+
+    runs.together(from_joined, lambda: write_unmatched(sales, tables, layout, run_id))
 
 
 def process_run(
