@@ -42,9 +42,11 @@ PROBES = 24
 MARGIN = 0.12
 SMALL = 64
 BLOCK, GROUP = 512, 1 << 16
+SALTS = 16
 MOST_BITS = 1 << 25
 
 _U = np.uint64
+_SIGNATURE = ["sig1", "sig2", "n_shingles"]
 _TEXT_SKETCH = "doc_id long, n_shingles long, sig1 long, sig2 long, registers binary, bands array<long>"
 
 
@@ -117,7 +119,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             regs = registers(sets)
             keys = band_keys(regs)
             keys = [k if len(s) else k[:0] for s, k in zip(sets, keys, strict=True)]
-            sums = [np.array([s.sum(), common.mix64(s).sum()], np.uint64).view(np.int64) for s in sets]
+            sums = [_signature(s) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0),
@@ -149,8 +151,13 @@ def _bloom_words(size: int):
     return words
 
 
+def _signature(s: np.ndarray) -> np.ndarray:
+    """Two sums over a set, which with its size tell it from others."""
+    return np.array([s.sum(), common.mix64(s).sum()], np.uint64).view(np.int64)
+
+
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, shingles) of the wanted ids and a few others.
+    """(doc_id, sig1, sig2, n_shingles, shingles) of the rows with a wanted ``doc_id``, and of a few others.
 
     A Bloom filter of the ids, of at most ``MOST_BITS`` however many there are, is broadcast, so that the texts are read
     where they lie and only the wanted sets are shuffled by the join that follows. More ids only make it less sharp.
@@ -170,11 +177,25 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             hit = ((held[at >> _U(6)] >> (at & _U(63))) & _U(1)).astype(bool).reshape(2, -1).all(axis=0)
             for part in common.slices(batch.filter(pa.array(hit)), 1):
                 found = shingle_sets(common.filled_binary(part.column(1)))
+                sums = np.array([_signature(s) for s in found], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([s.tobytes() for s in found], pa.binary())], names=["doc_id", "shingles"]
+                    [
+                        part.column(0),
+                        *[pa.array(sums[:, i]) for i in (0, 1)],
+                        pa.array([len(s) for s in found], pa.int64()),
+                        pa.array([s.tobytes() for s in found], pa.binary()),
+                    ],
+                    names=["doc_id", "sig1", "sig2", "n_shingles", "shingles"],
                 )
 
-    return docs.mapInArrow(common.tidy(sets), "doc_id long, shingles binary")
+    return docs.mapInArrow(common.tidy(sets), "doc_id long, sig1 long, sig2 long, n_shingles long, shingles binary")
+
+
+def _sets_of_classes(docs: DataFrame, nodes: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, shingles) of the classes of ``nodes``, each from the row that represents it."""
+    wanted = common.written(classes.join(nodes, "node", "left_semi").withColumnRenamed("rep", "doc_id"), "wanted")
+    sets = _sets_of(docs, wanted.select("doc_id").distinct())
+    return sets.join(wanted, ["doc_id", *_SIGNATURE]).select("node", "shingles").dropDuplicates(["node"])
 
 
 def chance_agreement(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -232,15 +253,15 @@ def _confirmed(limit: float):
     return pairs
 
 
-def _verified(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, limit: float) -> DataFrame:
-    """The pairs (a, b) of class representatives that are linked."""
-    side = sketches.select("doc_id", "n_shingles", "registers")
+def _verified(pairs: DataFrame, reps: DataFrame, classes: DataFrame, docs: DataFrame, limit: float) -> DataFrame:
+    """The pairs (a, b) of classes that are linked."""
+    side = reps.select("node", "n_shingles", "registers")
     joined = (
         pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b").select("a", "b", "na", "nb", "ra", "rb")
     )
     near = common.written(joined.mapInArrow(common.tidy(_promising(limit)), "a long, b long"), "near-pairs")
-    wanted = common.written(near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
-    sets = common.written(_sets_of(docs, wanted), "sets")
+    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = common.written(_sets_of_classes(docs, nodes, classes), "sets")
     whole = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     return common.written(whole.mapInArrow(common.tidy(_confirmed(limit)), "a long, b long").distinct(), "links")
 
@@ -310,84 +331,131 @@ def _rest(limit: float):
 
 
 def links(docs: DataFrame, limit: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketches of all rows, (sig1, sig2, rep) of every class, and verified links (a, b) that connect the representatives.
+    """Sketches of all rows, the classes (sig1, sig2, n_shingles, rep, node), and verified links (a, b) that connect the nodes.
 
-    ``docs`` has doc_id and text. Rows of one doc_id count as one document. A null id is linked with nothing.
+    ``docs`` has doc_id and text. A class is named by its number, its ``node``, since one id may stand for several texts; ``rep``
+    is the least id among its rows. A null id is linked with nothing.
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     sketches = common.written(docs.mapInArrow(common.tidy(_sketch), _TEXT_SKETCH), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = common.written(filled.groupBy("sig1", "sig2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = filled.join(
-        classes.select(F.col("rep").alias("doc_id"), "sig1", "sig2", "n_shingles"), ["doc_id", "sig1", "sig2", "n_shingles"], "left_semi"
-    ).dropDuplicates(["doc_id", "sig1", "sig2"])
-    reps = common.written(reps, "representatives")
-    member = reps.select(F.col("doc_id").alias("rep"), F.posexplode("bands").alias("band", "key"))
-    rank = F.struct(F.xxhash64("rep").alias("place"), F.col("rep").alias("hub"))
-    buckets = member.groupBy("band", "key").agg(F.min(rank)["hub"].alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = common.written(member.join(buckets, ["band", "key"]), "buckets")
-    stars = shared.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-    first = _verified(stars, reps, docs, limit)
+    grouped = common.written(filled.groupBy(*_SIGNATURE).agg(F.min("doc_id").alias("rep")), "grouped")
+    # Numbers are given to a written table and written in their turn, so that they are the same whoever reads them.
+    classes = common.written(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+    reps = filled.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", *_SIGNATURE]).dropDuplicates(["node"])
+    reps = common.written(reps.select("node", "n_shingles", "registers", "bands"), "representatives")
+    member = reps.select("node", F.posexplode("bands").alias("band", "key"))
+    place = F.xxhash64("node")
+    buckets = member.groupBy("band", "key").agg(F.min_by("node", place).alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
+    # A bucket may hold a third of all members: they are dealt over SALTS tasks, each of which gets the bucket's one row.
+    salt = F.pmod(place, F.lit(SALTS)).cast("int").alias("salt")
+    dealt = buckets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    shared = common.written(member.select("*", salt).join(dealt, ["band", "key", "salt"]).drop("salt"), "buckets")
+    stars = shared.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    first = _verified(stars, reps, classes, docs, limit)
 
     # Buckets of three or more that the first round has not made one component.
-    label = components(first.toDF("u", "v")).withColumnRenamed("node", "rep")
-    labelled = shared.where("size > 2").join(label, "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    sides = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
-    left = common.written(labelled.join(sides.where("lo <> hi").select("band", "key"), ["band", "key"], "left_semi"), "open")
+    label = components(first.toDF("u", "v"))
+    labelled = shared.where("size > 2").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sides = labelled.groupBy("band", "key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+    open_ = sides.select("band", "key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    left = common.written(labelled.select("*", salt).join(open_, ["band", "key", "salt"], "left_semi").drop("salt"), "open")
     # A document shares most of its open buckets with the same others: they are compared once, as one group, unless
     # the group has grown far beyond its buckets.
-    group = components(left.select(F.col("rep").alias("u"), F.col("hub").alias("v"))).toDF("rep", "group")
+    group = components(left.select(F.col("node").alias("u"), F.col("hub").alias("v"))).toDF("node", "group")
     size = group.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
-    small = group.join(size.where(F.col("n") <= GROUP), "group").select("rep", "group", "n")
-    wide = left.join(small.select("rep"), "rep", "left_anti")
-    member = small.select(F.xxhash64(F.lit(1), "group").alias("group"), "rep", "n").union(
-        wide.select(F.xxhash64(F.lit(2), "band", "key").alias("group"), "rep", F.col("size").alias("n"))
+    small = group.join(size.where(F.col("n") <= GROUP), "group").select("node", "group", "n")
+    wide = left.join(small.select("node"), "node", "left_anti")
+    member = small.select(F.xxhash64(F.lit(1), "group").alias("group"), "node", "n").union(
+        wide.select(F.xxhash64(F.lit(2), "band", "key").alias("group"), "node", F.col("size").alias("n"))
     )
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     member = common.written(
         member.withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .join(left.select("rep", "component").distinct(), "rep"),
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .join(left.select("node", "component").distinct(), "node"),
         "members",
     )
-    sets = _sets_of(docs, common.written(member.select(F.col("rep").alias("doc_id")).distinct(), "wanted"))
+    sets = _sets_of_classes(docs, member.select("node").distinct(), classes)
     cells = (
-        member.join(reps.select(F.col("doc_id").alias("rep"), "n_shingles", "registers"), "rep")
-        .join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+        member.join(reps.select("node", "n_shingles", "registers"), "node")
+        .join(sets, "node")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("left", F.least("block", "other"))
         .withColumn("right", F.greatest("block", "other"))
+        .withColumnRenamed("node", "rep")
     )
     second = common.written(cells.groupBy("group", "left", "right").applyInArrow(_rest(limit), "a long, b long"), "more-links")
     return sketches, classes, first.union(second).distinct()
 
 
+def _labelled(sketches: DataFrame, classes: DataFrame, found: DataFrame) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row: the least id of the rows whose classes are connected by ``found``.
+
+    Rows without words or id are their own component.
+    """
+    label = components(found.toDF("u", "v"))
+    named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    by_class = named.join(least, "component").select(*_SIGNATURE, "component_id")
+    rows = sketches.join(by_class, _SIGNATURE, "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return rows.select(
+        "doc_id", "n_shingles", "sig1", "sig2", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    )
+
+
 def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text and any other columns).
 
-    Repeated rows stay repeated; an id that occurs twice is one document, so its rows share a component. Null or
-    blank texts and null ids are their own component (null for a null id, which is kept).
+    Repeated rows stay repeated; an id that occurs with several texts is one document, which links what they are linked with, so its
+    rows share a component. Blank texts without another row of their id and null ids are their own component (null for a null id, which is kept).
     """
     sketches, classes, found = links(docs, limit)
-    label = components(found.toDF("u", "v"))
-    named = classes.join(label.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "sig1", "sig2", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
-    return (
-        sketches.select("doc_id", "n_shingles", "sig1", "sig2")
-        .join(named, ["sig1", "sig2", "n_shingles"], "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id")).alias("component_id"),
-        )
-        .withColumn("component_id", F.coalesce("component_id", "doc_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-    )
+    # The classes of one id are linked with the least of them. Nearly all ids have one class and send nothing on.
+    held = sketches.where("n_shingles > 0 and doc_id is not null").join(classes.select(*_SIGNATURE, "node"), _SIGNATURE).select("doc_id", "node")
+    least = held.groupBy("doc_id").agg(F.min("node").alias("u"), F.max("node").alias("most")).where("u <> most").select("doc_id", "u")
+    same = held.join(least, "doc_id").where("node <> u").select("u", F.col("node").alias("v"))
+    rows = _labelled(sketches, classes, common.written(found.toDF("u", "v").union(same).distinct(), "all-links"))
+    # A blank text of an id that has others belongs to their component.
+    filled = rows.where("n_shingles > 0 and doc_id is not null").select("doc_id", F.col("component_id").alias("other"))
+    blank = rows.where("n_shingles = 0 and doc_id is not null").select("doc_id").distinct()
+    other = filled.join(blank, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("other").alias("other"))
+    rows = rows.join(other, "doc_id", "left").withColumn("component_id", F.coalesce("other", "component_id"))
+    return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, limit: float = 0.8) -> DataFrame:
-    """Rows of ``docs`` that are kept: one document of each group, the one with the least id. Columns stay as they are."""
+    """Rows of ``docs`` that are kept: of each group of near copies those of the least id. Columns stay as they are.
+
+    Here a text counts for itself, whatever other texts its id has: a row goes only if its group keeps a row of a smaller id. Rows
+    with blank texts or null ids stay.
+    """
     names = list(docs.columns)
-    gone = near_duplicates(docs, limit).where(~F.col("kept")).select(F.col("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*names)
+    sketches, classes, found = links(docs, limit)
+    gone = _labelled(sketches, classes, found).where("doc_id <> component_id").select("doc_id", "sig1", "sig2", "n_shingles").distinct()
+    # Texts are sketched again only for ids that lose a row and occur with several sets; all others go by their id.
+    several = sketches.where("doc_id is not null").groupBy("doc_id").agg(
+        F.min(F.xxhash64(*_SIGNATURE)).alias("lo"), F.max(F.xxhash64(*_SIGNATURE)).alias("hi")
+    ).where("lo <> hi").select("doc_id")
+    plain = gone.join(several, "doc_id", "left_anti").select("doc_id").distinct()
+    mixed = common.written(gone.join(several, "doc_id", "left_semi"), "mixed")
+    rest = docs.join(plain, "doc_id", "left_anti")
+    if not mixed.isEmpty():
+        ids = mixed.select("doc_id").distinct()
+        doubtful = rest.join(ids, "doc_id", "left_semi").select(*names)
+        keyed = doubtful.select(F.struct(*names).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+        signed = keyed.mapInArrow(common.tidy(_signed), f"row {doubtful.select(F.struct(*names).alias('r')).schema['r'].dataType.simpleString()}, doc_id long, sig1 long, sig2 long, n_shingles long")
+        kept = signed.join(mixed, ["doc_id", *_SIGNATURE], "left_anti").select("row.*")
+        rest = rest.join(ids, "doc_id", "left_anti").select(*names).union(kept.select(*names))
+    return rest.select(*names)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (row, doc_id, text) with the signature of their text in its place."""
+    for batch in batches:
+        for part in common.slices(batch, 2):
+            sets = shingle_sets(common.filled_binary(part.column(2)))
+            sums = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
+            columns = [part.column(0), part.column(1), *[pa.array(sums[:, i]) for i in (0, 1)], pa.array([len(s) for s in sets], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", *_SIGNATURE])

@@ -108,6 +108,40 @@ def test_cells_link_all_near_pairs_of_short_texts():
     assert sorted(zip(found.column("a").to_pylist(), found.column("b").to_pylist(), strict=True)) == [(2 * k, 2 * k + 1) for k in range(200)]
 
 
+def test_ids_with_several_texts_lose_no_text_and_share_a_component(spark):
+    rows = [(3, "a b c"), (5, "a b c"), (5, "x y z w"), (6, "x y z w"), (8, "p q"), (8, "r s"), (8, " "), (9, "r s"), (2, "r s t"), (2, None), (None, "r s")]
+    df = spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, component_id string")
+    found = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in near_dedup.near_duplicates(df).collect())
+    assert found == [(0, 1, 0), (2, 0, 2), (2, 2, 2), (3, 2, 3), (5, 2, 3), (5, 3, 3), (6, 3, 3), (8, 0, 8), (8, 1, 8), (8, 1, 8), (9, 1, 8)]
+    kept = near_dedup.deduplicated(df)
+    assert kept.columns == df.columns
+    gone = {(5, "a b c"), (6, "x y z w"), (9, "r s")}
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted((r for r in rows if r not in gone), key=str)
+
+
+def test_no_text_is_lost_where_ids_repeat_at_random(spark):
+    rng = np.random.default_rng(12)
+    texts = [" ".join(f"v{i}w{k}" for k in range(30)) for i in range(12)]
+    texts += [t.replace("w7", "changed") for t in texts[:6]]
+    rows = [(int(rng.integers(14)), texts[rng.integers(len(texts))]) for _ in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {t: set(zip(t.split(), t.split()[1:])) for t in texts}
+    near = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    # By documents: everything that an id's texts are linked with.
+    label = {i: i for i, _ in rows}
+    for _ in rows:
+        for i, a in rows:
+            for j, b in rows:
+                if near(a, b):
+                    label[i] = label[j] = min(label[i], label[j])
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    assert got == set(label.items())
+    kept = [(r.doc_id, r.text) for r in near_dedup.deduplicated(df).collect()]
+    for i, a in rows:
+        least = min(j for j, b in rows if near(a, b))
+        assert (i, a) in kept if i == least else (i, a) not in kept
+
+
 def test_near_duplicates_with_null_ids_repeated_rows_and_no_rows(spark):
     rows = [(None, "a b c", "en", "s", ""), (5, "a b c", "en", "s", ""), (5, "a b c", "en", "s", ""), (7, "a b c", "en", "s", "")]
     df = spark.createDataFrame(rows, DOCS)
