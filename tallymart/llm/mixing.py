@@ -4,10 +4,10 @@ Sources in code point order (null last) weigh 5, 2, 1 and so on again, and share
 target stops at ``MOST`` times its size, and what it leaves is shared again among the others by weight.
 
 Every document starts with rate 1. The rates nearest to that (in the entropy of a rate between 0 and ``MOST``) that
-give each source its target in words, and in documents the like share so that neither long nor short ones are
-favoured, are exponentially tilted: rate / (MOST - rate) = exp(a + b * size / mean size), a and b the duals of the two
-constraints. Newton steps on the convex dual find them; each step sums gradient and Hessian over a histogram of
-(source, size) in one distributed aggregation.
+give each source its target in words are exponentially tilted: rate / (MOST - rate) = exp(b * size / mean size), b the dual of the
+source's one constraint. Where a source is to grow, its long documents are repeated first, since they bring most words for a given
+change; where it is to shrink, they go first, and short ones stay near rate 1. Newton steps on the convex dual find b, kept within the bracket that
+the signs of earlier gradients leave; each step sums gradient and Hessian over a histogram of (source, size) in one distributed aggregation.
 
 Rates become copies by passing the rounding error on from document to document, longest first, in groups of about
 ``GROUP_ROWS`` documents of a source. So a group's words differ from what its rates ask for by less than a short document.
@@ -28,7 +28,7 @@ from tallymart.llm import common
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
 GROUP_ROWS = 4_000
-STEPS, PRECISION = 60, 1e-9
+STEPS, PRECISION = 100, 1e-9
 
 
 def n_words(text: Column) -> Column:
@@ -54,40 +54,39 @@ def targets(sizes: list[tuple[str | None, int]]) -> dict[str | None, float]:
 
 
 def duals(histogram: DataFrame, sources: DataFrame) -> DataFrame:
-    """(sid, a, b) of every source: Newton's method on (sid, size, n) and (sid, mean, share), share below ``MOST``."""
-    state = sources.select("sid", "mean", "share", F.lit(0.0).alias("a"), F.lit(0.0).alias("b"))
+    """(sid, b) of every source: Newton's method on (sid, size, n) and (sid, mean, share), share above 0 and below ``MOST``.
+
+    Raises if a source's words miss their target by more than ``PRECISION`` of it after ``STEPS`` steps.
+    """
+    none = F.lit(None).cast("double")
+    state = sources.select("sid", "mean", "share", F.lit(0.0).alias("b"), none.alias("lo"), none.alias("hi"))
     x = F.col("size") / F.col("mean")
-    rate = MOST / (1 + F.exp(-(F.col("a") + F.col("b") * x)))
-    slope = F.col("n") * rate * (1 - rate / MOST)
+    rate = MOST / (1 + F.exp(-F.col("b") * x))
+    b, g = F.col("b"), F.col("gradient")
     for _ in range(STEPS):
         sums = (
             histogram.join(state, "sid")
-            .groupBy("sid", "mean", "share", "a", "b")
+            .groupBy("sid", "mean", "share", "b", "lo", "hi")
             .agg(
-                F.sum(F.col("n") * (F.col("share") - rate)).alias("g1"),
-                F.sum(F.col("n") * x * (F.col("share") - rate)).alias("g2"),
-                F.sum(slope).alias("h11"),
-                F.sum(slope * x).alias("h12"),
-                F.sum(slope * x * x).alias("h22"),
-                F.sum(F.col("n") * F.col("share")).alias("scale"),
+                F.sum(F.col("n") * x * (F.col("share") - rate)).alias("gradient"),
+                F.sum(F.col("n") * x * x * rate * (1 - rate / MOST)).alias("slope"),
+                F.sum(F.col("n") * x * F.col("share")).alias("scale"),
             )
         )
-        # A small ridge keeps the step finite where all sizes are equal.
-        h11, h22 = F.col("h11") * (1 + 1e-9), F.col("h22") * (1 + 1e-9)
-        under = h11 * h22 - F.col("h12") * F.col("h12")
+        lo, hi = F.when(g > 0, b).otherwise(F.col("lo")), F.when(g < 0, b).otherwise(F.col("hi"))
+        # Far out the slope vanishes: a step goes no further than a few times the way so far, and not beyond the bracket.
+        reach = 4 * (1 + F.abs(b))
+        newton = b + F.when(F.col("slope") > 0, F.greatest(F.least(g / F.col("slope"), reach), -reach)).otherwise(F.signum(g) * reach)
+        inside = (lo.isNull() | (newton > lo)) & (hi.isNull() | (newton < hi))
+        miss = F.abs(g) / F.col("scale")
+        moved = F.when(miss < PRECISION, b).when(inside, newton).otherwise((lo + hi) / 2)
         step = common.written(
-            sums.select(
-                "sid", "mean", "share",
-                (F.col("a") + (h22 * F.col("g1") - F.col("h12") * F.col("g2")) / under).alias("a"),
-                (F.col("b") + (h11 * F.col("g2") - F.col("h12") * F.col("g1")) / under).alias("b"),
-                (F.greatest(F.abs("g1"), F.abs("g2")) / F.col("scale")).alias("miss"),
-            ),
-            "duals",
-        )
+            sums.select("sid", "mean", "share", moved.alias("b"), lo.alias("lo"), hi.alias("hi"), miss.alias("miss")), "duals"
+        )
         state = step.drop("miss")
         if (step.agg(F.max("miss")).first()[0] or 0.0) < PRECISION:
-            break
-    return state.select("sid", "a", "b")
+            return state.select("sid", "b")
+    raise RuntimeError(f"the mix has not converged in {STEPS} steps")
 
 
 def _copies(group: pa.Table) -> pa.Table:
@@ -105,7 +104,7 @@ def _copies(group: pa.Table) -> pa.Table:
 def mixed(docs: DataFrame, size: Column, source: str = "source") -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), size, source_size, target and copies for every row.
 
-    A source without words has target 0. Documents without words get the copies of their rate, rounded down. The result
+    A source without words has target 0. Documents without words have rate 1, or their source's if it takes all or nothing. The result
     is the same in every run. What reaches the driver is one sum for each source.
     """
     spark = docs.sparkSession
@@ -124,13 +123,13 @@ def mixed(docs: DataFrame, size: Column, source: str = "source") -> DataFrame:
     inner = sources.where(f"share > 0 and share < {MOST} * (1 - 1e-9)")
     found = duals(named, inner) if any(0 < t[5] < MOST * (1 - 1e-9) for t in table) else None
     if found is None:
-        known = sources.withColumns({"a": F.lit(None).cast("double"), "b": F.lit(None).cast("double")})
+        known = sources.withColumn("b", F.lit(None).cast("double"))
     else:
         known = sources.join(found, "sid", "left")
-    tilted = MOST / (1 + F.exp(-(F.col("a") + F.col("b") * F.col("size") / F.col("mean"))))
+    tilted = MOST / (1 + F.exp(-F.col("b") * F.col("size") / F.col("mean")))
     rated = (
         rows.join(known, F.col("source").eqNullSafe(F.col("name")))
-        .withColumn("rate", F.when(F.col("a").isNotNull(), tilted).otherwise(F.least(F.col("share"), F.lit(float(MOST)))))
+        .withColumn("rate", F.when(F.col("b").isNotNull(), tilted).otherwise(F.least(F.col("share"), F.lit(float(MOST)))))
         .withColumn("mark", F.xxhash64("row"))
         .withColumn("part", F.pmod("mark", F.col("parts")))
         .select("row", "size", "source_size", "target", "rate", "mark", "sid", "part")
