@@ -395,13 +395,18 @@ def _labelled(sketches: DataFrame, classes: DataFrame, found: DataFrame) -> Data
     Rows without words or id are their own component.
     """
     label = components(found.toDF("u", "v"))
-    named = classes.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_class = named.join(least, "component").select(*_SIGNATURE, "component_id")
+    named = classes.join(label, "node", "left")
+    # Classes without a link are done; of the others a component may hold very many, so it is dealt over SALTS tasks.
+    linked = named.where("component is not null").withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    dealt = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    by_class = linked.join(dealt, ["component", "salt"]).select(*_SIGNATURE, "component_id").union(
+        named.where("component is null").select(*_SIGNATURE, "rep")
+    )
     rows = sketches.join(by_class, _SIGNATURE, "left")
-    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    own = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     return rows.select(
-        "doc_id", "n_shingles", "sig1", "sig2", F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+        "doc_id", "n_shingles", "sig1", "sig2", F.when(own, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
