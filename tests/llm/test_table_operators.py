@@ -49,6 +49,35 @@ def test_nearest_with_odd_vectors_ties_and_many_blocks(spark, monkeypatch):
     assert nearest.nearest(df.where("vec_id in (20, 1)"), F.col("vec_id") == 20).count() == 1
 
 
+def test_repeated_rows_are_candidates_of_their_own(spark):
+    rng = np.random.default_rng(6)
+    vectors = rng.normal(size=(25, 70))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] * 2 + [(20, rng.normal(size=70).tolist())] + [(7, vectors[7].tolist())] * 40
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = nearest.nearest(df, F.col("vec_id") % 20 == 0, 20).collect()
+    queries_ = {(i, tuple(v)) for i, v in rows if i % 20 == 0}
+    assert len(queries_) == 3 and len(found) == 60
+    got = defaultdict(list)
+    for r in sorted(found, key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append((r["rank"], r.vec_id, round(r.score, 9)))
+    expected = defaultdict(list)
+    for i, v in queries_:
+        scored = sorted((-round(float(np.dot(v, w)), 9), j) for j, w in rows if j != i)[:20]
+        expected[i] += [(n, j, -s) for n, (s, j) in enumerate(scored, 1)]
+    assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in expected.items()}
+
+
+def test_codes_are_packed_bits_and_bounds_hold():
+    rng = np.random.default_rng(3)
+    vectors, asked = rng.normal(size=(3000, 100)), rng.normal(size=(50, 100))
+    turn = nearest.rotation(100)
+    codes, planes = nearest.Codes(vectors, turn), nearest.Planes(asked, turn)
+    assert codes.packed.shape == (3000, 2) and codes.packed.dtype == np.uint64 and turn.shape == (100, 128)
+    guess, bound = planes.estimates(codes, 0, 3000)
+    miss = np.abs(guess - asked @ vectors.T)
+    assert (miss <= bound).mean() > 0.98 and bound.mean() < 0.5 * np.linalg.norm(vectors, axis=1).mean() * np.linalg.norm(asked, axis=1).mean()
+
+
 def test_recall_on_the_given_vectors(spark):
     rows = [(r.vec_id, r.embedding) for r in queries.table(spark, SF, "embeddings").collect()]
     expected = plain_nearest(rows, 20)
@@ -134,6 +163,53 @@ def test_mix_of_sources_of_one_size_or_without_words(spark):
     assert {r.target for r in rows if r.row.source == "none"} == {0.0}
 
 
+def dense_dual(sizes, share):
+    """The dual of one source by bisection, and the rates that it gives."""
+    x = np.array(sizes) / np.mean(sizes)
+    low, high = -1e6, 1e6
+    with np.errstate(over="ignore"):
+        for _ in range(200):
+            b = (low + high) / 2
+            rate = 2 / (1 + np.exp(-b * x))
+            low, high = (b, high) if (x * rate).sum() < share * x.sum() else (low, b)
+    return b, rate
+
+
+@pytest.mark.parametrize("share", [0.02, 0.4, 1.0, 1.5, 1.97])
+def test_rates_are_tilted_and_solve_the_dual(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    sizes = np.maximum(1, (rng.pareto(1.2, 400) * 50).astype(int))
+    histogram = spark.createDataFrame([(0, int(n), 1) for n in sizes] + [(1, 7, 50)], "sid int, size long, n long")
+    sources = spark.createDataFrame([(0, float(sizes.mean()), share), (1, 7.0, share)], "sid int, mean double, share double")
+    found = {r.sid: r.b for r in mixing.duals(histogram, sources).collect()}
+    b, rate = dense_dual(sizes, share)
+    assert found[0] == pytest.approx(b, rel=1e-5, abs=1e-6)
+    x = sizes / sizes.mean()
+    gradient = (x * (share - 2 / (1 + np.exp(-found[0] * x)))).sum()
+    assert abs(gradient) <= 1e-8 * x.sum()
+    assert 2 / (1 + np.exp(-found[1])) == pytest.approx(share)  # equal sizes: nothing to tilt
+    if share != 1.0:
+        assert np.ptp(rate) > 0.1
+
+
+def test_a_mix_that_does_not_converge_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="converged"):
+        mixing.mixed(documents(spark, 60), mixing.n_words(F.col("text")))
+
+
+def test_mix_of_many_sources_and_identical_rows(spark):
+    rows = [(i, "w " * (1 + i % 50), f"source{i % 300}", "") for i in range(3000)] + [(-1, "a b c", "same", "x")] * 500
+    found = mixing.mixed(spark.createDataFrame(rows, DOCS), mixing.n_words(F.col("text"))).collect()
+    totals = defaultdict(lambda: [0, 0.0, 0])
+    for r in found:
+        t = totals[r.row.source]
+        t[0] += r["size"] * r.copies
+        t[1], t[2] = r.target, max(t[2], r["size"])
+    assert len(found) == 3500 and all(abs(taken - target) <= longest for taken, target, longest in totals.values())
+    assert totals["same"][0] == pytest.approx(totals["same"][1], abs=3)
+
+
 URLS = [
     None, "", "no scheme/x", "http://A.Example.NET/en/5?x=1#y", "https://example.net/en/7", "http://b.net", "http://b.net/", "ftp://x.org/fr/1", "http://org/fr/",
     "http://notorg/fr/1", "http://m.example.com/de/9#z", "http://m.example.com/en/9", "x://h?/en/", "a://b://c/d", "http://example.com", "http://UP.ÀE.com/a b/ü",
