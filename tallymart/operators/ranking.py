@@ -44,7 +44,7 @@ def rank_within(
     The rank of a value is one plus the rows in higher bands plus the rows above it in its
     own band. Equal values are counted before they are shuffled, so ties collapse, and the
     window over bands sees at most ``bands`` + 1 rows per group. Bands only spread the
-    work: the rank is exact for any cut.
+    work: the rank is exact for any cut. ``df`` is gone over several times, so it should be a written table.
     """
     keyed, plain = null_free(df, keys)
     keyed, exact = null_free(keyed, [value], "__value")

@@ -81,7 +81,9 @@ def seller_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def seller_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = ranking.rank_within(seller_totals(spark, sf_dir), ranking.STORE_MONTH, "total_sales")
+    path = scratch_dir(spark, "seller-totals")  # ranking goes over its input several times
+    write_parquet(seller_totals(spark, sf_dir), path)
+    ranked = ranking.rank_within(read_parquet(spark, path), ranking.STORE_MONTH, "total_sales")
     return as_doubles(ranked.select("store_id", "sales_month", "sales_person_id", "total_sales", "rnk"))
 
 
