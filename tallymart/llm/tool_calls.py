@@ -3,28 +3,22 @@
 Calls and results are hash-joined by (conversation, call id). A call may name one call it comes after; the chains are
 followed by pointer doubling, so a chain of n calls takes about log2(n) joins, and calls on a cycle are found as those
 that never reach a beginning. (depth, turn, call id) is then a topological order. Arguments are parsed as variants,
-checked against the tool's parameters, and written again as canonical JSON: sorted keys, no white space.
+checked against the tool's parameters - types, allowed values, ranges, and the same for what lies inside objects -, and written
+again as canonical JSON (see canonical_json): sorted keys, no white space, one form for equal numbers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymart.llm.canonical_json import below, fields_of, kind_of, number_of, parsed, serialised
 from tallymart.llm.common import written
 
 TURNS_PER_RANGE = 1024
 
-#: JSON types and the variant types that are theirs.
-KINDS = {
-    "string": "^STRING$",
-    "integer": "^(BIGINT|DECIMAL\\([0-9]+,0\\))$",
-    "number": "^(BIGINT|DOUBLE|FLOAT|DECIMAL.*)$",
-    "boolean": "^BOOLEAN$",
-    "array": "^ARRAY<",
-    "object": "^OBJECT<",
-    "null": "^VOID$",
-}
+#: What a parameter may have besides name, parameter, type and required: keys below it, canonical values, least and greatest number.
+OPTIONAL = {"path": "array<string>", "enum": "array<string>", "minimum": "double", "maximum": "double"}
 
 
 def depths(calls: DataFrame) -> DataFrame:
@@ -62,32 +56,44 @@ def _first(rows: DataFrame, names: list[str]) -> DataFrame:
     )
 
 
-def _errors():
-    """Array of what is wrong with ``given`` (map of variants) against ``parameters``; null map: not an object."""
-    parameters, given = F.col("parameters"), F.col("given")
-
-    def fits(p):
-        found = F.schema_of_variant(given[p["parameter"]])
-        return F.coalesce(
-            *[F.when(p["type"] == name, found.rlike(pattern)) for name, pattern in KINDS.items()], F.lit(False)
-        )
-
-    lacking = F.transform(
-        F.filter(parameters, lambda p: p["required"] & ~F.map_contains_key(given, p["parameter"])),
-        lambda p: F.concat(F.lit("missing "), p["parameter"]),
-    )
-    wrong = F.transform(
-        F.filter(parameters, lambda p: F.map_contains_key(given, p["parameter"]) & ~fits(p)),
-        lambda p: F.concat(F.lit("type of "), p["parameter"]),
-    )
-    names = F.transform(parameters, lambda p: p["parameter"])
+def _tools(parameters: DataFrame) -> DataFrame:
+    """(name, parameters) with the optional columns filled up and allowed values in canonical form."""
+    for column, kind in OPTIONAL.items():
+        if column not in parameters.columns:
+            parameters = parameters.withColumn(column, F.lit(None).cast(kind))
+    full = F.concat(F.array("parameter"), F.coalesce("path", F.array().cast("array<string>")))
+    allowed = F.transform("enum", lambda text: serialised(parsed(text)))
+    one = F.struct(full.alias("path"), "type", "required", allowed.alias("enum"), "minimum", "maximum")
+    return parameters.groupBy("name").agg(F.array_sort(F.collect_set(one)).alias("parameters"))
+
+
+def _errors() -> Column:
+    """Array of what is wrong with the object ``parsed`` against ``parameters``."""
+    given, parameters = F.col("parsed"), F.col("parameters")
+
+    def wrong(p: Column) -> Column:
+        label = F.array_join(p["path"], ".")
+        value, parent = below(given, p["path"]), below(given, F.slice(p["path"], F.lit(1), F.size(p["path"]) - 1))
+        kind, number = kind_of(value), number_of(value)
+        fits = (kind == p["type"]) | ((p["type"] == "number") & (kind == "integer"))
+        found = {
+            "missing ": p["required"] & value.isNull() & (kind_of(parent) == "object"),
+            "type of ": value.isNotNull() & ~F.coalesce(fits, F.lit(False)),
+            "value of ": p["enum"].isNotNull() & value.isNotNull() & ~F.array_contains(p["enum"], serialised(value)),
+            "range of ": (number < p["minimum"]) | (number > p["maximum"]),
+        }
+        return F.array(*[F.when(holds, F.concat(F.lit(what), label)) for what, holds in found.items()])
+
+    names = F.transform(parameters, lambda p: F.concat(F.lit("s"), F.element_at(p["path"], 1)))
     unknown = F.transform(
-        F.filter(F.map_keys(given), lambda k: ~F.array_contains(names, k)), lambda k: F.concat(F.lit("unknown "), k)
+        F.filter(F.map_keys(fields_of(given)), lambda k: ~F.array_contains(names, k)),
+        lambda k: F.concat(F.lit("unknown "), k.substr(F.lit(2), F.length(k))),
     )
+    found = F.array_compact(F.flatten(F.transform(parameters, wrong)))
     return (
-        F.when(F.col("parameters").isNull(), F.array(F.lit("unknown tool")))
-        .when(given.isNull(), F.array(F.lit("arguments are no object")))
-        .otherwise(F.array_sort(F.concat(lacking, wrong, unknown)))
+        F.when(parameters.isNull(), F.array(F.lit("unknown tool")))
+        .when(given.isNull() | (kind_of(given) != "object"), F.array(F.lit("arguments are no object")))
+        .otherwise(F.array_sort(F.concat(found, unknown)))
     )
 
 
@@ -98,7 +104,9 @@ def linked(calls: DataFrame, results: DataFrame, parameters: DataFrame, orphans:
     name, errors or arguments, ``calls`` is 0, and its position is after all calls, by the result's turn.
 
     ``calls``: conv_id, call_id, turn, name, arguments (JSON text), after. ``results``: conv_id, call_id, turn, content.
-    ``parameters``: name, parameter, type (a JSON type), required. Of several calls or results of one id the first by
+    ``parameters``: name, parameter, type (a JSON type; a whole number is an integer however it is written), required, and those of
+    ``OPTIONAL`` that are needed: a parameter with a ``path`` describes what lies below these keys, and is missing only where the
+    object around it is there. Of several calls or results of one id the first by
     turn and content counts, ``calls`` and ``results`` say how many there were; rows without an id are left out.
     ``status`` is ``cyclic``, ``invalid``, ``unanswered`` or ``ok``, the first that holds. ``position`` counts from 1
     in the order of (depth, turn, call_id); calls on a cycle come last.
@@ -107,14 +115,13 @@ def linked(calls: DataFrame, results: DataFrame, parameters: DataFrame, orphans:
     answers = _first(results, ["turn", "content"]).select(
         "conv_id", "call_id", F.col("turn").alias("result_turn"), "content", F.col("n").alias("results")
     )
-    tools = parameters.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("parameter", "type", "required"))).alias("parameters"))
+    tools = _tools(parameters)
     orphan = F.col("calls").isNull()
     joined = (
         own.join(depths(own), ["conv_id", "call_id"])
         .join(answers, ["conv_id", "call_id"], "full" if orphans else "left")
         .join(tools, "name", "left")
-        .withColumn("parsed", F.expr("try_parse_json(arguments)"))
-        .withColumn("given", F.when(F.expr("schema_of_variant(parsed) like 'OBJECT<%'"), F.expr("try_variant_get(parsed, '$', 'map<string,variant>')")))
+        .withColumn("parsed", parsed(F.col("arguments")))
         .withColumn("errors", F.when(orphan, F.array().cast("array<string>")).otherwise(_errors()))
     )
     status = (
@@ -126,7 +133,7 @@ def linked(calls: DataFrame, results: DataFrame, parameters: DataFrame, orphans:
     )
     text = F.concat(
         F.lit('{"after":'), F.coalesce(_quoted("after"), F.lit("null")),
-        F.lit(',"arguments":'), F.coalesce(F.expr("to_json(parsed)"), _quoted("arguments"), F.lit("null")),
+        F.lit(',"arguments":'), F.coalesce(serialised(F.col("parsed")), _quoted("arguments"), F.lit("null")),
         F.lit(',"id":'), _quoted("call_id"),
         F.lit(',"name":'), F.coalesce(_quoted("name"), F.lit("null")),
         F.lit(',"result":'), F.coalesce(_quoted("content"), F.lit("null")), F.lit("}"),

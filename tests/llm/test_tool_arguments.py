@@ -1,0 +1,136 @@
+"""Canonical JSON and argument checks against plain versions."""
+
+from __future__ import annotations
+
+import json
+from decimal import Decimal
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tallymart.llm import canonical_json, tool_calls
+
+
+class Literal(str):
+    """A number as it is written."""
+
+
+def plain_number(text):
+    value = Decimal(text)
+    if value == 0:
+        return "0"
+    sign, digits, power = value.as_tuple()
+    while digits[-1] == 0:
+        digits, power = digits[:-1], power + 1
+    d, p = "".join(map(str, digits)), len(digits) + power
+    if len(d) <= p <= 21:
+        out = d + "0" * (p - len(d))
+    elif 0 < p <= 21:
+        out = d[:p] + "." + d[p:]
+    elif -6 < p <= 0:
+        out = "0." + "0" * -p + d
+    else:
+        out = d[0] + ("." + d[1:] if len(d) > 1 else "") + f"e{p - 1:+d}"
+    return "-" * sign + out
+
+
+def plain(text):
+    def unique(pairs):
+        if len(dict(pairs)) < len(pairs):
+            raise ValueError
+        return dict(pairs)
+
+    def no(_):
+        raise ValueError
+
+    def write(v):
+        if isinstance(v, Literal):
+            return plain_number(v)
+        if isinstance(v, dict):
+            return "{" + ",".join(f"{write(k)}:{write(v[k])}" for k in sorted(v)) + "}"
+        if isinstance(v, list):
+            return "[" + ",".join(map(write, v)) + "]"
+        return json.dumps(v, ensure_ascii=False)
+
+    try:
+        return write(json.loads(text, parse_int=Literal, parse_float=Literal, parse_constant=no, object_pairs_hook=unique))
+    except ValueError:
+        return None
+
+
+PROBES = [
+    "1e2", "100", "100.0", "1E400", "-1E-400", "12345678901234567890123456789012345678901", "0.1000", "-0", "-0.0e7", "1e21", "1e20", "999999999999999999999", "1e-6", "1e-7",
+    "123.456e-2", "0.00000123", "1.5E+3", "01", "1.", ".5", "+1", "-", "1e", "--1", "1 2", "1,2", "1],[2", "{}", "[]", "[ ]", " { } ", "null", "true", "tru", "", " ", '""', '"', '"a', "[1", "{1:2}", '{"a"}',
+    '{"b":1e2,"a":{"d":[1.0,{"z":null,"y":false}],"c":"1e2"}}', '{"k":1,"k":2}', '{"n":"n1","s":"s1","":""}', '["\\"1\\" 2","\\\\"]', '{"é":"ü 😀","\\u0041":"\\/"}', '{"a":1}x', '{"a":1}}', '[1e2,100,100.0]',
+    '"line\nfeed"', "NaN", "Infinity", '{"a":-}', '[1,]', "1234567890123456", "-98765432109876543210.5", "0e99999",
+]
+
+
+def canonical(spark, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    found = rows.select("i", canonical_json.serialised(canonical_json.parsed(F.col("t"))).alias("j")).collect()
+    return [r.j for r in sorted(found, key=lambda r: r.i)]
+
+
+def test_probes_equal_a_plain_canonicaliser(spark):
+    for text, got in zip(PROBES, canonical(spark, PROBES), strict=True):
+        assert got == plain(text), text
+    assert canonical(spark, [None]) == [None]
+
+
+def test_random_numbers_and_documents(spark):
+    rng = np.random.default_rng(3)
+    numbers = []
+    for _ in range(400):
+        whole = "".join(map(str, rng.integers(0, 10, rng.integers(1, 30)))).lstrip("0") or "0"
+        text = "-" * int(rng.integers(2)) + whole
+        text += "." + "".join(map(str, rng.integers(0, 10, rng.integers(1, 12)))) if rng.random() < 0.5 else ""
+        text += f"{'eE'[rng.integers(2)]}{['', '+', '-'][rng.integers(3)]}{rng.integers(0, 40)}" if rng.random() < 0.5 else ""
+        numbers.append(text)
+    documents = ["{" + ", ".join(f'"k{rng.integers(99)}x{i}" :  [{n}, "{n}", {{"v": {n}}}]' for i, n in enumerate(numbers[k : k + 4])) + "}" for k in range(0, 400, 4)]
+    texts = numbers + documents + ['{"long": "' + 'a\\"1' * 50_000 + '"}', "[" * 300 + "1.0" + "]" * 300]
+    for text, got in zip(texts, canonical(spark, texts), strict=True):
+        assert got == plain(text), text[:80]
+    assert canonical(spark, ["1e99999999999999999999"]) == ["1e99999999999999999999"]
+
+
+PARAMETERS = [
+    ("f", "n", "number", True, None, None, 0.0, 10.0),
+    ("f", "i", "integer", False, None, None, None, None),
+    ("f", "unit", "string", False, None, ['"km"', '"m"'], None, None),
+    ("f", "level", "integer", False, None, ["1e0", "2"], None, None),
+    ("f", "box", "object", False, None, None, None, None),
+    ("f", "box", "number", True, ["size", "x"], None, -1.0, None),
+    ("f", "box", "array", False, ["tags"], None, None, None),
+]
+
+CASES = [
+    ('{"n": 1e1}', []), ('{"n": 10.5}', ["range of n"]), ('{"n": "5"}', ["type of n"]), ("{}", ["missing n"]), ('{"n": null}', ["type of n"]),
+    ('{"n": 1, "i": 1.0}', []), ('{"n": 1, "i": 1.5}', ["type of i"]), ('{"n": 1, "i": 1E400}', []), ('{"n": 1, "i": 12345678901234567890123456789012345678901}', []),
+    ('{"n": 1, "i": 1.25e1}', ["type of i"]), ('{"n": 1, "i": 1.25e40}', []), ('{"n": 1E400}', ["range of n"]), ('{"n": -1e-9}', ["range of n"]),
+    ('{"n": 1, "unit": "km"}', []), ('{"n": 1, "unit": "cm"}', ["value of unit"]), ('{"n": 1, "unit": 5}', ["type of unit", "value of unit"]),
+    ('{"n": 1, "level": 1.0}', []), ('{"n": 1, "level": 3}', ["value of level"]),
+    ('{"n": 1, "box": {}}', []), ('{"n": 1, "box": {"size": {}}}', ["missing box.size.x"]), ('{"n": 1, "box": {"size": {"x": -2}}}', ["range of box.size.x"]),
+    ('{"n": 1, "box": {"size": {"x": "a"}, "tags": {}}}', ["type of box.size.x", "type of box.tags"]), ('{"n": 1, "box": 5}', ["type of box"]),
+    ('{"n": 1, "s": 2, "z": [], "box": {"other": 1}}', ["unknown s", "unknown z"]), ("[1]", ["arguments are no object"]), ("{", ["arguments are no object"]), (None, ["arguments are no object"]),
+]
+
+
+def test_nested_parameters_values_and_ranges(spark):
+    calls = spark.createDataFrame([(1, f"c{i:02}", i, "f", a, None) for i, (a, _) in enumerate(CASES)], "conv_id long, call_id string, turn long, name string, arguments string, after string")
+    results = spark.createDataFrame([], "conv_id long, call_id string, turn long, content string")
+    kinds = "name string, parameter string, type string, required boolean, path array<string>, enum array<string>, minimum double, maximum double"
+    found = {r.call_id: r for r in tool_calls.linked(calls, results, spark.createDataFrame(PARAMETERS, kinds)).collect()}
+    for i, (arguments, errors) in enumerate(CASES):
+        row = found[f"c{i:02}"]
+        assert list(row.errors) == errors, arguments
+        assert row.status == ("invalid" if errors else "unanswered")
+        expected = plain(arguments) if arguments else None
+        assert f'"arguments":{expected or json.dumps(arguments)},' in row.json
+
+
+@pytest.mark.parametrize(("text", "kind"), [("1", "integer"), ("1.0", "integer"), ("1.5", "number"), ('"n1"', "string"), ('"1"', "string"), ("null", "null"), ("[1]", "array"), ("{}", "object"), ("true", "boolean")])
+def test_kinds(spark, text, kind):
+    row = spark.range(1).select(canonical_json.kind_of(canonical_json.parsed(F.lit(text))).alias("k")).first()
+    assert row.k == kind
