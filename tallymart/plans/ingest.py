@@ -24,7 +24,7 @@ from tallymart.operators.projections import customer_mart, sales_mart
 from tallymart.operators.ranking import incentives
 from tallymart.plans import ledger, marts, runs
 from tallymart.schemas import CUSTOMER_MART, MANDATORY_COLUMNS, SALES, SALES_MART
-from tallymart.sinks.files import exists, has_match, move_files, run_path, write_packed, write_parquet, write_record, write_run
+from tallymart.sinks.files import delete_folder, exists, has_match, move_files, run_path, write_packed, write_parquet, write_record, write_run
 from tallymart.sinks.jdbc import JdbcWriter
 from tallymart.sources.csv_files import (
     NO_HEADER,
@@ -33,9 +33,10 @@ from tallymart.sources.csv_files import (
     check_headers,
     empty_files,
     has_bad_cells,
-    probe_headers,
     read_sales,
     rejected,
+    stage_lines,
+    staged_headers,
     with_file_type,
 )
 
@@ -98,6 +99,7 @@ class Layout:
         self.customer_deltas = f"{self.root}/customer_deltas"
         self.seller_deltas = f"{self.root}/seller_deltas"
         self.months = f"{self.root}/months"
+        self.staged = f"{self.root}/staged"
         self.manifest = f"{self.root}/manifest"
         self.quarantine = f"{self.root}/quarantine"
         self.empty_files = f"{self.root}/empty_files"
@@ -123,14 +125,22 @@ def set_empty_files_aside(spark: SparkSession, landing: str, layout: Layout) ->
     return not spark.read.schema(empty.schema).parquet(layout.empty_files).isEmpty()
 
 
+STAGED = T.StructType(
+    [T.StructField("uri", _TEXT), T.StructField("block_start", _KEY), T.StructField("place", _KEY), T.StructField("value", _TEXT)]
+)
+
+
+def staged(spark: SparkSession, layout: Layout, run_id: int) -> DataFrame:
+    """The lines of a run's CSV files as written down."""
+    return runs.read_runs(spark, layout.staged, STAGED, [run_id]).drop("run_id")
+
+
 def check_files(spark: SparkSession, listing: DataFrame, layout: Layout, run_id: int) -> DataFrame:
-    """Probe the files of a run, set the bad ones aside, and return the written manifest."""
+    """Stage the lines of a run's files, set the bad files aside, and return the written manifest."""
     csv_paths = [f["path"] for f in with_file_type(listing).where("is_csv").select("path").toLocalIterator()]
-    headers = (
-        probe_headers(spark, csv_paths)
-        if csv_paths
-        else spark.createDataFrame([], "uri string, header string")
-    )
+    if csv_paths:
+        write_run(stage_lines(spark, csv_paths), layout.staged, run_id)
+    headers = staged_headers(staged(spark, layout, run_id))
     manifest = spark.read.parquet(write_run(check_headers(listing, headers), layout.manifest, run_id))
     write_run(rejected(manifest), layout.quarantine, run_id, ["reason"])
     return manifest
@@ -144,11 +154,15 @@ def line_metrics() -> list[Column]:
 
 
 def load_sales(spark: SparkSession, manifest: DataFrame, layout: Layout, run_id: int) -> tuple[DataFrame, dict[str, int]]:
-    """Parse the accepted files once into the run's sales table; returns the rows that parsed, and counts of the same pass."""
+    """Parse the staged lines of the accepted files into the run's sales table; returns the rows that parsed, and counts of the same pass.
+
+    The stage has served then and is deleted.
+    """
     verdict = F.when(has_bad_cells(), REJECTED).otherwise(ACCEPTED)
-    typed = read_sales(spark, manifest).withColumn("verdict", verdict)
+    typed = read_sales(spark, manifest, staged(spark, layout, run_id)).withColumn("verdict", verdict)
     counted = Observation(f"lines of run {run_id}")
     target = write_run(typed.observe(counted, *line_metrics()), layout.sales, run_id, ["verdict"])
+    delete_folder(spark, run_path(layout.staged, run_id))
     return spark.read.schema(typed.schema).parquet(target).where(F.col("verdict") == ACCEPTED), counted.get
 
 

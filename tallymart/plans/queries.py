@@ -297,16 +297,18 @@ def show_sales(sales: DataFrame) -> DataFrame:
     return as_doubles(sales.withColumn("sales_date", F.col("sales_date").cast("string")))
 
 
-def written_manifest(spark: SparkSession, landing: str) -> DataFrame:
-    """The verdict on every file of a landing folder, kept as a table so that headers are probed once."""
+def written_manifest(spark: SparkSession, landing: str) -> tuple[DataFrame, DataFrame]:
+    """The verdict on every file of a landing folder, and the lines of its CSV files, which are read once and written down."""
     listing = csv_files.require_files(csv_files.list_files(spark, landing), "files")
     path = scratch_dir(spark, "manifest")
-    write_parquet(csv_files.check_headers(listing, csv_files.probe_headers(spark, landing)), path)
-    return read_parquet(spark, path)
+    write_parquet(csv_files.stage_lines(spark, landing), f"{path}/lines")
+    lines = read_parquet(spark, f"{path}/lines")
+    write_parquet(csv_files.check_headers(listing, csv_files.staged_headers(lines)), f"{path}/files")
+    return read_parquet(spark, f"{path}/files"), lines
 
 
 def load_landing(spark: SparkSession, landing: str) -> DataFrame:
-    return csv_files.read_sales(spark, written_manifest(spark, landing))
+    return csv_files.read_sales(spark, *written_manifest(spark, landing))
 
 
 def normalise_extra_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -364,7 +366,7 @@ def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = write_layouts(spark, sf_dir, landing)
     write_csv(lines.select("customer_id", "sales_date", "quantity"), f"{landing}/short")
     star.products(spark, sf_dir).select("name").write.text(f"{landing}/notes")
-    manifest = written_manifest(spark, landing)
+    manifest, _ = written_manifest(spark, landing)
     per_file = (
         spark.read.option("recursiveFileLookup", "true")
         .text(landing)

@@ -1,7 +1,9 @@
 """Sales CSV files: listing, header check, and one typed scan per header layout.
 
-Files are probed and loaded by Spark tasks, never one job per file: the header pass is one
-text scan of the new files, and the load is one CSV scan for each distinct header line.
+Files are probed and loaded by Spark tasks, never one job per file. ``stage_lines`` reads the new files once, as lines with
+their file and place; written down, they give the headers and then the rows, so header and rows come from the same version
+of a file, and a slow or distant landing folder is read once. Without staging, ``probe_headers`` is one text scan and
+``read_sales`` one CSV scan for each distinct header line. Either way a record is a line.
 """
 
 from __future__ import annotations
@@ -110,6 +112,33 @@ def probe_headers(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return lines.groupBy("uri").agg(F.min_by("value", "line_no").alias("header"))
 
 
+def stage_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Every line of the CSV files, with its file, the block it was read in, and its place among the lines of that block.
+
+    To be written once and read from there. Blank lines are left out, as a CSV scan leaves them out.
+    """
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv")
+        .option("recursiveFileLookup", "true")
+        .text(paths if isinstance(paths, str) else [literal(p) for p in paths])
+    )
+    return lines.select(
+        F.col("_metadata.file_path").alias("uri"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("place"),
+        "value",
+    ).where(F.length(F.trim("value")) > 0)
+
+
+def staged_headers(lines: DataFrame) -> DataFrame:
+    """The header line of each file and its place, from staged lines: the first one of the first block.
+
+    The places are compared as numbers; only the lines found are looked up by their text.
+    """
+    first = lines.where("block_start = 0").groupBy("uri").agg(F.min("place").alias("place"))
+    return first.join(lines.where("block_start = 0"), ["uri", "place"]).select("uri", F.col("value").alias("header"), F.col("place").alias("header_place"))
+
+
 def header_columns(header: Column | str) -> Column:
     """Column names of a header line; names in double quotes may contain commas."""
     clean = F.regexp_replace(header, r"^\uFEFF", "")
@@ -118,7 +147,10 @@ def header_columns(header: Column | str) -> Column:
 
 
 def check_headers(listing: DataFrame, headers: DataFrame) -> DataFrame:
-    """One row per listed file: its columns, what is missing, what is extra, and a reason if rejected."""
+    """One row per listed file: its columns, what is missing, what is extra, and a reason if rejected.
+
+    ``headers`` comes from ``probe_headers`` or ``staged_headers``.
+    """
     mandatory = F.array(*[F.lit(c) for c in MANDATORY_COLUMNS])
     columns = F.when(F.col("header").isNotNull(), header_columns("header"))
     checked = (
@@ -139,8 +171,9 @@ def check_headers(listing: DataFrame, headers: DataFrame) -> DataFrame:
         .when(F.size("missing") > 0, MISSING_COLUMNS)
         .when(F.col("repeated"), REPEATED_COLUMNS)
     )
+    places = ["header_place"] if "header_place" in headers.columns else []
     return checked.select(
-        "path", "uri", "file_name", "length", "modified", "header", "columns", "missing", "extra", reason.alias("reason")
+        "path", "uri", "file_name", "length", "modified", "header", *places, "columns", "missing", "extra", reason.alias("reason")
     )
 
 
@@ -180,34 +213,51 @@ def typed_sales(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     )
 
 
+CSV_OPTIONS = {"escape": '"', "columnNameOfCorruptRecord": RAGGED}
+
+
+def layout_schema(columns: Sequence[str]) -> T.StructType:
+    """Text columns named by position, and one for a line with another number of cells."""
+    return T.StructType([T.StructField(n, T.StringType()) for n in [*[f"_c{i}" for i in range(len(columns))], RAGGED]])
+
+
 def read_layout(spark: SparkSession, paths: Sequence[str], columns: Sequence[str], header: bool = True) -> DataFrame:
     """Files that share one header line, as text columns named by their position in it.
 
     Two more columns hold the text of a line with another number of cells, and the file.
     """
-    names = [f"_c{i}" for i in range(len(columns))] + [RAGGED]
     reader = (
-        spark.read.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        spark.read.schema(layout_schema(columns))
         .option("header", header)
-        .option("escape", '"')
-        .option("columnNameOfCorruptRecord", RAGGED)
+        .options(**CSV_OPTIONS)
         .option("columnPruning", "false")  # else cells are only counted as far as they are used
     )
     return reader.csv(list(map(literal, paths))).withColumn(SOURCE_FILE, F.col("_metadata.file_path"))
 
 
-def read_sales(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def parse_layout(lines: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The same from staged lines of files that share one header line."""
+    cells = F.from_csv("value", F.lit(layout_schema(columns).toDDL()), {**CSV_OPTIONS, "mode": "PERMISSIVE"})
+    return lines.select(cells.alias("cells"), F.col("uri").alias(SOURCE_FILE)).select("cells.*", SOURCE_FILE)
+
+
+def read_sales(spark: SparkSession, manifest: DataFrame, lines: DataFrame | None = None) -> DataFrame:
     """All accepted files as one typed frame with ``bad_cells`` and ``raw_line``.
 
     The manifest is read once per layout, so it should be a written table.
-    The union has one branch per distinct header line, whatever the number of files. The
+    The union has one branch per distinct header line, whatever the number of files. With staged ``lines``, rows come from them
+    and the landing folder is not read again; the files of a layout are joined to them by their uri. Else the
     driver holds the file paths, as it does for any file scan, and nothing of their content.
     """
     good = accepted(manifest)
     frames = []
     for layout in good.select("header", "columns").distinct().orderBy("header").collect():
-        files = good.where(F.col("header") == layout["header"]).select("path").toLocalIterator()
-        raw = read_layout(spark, [f["path"] for f in files], layout["columns"])
+        files = good.where(F.col("header") == layout["header"])
+        if lines is not None:
+            own = lines.join(files.select("uri", "header_place"), "uri").where("place <> header_place")
+            raw = parse_layout(own, layout["columns"])
+        else:
+            raw = read_layout(spark, [f["path"] for f in files.select("path").toLocalIterator()], layout["columns"])
         frames.append(typed_sales(raw, layout["columns"]))
     if not frames:
         return (

@@ -225,3 +225,54 @@ def test_ragged_rows_and_lossy_cells_are_rejected_whole(spark, tmp_path):
         [(lines[0], ["row"]), (lines[1], ["row"]), (lines[2], ["row"]), (lines[3], ["sales_date", "total_cost"])], key=repr
     )
     assert rows_of(cf.good_rows(sales), "total_cost") == [(Decimal("100.00"),), (Decimal("12.34"),)]
+
+
+ODD_FILES = {
+    "plain.csv": "customer_id,store_id,product_name,sales_date,sales_person_id,price,quantity,total_cost\n1,2,x,2023-01-01,3,4,5,6.00\n",
+    "bom.csv": "﻿customer_id,store_id,product_name,sales_date,sales_person_id,price,quantity,total_cost\r\n1,2,x,2023-01-01,3,4,5,6.00\r\n\r\n",
+    "quoted.csv": '\n \n"store_id","customer_id",product_name,sales_date,sales_person_id,price,quantity,total_cost,"a, ""b"""\n2,1,"x, ""y""",2023-01-01,3,4,5,6,"e,1"\n2,1,,,,,,,\n',
+    "ragged.csv": "customer_id,store_id,product_name,sales_date,sales_person_id,price,quantity,total_cost\n1,2\n\n1,2,x,2023-01-01,3,4,5,6,7\n1,2,x,2023-01-01,3,4,5,six",
+    "head only.csv": "customer_id,store_id,product_name,sales_date,sales_person_id,price,quantity,total_cost",
+    "twice.csv": "customer_id,store_id,product_name,sales_date,sales_person_id,price,quantity,total_cost\ncustomer_id,store_id,product_name,sales_date,sales_person_id,price,quantity,total_cost\n",
+    "short.csv": "customer_id\n1\n",
+    "sub/a+b%20[x].csv": "total_cost,quantity,price,sales_person_id,sales_date,product_name,store_id,customer_id\n6,5,4,3,2023-01-01,x y,2,1\n" * 1,
+}
+
+
+def test_staged_lines_give_the_same_headers_and_rows(spark, tmp_path):
+    for name, text in ODD_FILES.items():
+        path = tmp_path / "landing" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(text.encode())
+    landing = str(tmp_path / "landing")
+    cf.stage_lines(spark, landing).write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    listing = cf.list_files(spark, landing)
+    held = {}
+    for name, headers in (("probed", cf.probe_headers(spark, landing)), ("staged", cf.staged_headers(lines))):
+        cf.check_headers(listing, headers).write.parquet(str(tmp_path / name))
+        held[name] = spark.read.parquet(str(tmp_path / name))
+    columns = ["uri", "header", "columns", "missing", "extra", "reason"]
+    assert rows_of(held["staged"], *columns) == rows_of(held["probed"], *columns)
+    from_files, from_lines = cf.read_sales(spark, held["probed"]), cf.read_sales(spark, held["staged"], lines)
+    assert rows_of(from_lines, *sorted(from_lines.columns)) == rows_of(from_files, *sorted(from_files.columns))
+    assert from_lines.count() == 9 and cf.bad_rows(from_lines).count() == 4
+    plan = from_lines._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan parquet" in plan and "FileScan csv" not in plan and "FileScan text" not in plan
+
+
+def test_a_file_of_many_blocks_has_one_header(spark, tmp_path):
+    header = "customer_id,store_id,product_name,sales_date,sales_person_id,price,quantity,total_cost\n"
+    (tmp_path / "landing").mkdir()
+    (tmp_path / "landing" / "large.csv").write_text(header + "".join(f"{i},2,x,2023-01-01,3,4,5,6.00\n" for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        cf.stage_lines(spark, str(tmp_path / "landing")).write.parquet(str(tmp_path / "lines"))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    assert lines.select("block_start").distinct().count() > 5
+    cf.check_headers(cf.list_files(spark, str(tmp_path / "landing")), cf.staged_headers(lines)).write.parquet(str(tmp_path / "files"))
+    rows = cf.good_rows(cf.read_sales(spark, spark.read.parquet(str(tmp_path / "files")), lines))
+    assert sorted(r.customer_id for r in rows.collect()) == list(range(5000))
