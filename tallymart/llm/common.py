@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymart.session import scratch_dir
+from tallymart.sinks.files import delete_folder
 
 # The six bytes that separate words: space and \x09-\x0D.
 _BLANK = np.zeros(256, bool)
@@ -33,19 +34,24 @@ SLICE_BYTES = 2 << 20
 _shipped: set[str] = set()
 
 
-def on_executors(function: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Sends this package to the executors, once for each application, before ``function(spark, ...)`` runs."""
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parents[1]
+        folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the archive from here until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
+        _shipped.add(context.applicationId)
+
+
+def on_executors(function: Callable) -> Callable:
+    """Ships the package before ``function`` runs, whose first argument is a session or a frame."""
 
     @functools.wraps(function)
-    def run(spark: SparkSession, *args) -> DataFrame:
-        context = spark.sparkContext
-        if context.applicationId not in _shipped:
-            package = Path(__file__).resolve().parents[1]
-            folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the archive from here until it ends
-            atexit.register(shutil.rmtree, folder, ignore_errors=True)
-            context.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name))
-            _shipped.add(context.applicationId)
-        return function(spark, *args)
+    def run(first: SparkSession | DataFrame, *args, **kwargs):
+        ship(first.sparkSession if isinstance(first, DataFrame) else first)
+        return function(first, *args, **kwargs)
 
     return run
 
@@ -55,7 +61,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_dir(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stage = spark.read.schema(df.schema).parquet(path)
+    stage.stage_path = path
+    return stage
+
+
+def dropped(stage: DataFrame) -> None:
+    """Deletes what ``written`` wrote for ``stage``, once everything that reads it has been written itself. Other frames are left alone."""
+    path = getattr(stage, "stage_path", None)
+    if path:
+        delete_folder(stage.sparkSession, path)
 
 
 def _give_back() -> None:

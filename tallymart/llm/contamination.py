@@ -186,6 +186,7 @@ def automata(benchmark: DataFrame, words_each: int = WORDS_PER_AUTOMATON) -> Ite
         yield SuffixAutomaton([(r["name"], item_words(r["text"])) for r in sorted(own, key=lambda r: (r["name"], r["text"] or b""))])
 
 
+@common.on_executors
 def scanned(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(row, text, n_words, spans, items) for every row of ``docs``; ``row`` is the whole row as a struct."""
     spark = docs.sparkSession

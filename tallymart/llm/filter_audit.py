@@ -117,6 +117,7 @@ def _audited(cells: pa.Table) -> pa.Table:
     )
 
 
+@common.on_executors
 def cells(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """part, code (bits of A to D), and counts of rows that pass E (n, good, toxic) and that fail it (n_copies, ...)."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("lang", F.lit("")).alias("part"), F.col("text").cast("binary").alias("text"))

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallymart.llm.common import written
+from tallymart.llm.common import dropped, on_executors, written
 
 #: Edge lists up to this length (16 MB) go to one task; longer ones take rounds of joins.
 EDGES_AT_ONCE = 1 << 20
@@ -51,6 +51,7 @@ def _by_least(edges: DataFrame, larger_only: bool) -> DataFrame:
     return hops.where("u <> v").distinct()
 
 
+@on_executors
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (u, v); a component is named by its least node.
 
@@ -59,10 +60,13 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = written(edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     if now.count() <= EDGES_AT_ONCE:
-        return written(now.repartition(1).mapInArrow(_joined, "node long, component long"), "components")
+        found = written(now.repartition(1).mapInArrow(_joined, "node long, component long"), "components")
+        dropped(now)
+        return found
     mark = None
     while True:
-        now = written(_by_least(_by_least(now, True), False), "edges")
+        before, now = now, written(_by_least(_by_least(now, True), False), "edges")
+        dropped(before)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if seen == mark:
             least = now.select("v", F.col("v").alias("component")).distinct()

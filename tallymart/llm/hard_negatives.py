@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallymart.llm import common
+
 BLOCK_CELLS = 1 << 18  # components of a block
 SCORES_AT_ONCE = 1 << 21
 EXACT_BITS = 53  # of a double
@@ -237,6 +239,7 @@ def usable(width: int) -> Column:
     return F.coalesce((F.size("vector") == width) & finite, F.lit(False))
 
 
+@common.on_executors
 def mined(
     rows: DataFrame, anchors: Column, positives: int = 5, negatives: int = 5, low: int = 80, high: int = 100, scale: float = 256.0
 ) -> DataFrame:
@@ -261,17 +264,17 @@ def mined(
     chosen = base.where("asked").select("id", "label", "vector").distinct().select("id", "label", "vector", place)
     asking = chosen.groupBy("q").applyInArrow(_anchor_block(scale), f"q int, {_BLOCK}")
     asking = asking.select("q", *[F.col(c).alias(f"a_{c}") for c in _COLUMNS])
-    held = base.select("id", "label", "vector").mapInArrow(_packed(scale, per_block), _BLOCK)
+    held = base.select("id", "label", "vector").mapInArrow(common.tidy(_packed(scale, per_block)), _BLOCK)
     held = held.select("*", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("q"))
     dealt = lambda b: b.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
 
-    near = held.join(dealt(asking), ["q", "g"]).mapInArrow(_positives(positives), _PASS1)
+    near = held.join(dealt(asking), ["q", "g"]).mapInArrow(common.tidy(_positives(positives)), _PASS1)
     order = Window.partitionBy("q", "i").orderBy(F.desc("positive_score"), "positive_id")
     near = near.withColumn("j", F.row_number().over(order)).where(F.col("j") <= positives)
     bounds = [f"p_{n}" for n in ("i", "j", "positive_id", "positive_score", "least", "most")]
     schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in asking.schema.fields), *(f"{b} binary" for b in bounds)])
     bounded = asking.groupBy("q").cogroup(near.groupBy("q")).applyInArrow(_with_bounds(low, high), schema)
-    found = held.join(dealt(bounded), ["q", "g"]).mapInArrow(_negatives(negatives), _PASS2)
+    found = held.join(dealt(bounded), ["q", "g"]).mapInArrow(common.tidy(_negatives(negatives)), _PASS2)
     order = Window.partitionBy("q", "i", "j").orderBy(F.desc("negative_score"), "negative_id")
     ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= negatives)
     return ranked.select("anchor_id", "positive_id", F.col("rank").cast("int").alias("rank"), "negative_id", "positive_score", "negative_score")

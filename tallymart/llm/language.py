@@ -132,6 +132,7 @@ def train(texts: pa.Array, labels: list[str], idf: np.ndarray, seed: int = 3) ->
     return Model(languages, w * idf[:, None], float(temperature))
 
 
+@common.on_executors
 def fit(docs: DataFrame) -> Model:
     """A model from the rows (doc_id, text, lang) whose crc32(doc_id) modulo 5 is not 0 and whose lang is known."""
     known = docs.where("text is not null and lang is not null and doc_id is not null").where(fold(F.col("doc_id"), 5) != 0)
@@ -166,6 +167,7 @@ def _predicted(model: Model):
     return rows
 
 
+@common.on_executors
 def languages(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every row. Without any language learnt all rows are ``und``."""
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) & F.lit(bool(model.languages))

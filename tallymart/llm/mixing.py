@@ -15,11 +15,9 @@ Rates become copies by passing the rounding error on from document to document,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -62,7 +60,7 @@ def duals(histogram: DataFrame, sources: DataFrame) -> DataFrame:
     state = sources.select("sid", "mean", "share", F.lit(0.0).alias("b"), none.alias("lo"), none.alias("hi"))
     x = F.col("size") / F.col("mean")
     rate = MOST / (1 + F.exp(-F.col("b") * x))
-    b, g = F.col("b"), F.col("gradient")
+    b, g, last = F.col("b"), F.col("gradient"), state
     for _ in range(STEPS):
         sums = (
             histogram.join(state, "sid")
@@ -83,7 +81,8 @@ def duals(histogram: DataFrame, sources: DataFrame) -> DataFrame:
         step = common.written(
             sums.select("sid", "mean", "share", moved.alias("b"), lo.alias("lo"), hi.alias("hi"), miss.alias("miss")), "duals"
         )
-        state = step.drop("miss")
+        common.dropped(last)
+        state, last = step.drop("miss"), step
         if (step.agg(F.max("miss")).first()[0] or 0.0) < PRECISION:
             return state.select("sid", "b")
     raise RuntimeError(f"the mix has not converged in {STEPS} steps")
@@ -101,6 +100,7 @@ def _copies(group: pa.Table) -> pa.Table:
     return group.append_column("copies", pa.array(copies))
 
 
+@common.on_executors
 def mixed(docs: DataFrame, size: Column, source: str = "source") -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), size, source_size, target and copies for every row.
 
@@ -138,13 +138,23 @@ def mixed(docs: DataFrame, size: Column, source: str = "source") -> DataFrame:
     return rated.groupBy("sid", "part").applyInArrow(_copies, kinds).select("row", "size", "source_size", "target", "copies")
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        times = batch.column(1).to_numpy()
-        yield batch.take(pa.array(np.repeat(np.arange(len(times)), times)))
-
-
+@common.on_executors
 def repeated(docs: DataFrame, source: str = "source") -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them, columns as they are."""
-    chosen = mixed(docs, n_words(F.col("text")), source).select("row", "copies").where("copies > 0")
-    return chosen.mapInArrow(common.tidy(_repeated), chosen.schema).select("row.*")
+    """The rows of ``docs`` as often as the mix takes them, columns as they are.
+
+    Only a hash of the row, its source and its size are mixed; whole rows meet the copies of their hash once and are repeated where they
+    are, so no text passes through Python. Rows that are equal in all columns share the copies that fall to them.
+    """
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    mark = F.xxhash64(F.lit(5), *names)
+    slim = docs.select(mark.alias("mark"), F.col(source).alias("source"), n_words(F.col("text")).alias("words"))
+    taken = mixed(slim, F.col("words")).select("row.mark", "copies").groupBy("mark").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    taken = common.written(taken.where("copies > 0"), "copies")
+    whole = docs.select(F.struct(*names).alias("row"), mark.alias("mark")).join(taken, "mark")
+    even = whole.where("copies % rows = 0").withColumn("times", F.expr("copies div rows"))
+    # Equal rows whose copies don't divide: the first ones get one more.
+    place = F.row_number().over(Window.partitionBy("mark").orderBy("mark"))
+    odd = whole.where("copies % rows <> 0").withColumn("place", place).withColumn("times", F.expr("copies div rows") + F.expr("int(place <= copies % rows)"))
+    both = even if taken.where("copies % rows <> 0").isEmpty() else even.select("row", "times").union(odd.select("row", "times"))
+    numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))
+    return both.where("times > 0").select("row", numbers).select("row.*")

@@ -263,7 +263,10 @@ def _verified(pairs: DataFrame, reps: DataFrame, classes: DataFrame, docs: DataF
     nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     sets = common.written(_sets_of_classes(docs, nodes, classes), "sets")
     whole = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    return common.written(whole.mapInArrow(common.tidy(_confirmed(limit)), "a long, b long").distinct(), "links")
+    found = common.written(whole.mapInArrow(common.tidy(_confirmed(limit)), "a long, b long").distinct(), "links")
+    common.dropped(near)
+    common.dropped(sets)
+    return found
 
 
 def _rest(limit: float):
@@ -330,6 +333,7 @@ def _rest(limit: float):
     return cell
 
 
+@common.on_executors
 def links(docs: DataFrame, limit: float = 0.8) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Sketches of all rows, the classes (sig1, sig2, n_shingles, rep, node), and verified links (a, b) that connect the nodes.
 
@@ -386,6 +390,8 @@ def links(docs: DataFrame, limit: float = 0.8) -> tuple[DataFrame, DataFrame, Da
         .withColumnRenamed("node", "rep")
     )
     second = common.written(cells.groupBy("group", "left", "right").applyInArrow(_rest(limit), "a long, b long"), "more-links")
+    for stage in (grouped, reps, shared, left, member):
+        common.dropped(stage)
     return sketches, classes, first.union(second).distinct()
 
 
@@ -430,6 +436,7 @@ def near_duplicates(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+@common.on_executors
 def deduplicated(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     """Rows of ``docs`` that are kept: of each group of near copies those of the least id. Columns stay as they are.
 

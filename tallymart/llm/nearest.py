@@ -158,6 +158,7 @@ def _cell(k: int):
     return of
 
 
+@common.on_executors
 def nearest(rows: DataFrame, queries: Column, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest inner products for every row of (vec_id, embedding) where ``queries``.
 

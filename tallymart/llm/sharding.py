@@ -109,6 +109,7 @@ def _placed(shared):
     return rows
 
 
+@common.on_executors
 def sharded(docs: DataFrame, shards: int = 40, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """``row`` (a struct of all columns of ``docs``), size, shard and slot, the row's place in its shard from 0.
 

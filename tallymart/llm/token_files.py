@@ -214,6 +214,7 @@ def _blocks(shared, end_id: int, block_tokens: int):
     return rows
 
 
+@common.on_executors
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
     """Writes token files of all rows of ``docs`` (doc_id, text, other columns) in ascending order of doc_id below ``path``.
 
@@ -252,6 +253,7 @@ def _with_place(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+@common.on_executors
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document, decoded from the files."""
     return _with_place(spark, path).select("start", "payload").mapInArrow(
@@ -274,6 +276,7 @@ def _ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
+@common.on_executors
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
     """doc_id, start and ids of the documents, of all or of some."""
     found = _with_place(spark, path).select("start", "payload").mapInArrow(_ids, "doc_id long, start long, ids array<int>")

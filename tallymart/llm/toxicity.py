@@ -6,7 +6,7 @@ it. A document's score is that of its worst window, so a long text doesn't thin
 document is represented by its worst window under the model so far, a clean one by its worst and by others drawn anew
 in each pass.
 
-The classifier is fitted on a bounded sample: about ``SAMPLE_BYTES`` of text for each label, in one task, so that the
+The classifier is fitted on a bounded sample: about ``SAMPLE_BYTES`` of text and at most some ``SAMPLE_ROWS`` rows for each label, in one task, so that the
 driver only holds what a score needs, a number for each bucket. Scores come from whole texts. A text that is null, empty or without words scores ``EMPTY_SCORE``.
 """
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tallymart.llm import common
 from tallymart.llm.subwords import fold, ngram_buckets, word_totals
 
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES, SAMPLE_ROWS = 16 << 20, 500_000
 WINDOW = 4
 LEAST, MOST = 3, 6
 BUCKETS, DIMENSIONS = 1 << 20, 8
@@ -159,6 +159,7 @@ def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SAMPLE = pa.schema([("doc_id", pa.int64()), ("text", pa.binary()), ("label", pa.int32())])
 
 
+@common.on_executors
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """What scores need, learnt from the labelled rows (doc_id, toxic) whose crc32(doc_id) modulo 3 is not 1."""
     known = labels.where("toxic is not null and doc_id is not null").where(fold(F.col("doc_id"), 3) != 1)
@@ -166,15 +167,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     # Labelled ids are chosen by number and the average size of a text, so that texts are never shuffled to the labels.
     count, held = rows.agg(F.count(F.lit(1)), F.sum(F.length("text") + 1)).first()
-    most = SAMPLE_BYTES * (count or 0) / (held or 1)
+    most = min(SAMPLE_ROWS, SAMPLE_BYTES * (count or 0) / (held or 1))
     place = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     share = F.lit(0.0)
     for row in known.groupBy("label").count().collect():
         share = F.when(F.col("label") == row["label"], F.lit(min(1.0, most / row["count"]))).otherwise(share)
-    # At most SAMPLE_BYTES ids of each label, as a text counts one byte at least; far fewer with texts of usual size.
+    # Some SAMPLE_ROWS ids of each label at most are broadcast.
     sample = rows.join(F.broadcast(known.where(place < share)), "doc_id").select("doc_id", "text", "label")
     sample = common.written(sample, "sample")
     row = sample.repartition(1).mapInArrow(common.tidy(_trained), "margins binary, bias double").first()
+    common.dropped(sample)
     return Scorer(np.frombuffer(row["margins"], np.float32)[:, None], row["bias"])
 
 
@@ -194,6 +196,7 @@ def _scored(model: Scorer, keep_below: float | None, text_at: int):
     return rows
 
 
+@common.on_executors
 def toxicity(docs: DataFrame, model: Scorer, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs`` (doc_id, text, other columns). A null id isn't held out."""
     pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -202,6 +205,7 @@ def toxicity(docs: DataFrame, model: Scorer, threshold: float = 0.7) -> DataFram
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
+@common.on_executors
 def without_toxic(docs: DataFrame, model: Scorer, threshold: float = 0.7) -> DataFrame:
     """The rows of ``docs`` that score less than ``threshold``, columns as they are."""
     return docs.mapInArrow(common.tidy(_scored(model, threshold, docs.columns.index("text"))), docs.schema)

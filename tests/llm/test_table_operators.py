@@ -198,6 +198,22 @@ def test_a_mix_that_does_not_converge_is_an_error(spark, monkeypatch):
         mixing.mixed(documents(spark, 60), mixing.n_words(F.col("text")))
 
 
+def test_equal_rows_share_their_copies(spark):
+    rows = [(1, "a b c", "s", "x")] * 7 + [(2, "a b c", "s", "x")] * 2 + [(i, "w " * i, "t", None) for i in range(40)] + [(None, None, None, None)] * 3
+    df = spark.createDataFrame(rows, DOCS)
+    copies = defaultdict(int)
+    for r in mixing.mixed(df, mixing.n_words(F.col("text"))).collect():
+        copies[tuple(r.row)[0], r.row.source] += r.copies
+    out = mixing.repeated(df)
+    assert out.schema == df.schema
+    times = defaultdict(int)
+    for r in out.collect():
+        times[r.doc_id, r.source] += 1
+    assert sum(times.values()) == pytest.approx(sum(copies.values()), abs=3) and set(times) <= {(r[0], r[2]) for r in rows}
+    assert 0 < times[1, "s"] <= 14 and times[None, None] == 0  # a source without words is not taken
+    assert mixing.repeated(df.where("false")).count() == 0
+
+
 def test_mix_of_many_sources_and_identical_rows(spark):
     rows = [(i, "w " * (1 + i % 50), f"source{i % 300}", "") for i in range(3000)] + [(-1, "a b c", "same", "x")] * 500
     found = mixing.mixed(spark.createDataFrame(rows, DOCS), mixing.n_words(F.col("text"))).collect()
