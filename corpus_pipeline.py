@@ -1,7 +1,7 @@
 """From raw documents to token files, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; ``run`` writes every stage's result
-to the shared folder and reads it again.
+to the shared folder and reads it again. A stage's result is deleted once the next one has been written.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallymart.llm import contamination, mixing, near_dedup, queries, token_files, toxicity
-from tallymart.llm.common import on_executors, written
+from tallymart.llm.common import dropped, on_executors, written
 from tallymart.session import scratch_dir
 
 
@@ -60,5 +60,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = queries.table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        dropped(before)
     return docs
