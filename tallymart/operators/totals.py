@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallymart.functions import full_name, month_of, month_start, sum_or_zero
 from tallymart.operators.joins import same_keys
+from tallymart.operators.sketches import exact_counts
 
 
 def month_totals(
@@ -69,9 +70,17 @@ def distinct_group_totals(df: DataFrame, keys: Sequence[str], value: str, total:
 
 
 def profile(df: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Row count and distinct values of each column in one job."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    return df.agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        *[distinct(F.col(f"`{c}`")).alias(f"distinct_{c}") for c in columns],
+    """Row count and distinct non-null values of each column, as one row.
+
+    Exact counts take one scan and one shuffle for each column, of that column alone; counting them all in one aggregation would
+    multiply every row by the number of columns.
+    """
+    if approximate:
+        counts = [F.approx_count_distinct(F.col(f"`{c}`")).alias(f"distinct_{c}") for c in columns]
+        return df.agg(F.count(F.lit(1)).alias("n_rows"), *counts)
+    rows = df.agg(F.lit(None).cast("string").alias("column_name"), F.count(F.lit(1)).alias("n"))
+    counted = exact_counts(df, columns).toDF("column_name", "n").unionByName(rows) if columns else rows
+    one = lambda what, name: F.max(F.when(what, F.col("n"))).alias(name)
+    return counted.agg(
+        one(F.col("column_name").isNull(), "n_rows"), *[one(F.col("column_name") == c, f"distinct_{c}") for c in columns]
     )
