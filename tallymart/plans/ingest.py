@@ -105,6 +105,7 @@ class Layout:
         self.empty_files = f"{self.root}/empty_files"
         self.ledger = f"{self.root}/ledger"
         self.sales = f"{self.root}/sales"
+        self.file_counts = f"{self.root}/file_counts"
         self.unmatched = f"{self.root}/unmatched"
         self.customer_mart = f"{self.root}/customer_mart"
         self.sales_mart = f"{self.root}/sales_mart"
@@ -166,6 +167,13 @@ def load_sales(spark: SparkSession, manifest: DataFrame, layout: Layout, run_id:
     return spark.read.schema(typed.schema).parquet(target).where(F.col("verdict") == ACCEPTED), counted.get
 
 
+def write_file_counts(spark: SparkSession, layout: Layout, run_id: int) -> None:
+    """The same counts for each file, from three narrow columns of the run's sales table."""
+    columns = T.StructType([FILE, T.StructField("bad_cells", T.ArrayType(_TEXT))])
+    lines = runs.read_runs(spark, layout.sales, columns, [run_id])
+    write_run(lines.groupBy(SOURCE_FILE).agg(*line_metrics()), layout.file_counts, run_id)
+
+
 def in_months(months: list[str | None], month: str = "sales_month") -> Column:
     """A filter on a few literals, so that it reaches the scan; null is a month of its own."""
     named = F.col(month).isin([m for m in months if m is not None])
@@ -511,7 +519,10 @@ def process_run(
     ledger.record(good, layout.ledger, run_id, ledger.OPEN)
     retired = record_versions(spark, good, layout, run_id)
     sales, metrics = load_sales(spark, manifest, layout, run_id)
-    write_marts(spark, sales, dimensions, layout, run_id, jdbc, by_store, retired)
+    runs.together(
+        lambda: write_marts(spark, sales, dimensions, layout, run_id, jdbc, by_store, retired),
+        lambda: write_file_counts(spark, layout, run_id),
+    )
     runs.complete(spark, layout.completed, run_id, metrics=metrics, **commit)
     settle_runs(spark, layout)
     return True

@@ -260,6 +260,14 @@ counted AS (
          count(*) FILTER (return_flag = 'R') AS bad_quantity
   FROM sales)
 SELECT metric, CAST(n AS BIGINT) AS n FROM (UNPIVOT (SELECT CAST(COLUMNS(*) AS BIGINT) FROM counted) ON COLUMNS(*) INTO NAME metric VALUE n)
+""",
+    "file_metrics": f"""{WITH}
+SELECT CASE line_status WHEN 'F' THEN 'finished' ELSE 'open' END AS folder, count(*) AS lines_read,
+       count(*) FILTER (return_flag <> 'R') AS lines_accepted, count(*) FILTER (return_flag = 'R') AS lines_rejected,
+       0 AS bad_customer_id, 0 AS bad_store_id, 0 AS bad_product_name, 0 AS bad_sales_person_id, 0 AS bad_total_cost, 0 AS bad_row,
+       count(*) FILTER (return_flag = 'R' AND quantity % 2 = 0) AS bad_sales_date,
+       count(*) FILTER (return_flag = 'R' AND quantity % 3 = 0) AS bad_price, count(*) FILTER (return_flag = 'R') AS bad_quantity
+FROM sales GROUP BY ALL
 """,
     "schema_check": """
 SELECT 'accepted' AS verdict, '' AS missing, '' AS extra, count(*) AS n_rows

@@ -398,6 +398,21 @@ def load_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(sorted(record["metrics"].items()), "metric string, n bigint")
 
 
+def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of each file of two folders: read, accepted, rejected, and how often a cell was the reason."""
+    base = scratch_dir(spark, "file-metrics")
+    layout = Layout(f"{base}/marts")
+    lines = with_bad_cells(star.sales(spark, sf_dir, product=True, extras=True), "line_status")
+    write_parquet(lines, f"{base}/lines")
+    written = read_parquet(spark, f"{base}/lines")
+    for folder, which in (("finished", "line_status = 'F'"), ("open", "line_status <> 'F'")):
+        write_csv(written.where(which), f"{base}/landing/{folder}")
+    ingest_arrivals(spark, f"{base}/landing", layout.root, known(spark, sf_dir))
+    counts = spark.read.parquet(layout.file_counts).drop("run_id")
+    folder = F.regexp_extract(joins.SOURCE_FILE, "/([^/]+)/[^/]+$", 1).alias("folder")
+    return counts.groupBy(folder).agg(*[F.sum(c).alias(c) for c in counts.columns if c != joins.SOURCE_FILE])
+
+
 def order_file(customer: Column, priority: Column) -> tuple[Column, Column]:
     """Place and name of a customer's file: a folder for each priority, a name for each customer."""
     name = F.concat(F.lit("sales_"), customer.cast("string"), F.lit(".csv"))
@@ -522,6 +537,7 @@ QUERIES: dict[str, Query] = {
     "rejected_cells": rejected_cells,
     "schema_check": schema_check,
     "load_metrics": load_metrics,
+    "file_metrics": file_metrics,
     "ledger_status": ledger_status,
     "failed_run_check": failed_run_check,
     "incremental_ingest": incremental_ingest,

@@ -249,3 +249,5 @@ def test_counts_of_lines_stand_in_the_commit_record(spark, job):
     assert (held["lines_read"], held["lines_accepted"], held["lines_rejected"]) == (6, 2, 4)
     assert (held["bad_total_cost"], held["bad_sales_date"], held["bad_customer_id"], held["bad_row"]) == (2, 1, 1, 1)
     assert held["bad_price"] == 0
+    counts = rows_of(spark.read.parquet(layout.file_counts), "lines_read", "lines_accepted", "bad_row")
+    assert counts == [(1, 1, 0), (5, 1, 1)]

@@ -11,7 +11,7 @@ import __spark_entry__ as entry_point
 SF_DIR = "/root/testdata/sf0.001"
 WRITING = {
     "sales_partitioned_readback", "seller_report_csv", "versioned_publish", "normalise_extra_columns",
-    "union_files", "rejected_cells", "schema_check", "incremental_ingest", "ingest_books", "pay_mode_totals", "load_metrics",
+    "union_files", "rejected_cells", "schema_check", "incremental_ingest", "ingest_books", "pay_mode_totals", "load_metrics", "file_metrics",
 }
 QUERIES = sorted(set(entry_point.QUERIES) - WRITING)
 
