@@ -445,7 +445,8 @@ def deduplicated(docs: DataFrame, limit: float = 0.8) -> DataFrame:
     """
     names = list(docs.columns)
     sketches, classes, found = links(docs, limit)
-    gone = _labelled(sketches, classes, found).where("doc_id <> component_id").select("doc_id", "sig1", "sig2", "n_shingles").distinct()
+    # Not made distinct here: the join with a class of very many rows can be split then.
+    gone = _labelled(sketches, classes, found).where("doc_id <> component_id").select("doc_id", *_SIGNATURE)
     # Texts are sketched again only for ids that lose a row and occur with several sets; all others go by their id.
     several = sketches.where("doc_id is not null").groupBy("doc_id").agg(
         F.min(F.xxhash64(*_SIGNATURE)).alias("lo"), F.max(F.xxhash64(*_SIGNATURE)).alias("hi")
