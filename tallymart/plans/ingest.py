@@ -170,7 +170,7 @@ def load_sales(spark: SparkSession, manifest: DataFrame, layout: Layout, run_id:
 def write_file_counts(spark: SparkSession, layout: Layout, run_id: int) -> None:
     """The same counts for each file, from three narrow columns of the run's sales table."""
     columns = T.StructType([FILE, T.StructField("bad_cells", T.ArrayType(_TEXT))])
-    lines = runs.read_runs(spark, layout.sales, columns, [run_id])
+    lines = spark.read.schema(columns).parquet(run_path(layout.sales, run_id))
     write_run(lines.groupBy(SOURCE_FILE).agg(*line_metrics()), layout.file_counts, run_id)
 
 
