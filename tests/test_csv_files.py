@@ -276,3 +276,28 @@ def test_a_file_of_many_blocks_has_one_header(spark, tmp_path):
     cf.check_headers(cf.list_files(spark, str(tmp_path / "landing")), cf.staged_headers(lines)).write.parquet(str(tmp_path / "files"))
     rows = cf.good_rows(cf.read_sales(spark, spark.read.parquet(str(tmp_path / "files")), lines))
     assert sorted(r.customer_id for r in rows.collect()) == list(range(5000))
+
+
+def test_staged_lines_are_parsed_once(spark, tmp_path):
+    """A filter on the cells must not parse the line anew for each cell."""
+    put(tmp_path, "landing/a.csv", f"{HEADER}\n{LINE}\n")
+    cf.stage_lines(spark, str(tmp_path / "landing")).write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    manifest = cf.check_headers(cf.list_files(spark, str(tmp_path / "landing")), cf.staged_headers(lines))
+    rows = cf.good_rows(cf.read_sales(spark, manifest, lines))
+    assert rows.count() == 1
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
+
+
+def test_lines_cut_at_commas_equal_parsed_ones(spark, tmp_path):
+    """Every odd line gives the cells that a CSV scan of it gives."""
+    odd = [
+        "a,b,c", ",,", "a,,", ",,c", " a , b ,c ", "a,b", "a,b,c,d", "a,b,c,", "x", '"a,1",b,c', '"",b,c', 'a"x,b,c', '"a""x",b,c',
+        "#a,b,c", "é,ü,ß", "a\tb,c,d", "a\\,b,c", "null,NULL,NaN", '"a,b,c', "a,b,\u00a0", "-,+,.", "\ufeffa,b,c", "'a',b,c", "\u0000a,b,c",
+    ]
+    (tmp_path / "odd.csv").write_text("\n".join(odd) + "\n", encoding="utf-8")
+    scanned = cf.read_layout(spark, [str(tmp_path / "odd.csv")], ["p", "q", "r"], header=False).drop("source_file")
+    staged = cf.parse_layout(cf.stage_lines(spark, str(tmp_path)), ["p", "q", "r"]).drop("source_file")
+    # Of a ragged line only its text counts.
+    shown = lambda df: rows_of(df.selectExpr("_ragged_line", *[f"if(_ragged_line is null, _c{i}, null)" for i in range(3)]))
+    assert shown(staged) == shown(scanned)
