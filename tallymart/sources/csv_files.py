@@ -134,10 +134,12 @@ def stage_lines(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
 def staged_headers(lines: DataFrame) -> DataFrame:
     """The header line of each file and its place, from staged lines: the first one of the first block.
 
-    The places are compared as numbers; only the lines found are looked up by their text.
+    The places are compared as numbers; only the lines found are looked up by their text. One row for each file is broadcast, so that no
+    line is shuffled: a size that Spark learns while it runs comes too late, when the lines have been dealt already.
     """
     first = lines.where("block_start = 0").groupBy("uri").agg(F.min("place").alias("place"))
-    return first.join(lines.where("block_start = 0"), ["uri", "place"]).select("uri", F.col("value").alias("header"), F.col("place").alias("header_place"))
+    found = lines.where("block_start = 0").join(F.broadcast(first), ["uri", "place"])
+    return found.select("uri", F.col("value").alias("header"), F.col("place").alias("header_place"))
 
 
 def header_columns(header: Column | str) -> Column:

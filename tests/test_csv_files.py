@@ -289,6 +289,13 @@ def test_staged_lines_are_parsed_once(spark, tmp_path):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("from_csv") == 1
 
 
+def test_headers_are_found_without_shuffling_lines(spark, tmp_path):
+    put(tmp_path, "landing/a.csv", f"{HEADER}\n{LINE}\n")
+    cf.stage_lines(spark, str(tmp_path / "landing")).write.parquet(str(tmp_path / "lines"))
+    plan = cf.staged_headers(spark.read.parquet(str(tmp_path / "lines")))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
 def test_lines_cut_at_commas_equal_parsed_ones(spark, tmp_path):
     """Every odd line gives the cells that a CSV scan of it gives."""
     odd = [
