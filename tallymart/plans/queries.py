@@ -31,6 +31,9 @@ from tallymart.streaming.arrivals import ingest_arrivals
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Parquet bytes of lines and orders for each task that joins and groups them by customer (some 0.7 M lines).
+JOINED_BYTES = 16 << 20
+
 
 def as_doubles(df: DataFrame) -> DataFrame:
     decimals = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
@@ -60,7 +63,18 @@ def seller_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = known(spark, sf_dir)
-    return joins.enrich(star.sales(spark, sf_dir), tables.customer, tables.store, tables.sales_team)
+    customer = dealt_customers(spark, sf_dir, tables.customer)
+    return joins.enrich(star.sales(spark, sf_dir), customer, tables.store, tables.sales_team)
+
+
+def dealt_customers(spark: SparkSession, sf_dir: str, customer: DataFrame) -> DataFrame:
+    """Customers dealt over as many tasks as the sales they meet need.
+
+    Joined lines are grouped where they were joined, so a task holds the groups of all its lines. With a fixed number of shuffle
+    partitions they would grow with the input; this way a task gets lines of some ``JOINED_BYTES`` of the tables. Smaller inputs are left to AQE.
+    """
+    tasks = -(-star.stored_bytes(spark, sf_dir, "lineitem", "orders") // JOINED_BYTES)
+    return customer.repartition(tasks, "customer_id") if tasks > int(spark.conf.get("spark.sql.shuffle.partitions")) else customer
 
 
 def incentive_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -138,7 +152,8 @@ def customer_monthly_of_all_sales(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def customer_monthly_of_known_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spend per customer and month where only the customer may be unknown, joined before the totals are taken."""
-    lines = joins.with_customer(star.customer_lines(spark, sf_dir), known(spark, sf_dir).customer)
+    customer = dealt_customers(spark, sf_dir, known(spark, sf_dir).customer)
+    lines = joins.with_customer(star.customer_lines(spark, sf_dir), customer)
     return as_doubles(totals.customer_month_totals(lines))
 
 

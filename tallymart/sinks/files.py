@@ -72,6 +72,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return system.exists(place)
 
 
+def folder_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder."""
+    place, system = _hadoop(spark, path)
+    return system.getContentSummary(place).getLength()
+
+
 def has_match(spark: SparkSession, pattern: str) -> bool:
     """Whether any path fits a pattern."""
     place, system = _hadoop(spark, pattern)

@@ -10,12 +10,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymart.functions import money
+from tallymart.sinks.files import folder_bytes
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def stored_bytes(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """What the tables take on disk."""
+    return sum(folder_bytes(spark, f"{sf_dir.rstrip('/')}/{name}.parquet") for name in names)
+
+
 def seller_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sales as far as the line item alone tells: seller, date and amount."""
     return table(spark, sf_dir, "lineitem").select(

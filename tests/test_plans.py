@@ -102,3 +102,23 @@ def test_a_cut_dimension_thins_sales_before_the_shuffle(spark, no_broadcasts):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert "might_contain" in plan
+
+
+def test_grouped_lines_are_dealt_by_the_size_of_the_input(spark, monkeypatch):
+    """A task's groups must not grow with the input: the join that they follow has as many tasks as the tables need."""
+    from tallymart.plans import queries
+    from tallymart.sources import star
+
+    small = queries.customer_monthly_of_known_sales(spark, SF_DIR)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    monkeypatch.setattr(queries, "JOINED_BYTES", 4096)
+    try:
+        df = queries.customer_monthly_of_known_sales(spark, SF_DIR)
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        tasks = -(-star.stored_bytes(spark, SF_DIR, "lineitem", "orders") // 4096)
+        assert tasks > 8
+        assert len(re.findall(rf"Exchange hashpartitioning\(customer_id#\d+L?, {tasks}\)", plan)) == 2
+        assert df.exceptAll(small).isEmpty() and df.count() == small.count()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
