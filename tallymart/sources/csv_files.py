@@ -198,16 +198,17 @@ def typed_sales(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
     places = raw.columns[: len(columns)]
     cells = dict(zip(columns, places))
     extras = [F.col(p) for c, p in zip(columns, places) if c not in MANDATORY_COLUMNS]
-    typed = {c: try_typed(F.col(cells[c]), SALES[c].dataType) for c in MANDATORY_COLUMNS}
+    # Cells are typed in a step of their own: the checks below name the results, so that no cell is parsed anew for each check.
+    typed = raw.select("*", *[try_typed(F.col(cells[c]), SALES[c].dataType).alias(c) for c in MANDATORY_COLUMNS])
     ragged = F.col(RAGGED).isNotNull()
-    bad = {c: F.col(cells[c]).isNotNull() & typed[c].isNull() for c in MANDATORY_COLUMNS}
+    bad = {c: F.col(cells[c]).isNotNull() & F.col(c).isNull() for c in MANDATORY_COLUMNS}
     # Only a bad line pays for the list of its bad cells.
     any_bad = reduce(or_, bad.values(), ragged)
     names = F.array_compact(F.array(*[F.when(bad[c], F.lit(c)) for c in MANDATORY_COLUMNS]))
     unparsed = F.when(any_bad, F.when(ragged, F.array(F.lit(WHOLE_ROW))).otherwise(names)).otherwise(F.array().cast("array<string>"))
     line = F.when(ragged, F.col(RAGGED)).otherwise(F.to_csv(F.struct(*places), {"escape": '"', "emptyValue": ""}))
-    return raw.select(
-        *[typed[c].alias(c) for c in MANDATORY_COLUMNS],
+    return typed.select(
+        *MANDATORY_COLUMNS,
         pack_extras(extras).alias(EXTRAS_COLUMN),
         unparsed.alias("bad_cells"),
         F.when(any_bad, line).alias("raw_line"),

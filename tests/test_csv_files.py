@@ -6,8 +6,11 @@ from datetime import date
 from decimal import Decimal, InvalidOperation
 
 import pytest
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fixtures import rows_of
+from tallymart.functions import try_typed
 from tallymart.schemas import MANDATORY_COLUMNS, SALES
 from tallymart.sources import csv_files as cf
 
@@ -308,3 +311,27 @@ def test_lines_cut_at_commas_equal_parsed_ones(spark, tmp_path):
     # Of a ragged line only its text counts.
     shown = lambda df: rows_of(df.selectExpr("_ragged_line", *[f"if(_ragged_line is null, _c{i}, null)" for i in range(3)]))
     assert shown(staged) == shown(scanned)
+
+
+def test_each_cell_is_typed_once(spark, tmp_path):
+    """Checks name the typed cells; else a bad cell would be cast again, and fail with an exception, for each of them."""
+    put(tmp_path, "landing/a.csv", f"{HEADER}\n{LINE}\n")
+    cf.stage_lines(spark, str(tmp_path / "landing")).write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    manifest = cf.check_headers(cf.list_files(spark, str(tmp_path / "landing")), cf.staged_headers(lines))
+    plan = cf.read_sales(spark, manifest, lines)._jdf.queryExecution().optimizedPlan().toString()
+    typed = sum(SALES[c].dataType.typeName() != "string" for c in MANDATORY_COLUMNS)
+    assert plan.count("try_cast(") == typed == 7 and plan.count("RLIKE(") == 3
+
+
+@pytest.mark.parametrize("kind", ["int", "bigint"])
+def test_whole_numbers_are_those_that_the_cast_takes(spark, kind):
+    texts = [
+        "1", "-1", "+7", "007", " 5 ", "\t5", "5\r", "\x005\x1f", "5\x7f", "1 2", "12 pcs", "pcs", "", " ", "+", "-", "--1", "1-", "1.", "1.0", ".5", "1e3",
+        "0x1", "1_000", "1,000", " 5", "٥", "2147483647", "2147483648", "-2147483648", "9223372036854775807", "9223372036854775808", "[1]", "NaN", None,
+    ]
+    kinds = {"int": T.IntegerType(), "bigint": T.LongType()}
+    cells = spark.createDataFrame([(t,) for t in texts], "cell string")
+    rows = cells.select("cell", try_typed(F.col("cell"), kinds[kind]).alias("typed"), F.trim("cell").try_cast(kind).alias("cast")).collect()
+    assert [(r.cell, r.typed) for r in rows] == [(r.cell, r.cast) for r in rows]
+    assert sum(r.typed is not None for r in rows) >= 9
