@@ -150,7 +150,7 @@ def check_files(spark: SparkSession, listing: DataFrame, layout: Layout, run_id:
 def line_metrics() -> list[Column]:
     """Lines read, accepted and rejected, and how often each cell was the reason (``row``: another number of cells)."""
     bad = has_bad_cells()
-    reasons = [F.count_if(F.array_contains("bad_cells", c)).alias(f"bad_{c}") for c in [*MANDATORY_COLUMNS, WHOLE_ROW]]
+    reasons = [F.count_if(bad & F.array_contains("bad_cells", c)).alias(f"bad_{c}") for c in [*MANDATORY_COLUMNS, WHOLE_ROW]]
     return [F.count(F.lit(1)).alias("lines_read"), F.count_if(~bad).alias("lines_accepted"), F.count_if(bad).alias("lines_rejected"), *reasons]
 
 

@@ -331,3 +331,15 @@ def test_monthly_marts_open_the_folders_of_their_runs_only(spark, tmp_path, dime
     plan = mart._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(run_id" in plan or "PartitionFilters: [run_id" in plan
     assert len(mart.inputFiles()) >= 1 and rows_of(mart, "total_sales") == [(D("12.00"),)]
+
+
+def test_good_lines_are_not_searched_for_bad_cells(spark):
+    """Each reason is looked for only in lines that have bad cells."""
+    from tallymart.plans.ingest import line_metrics
+
+    lines = spark.createDataFrame([([],), (["price"],), (["price", "quantity"],), (["row"],)], "bad_cells array<string>")
+    counts = lines.agg(*line_metrics())
+    row = counts.first()
+    assert (row.lines_read, row.lines_accepted, row.bad_price, row.bad_quantity, row.bad_row, row.bad_store_id) == (4, 1, 2, 1, 1, 0)
+    plan = counts._jdf.queryExecution().analyzed().toString()
+    assert plan.count("size(bad_cells") == 2 + plan.count("array_contains(") == 11
